@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, urls
+from . import mixing, neardup, quality, urls
 from .common import table
 
 
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": _on("documents", quality.quality_query),
         "op3_url_filters": _on("pages", urls.url_query),
+        "op4_minhash_neardup": _on("documents", neardup.neardup_query),
         "op7_mixing": _on("documents", mixing.mixing_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op3_url_filters": urls.SQL, "op7_mixing": mixing.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_url_filters": urls.SQL, "op4_minhash_neardup": neardup.SQL, "op7_mixing": mixing.SQL}
