@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, quality, urls
+from . import mixing, neardup, pii, quality, urls
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": _on("pages", urls.url_query),
         "op4_minhash_neardup": _on("documents", neardup.neardup_query),
         "op7_mixing": _on("documents", mixing.mixing_query),
+        "op8_pii": _on("documents", pii.pii_query),
     }
 
 
