@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pii, quality, urls
+from . import mixing, neardup, pieces, pii, quality, urls
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": _on("documents", pieces.pieces_query),
         "op2_quality_rules": _on("documents", quality.quality_query),
         "op3_url_filters": _on("pages", urls.url_query),
         "op4_minhash_neardup": _on("documents", neardup.neardup_query),
