@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pieces, pii, quality, urls
+from . import langid, mixing, neardup, pieces, pii, quality, urls
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_neardup": _on("documents", neardup.neardup_query),
         "op7_mixing": _on("documents", mixing.mixing_query),
         "op8_pii": _on("documents", pii.pii_query),
+        "op9_language_id": _on("documents", langid.language_query),
     }
 
 
