@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: code points that are none of the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +18,17 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def typed(spec: str) -> T.DataType:
+    """"long", "array<long>" or "a long, b string" as a type, without a session, so that modules can be imported before one."""
+    one = lambda x: T.ArrayType(_TYPES[x[6:-1]]) if x.startswith("array<") else _TYPES[x]
+    if " " not in spec:
+        return one(spec)
+    return T.StructType([T.StructField(n, one(t)) for n, t in (x.split() for x in spec.split(", "))])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_name, small_batches
+from .common import SPACES, free_name, small_batches, typed
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, ROUNDS, DAMPING, SMOOTH = 4000, 30, 0.3, 0.5
@@ -126,7 +126,7 @@ def edges_of(text: str, nodes: list) -> tuple[list, list]:
     return chain, sorted(set(skip))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(typed("array<string>"))
 def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """What a document counts for in training: "f|feature|label", "c|label|label", "s|label|label", "l|label"."""
     for texts in batches:
@@ -235,7 +235,7 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 
 def finder(model: dict, redact: bool):
-    @F.pandas_udf(FOUND)
+    @F.pandas_udf(typed(FOUND))
     def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_name, key_of, kept_table, lookup, small_batches
+from .common import SPACES, free_name, key_of, kept_table, lookup, small_batches, typed
 
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, SYMBOLS = 20, 8, 30, "#*$%&|<>"
@@ -72,7 +72,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-@F.pandas_udf(MEASURES)
+@F.pandas_udf(typed(MEASURES))
 def measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in texts], columns=[x.split()[0] for x in MEASURES.split(", ")], dtype="int64")
 

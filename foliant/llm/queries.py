@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, pieces, pii, quality, urls
+from . import langid, licenses, media, mixing, neardup, pieces, pii, quality, urls, warc
 from .common import table
 
 
@@ -20,11 +20,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": _on("documents", quality.quality_query),
         "op3_url_filters": _on("pages", urls.url_query),
         "op4_minhash_neardup": _on("documents", neardup.neardup_query),
+        "op5_warc": _on("pages", warc.warc_query),
+        "op6_license_scan": _on("documents", licenses.license_query),
         "op7_mixing": _on("documents", mixing.mixing_query),
         "op8_pii": _on("documents", pii.pii_query),
         "op9_language_id": _on("documents", langid.language_query),
+        "op10_media_columns": _on("documents", media.media_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op3_url_filters": urls.SQL, "op4_minhash_neardup": neardup.SQL, "op7_mixing": mixing.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_url_filters": urls.SQL, "op4_minhash_neardup": neardup.SQL, "op6_license_scan": licenses.SQL, "op7_mixing": mixing.SQL}
