@@ -435,3 +435,145 @@ def field_format(rule: Rule) -> Column:
     return joined(*out)
 
 
+
+
+#: Chinese digits.
+CN_FROM, CN_TO = "零〇一二两三四五六七八九", "001223456789"
+#: Kinds of heading numbers in the order in which they are tried: pattern, style, level (0: by the number's parts).
+NUMBERINGS = (
+    (r"\A(第\s*(\d+)\s*[章节篇]\s*)", "chapter", 1),
+    (r"\A(([一二三四五六七八九十百零〇两]+)[、．.]\s*)", "chinese", 1),
+    (r"\A([（(]([一二三四五六七八九十百零〇两]+)[）)]\s*)", "chinese_parenthesized", 2),
+    (r"\A([（(](\d+)[）)]\s*)", "arabic_parenthesized", 2),
+    (r"\A((\d+(?:\.\d+)+)[．.、]?\s*)", "decimal", 0),
+    (r"\A((\d+)[．.、]\s*)", "arabic", -1),
+)
+
+
+def chinese_number(c: Column) -> Column:
+    """A Chinese numeral up to hundreds as int. A sign that is no digit counts as 1 before 十 and 百, as 0 after 十."""
+    digit = lambda s, default: F.when((F.length(s) == 1) & F.contains(F.lit(CN_FROM), s), F.translate(s, CN_FROM, CN_TO).try_cast("int")).otherwise(F.lit(default))
+
+    def below_hundred(s: Column) -> Column:
+        left, right = F.regexp_extract(s, r"\A([^十]*)十", 1), F.regexp_extract(s, r"\A[^十]*十(.*)\z", 1)
+        plain = F.when(F.regexp_like(s, F.lit(rf"\A[{CN_FROM}]+\z")), F.translate(s, CN_FROM, CN_TO).try_cast("int"))
+        return F.when(s == "十", 10).when(F.contains(s, F.lit("十")), digit(left, 1) * 10 + digit(right, 0)).otherwise(plain)
+
+    left, right = F.regexp_extract(c, r"\A([^百]*)百", 1), F.regexp_extract(c, r"\A[^百]*百(.*)\z", 1)
+    return F.when(F.contains(c, F.lit("百")), digit(left, 1) * 100 + F.coalesce(below_hundred(right), F.lit(0))).otherwise(below_hundred(c))
+
+
+def heading_number(text: Column, single: int = 1) -> Column:
+    """struct<style, level, numbers, prefix> of a heading's number; null if it has none. The first pattern that fits decides."""
+    t = strip(text)
+    cases = []
+    for pattern, style, level in NUMBERINGS:
+        p = f"(?U){pattern}"
+        raw = F.regexp_extract(t, p, 2)
+        numbers = F.array(chinese_number(raw)) if style.startswith("chinese") else F.transform(F.split(formats.ascii_digits(raw), r"\."), lambda x: x.try_cast("int"))
+        of = F.size(F.split(raw, r"\.")) if level == 0 else F.lit(single if level < 0 else level)
+        made = F.struct(F.lit(style).alias("style"), of.alias("level"), numbers.alias("numbers"), strip(F.regexp_extract(t, p, 1)).alias("prefix"))
+        cases.append((F.regexp_like(t, F.lit(p)), F.when(~F.exists(numbers, lambda n: n.isNull()), made)))
+    out = F.when(*cases[0])
+    for condition, made in cases[1:]:
+        out = out.when(condition, made)
+    return out
+
+
+@operator("heading_numbering")
+def heading_numbering(rule: Rule) -> Column:
+    """Hierarchy, sequence and style of heading numbers. What a fold would carry along is looked up in the headings before."""
+    p = rule.params
+    single, most, mixed = int(p.get("single_arabic_level", 1)), max(1, int(p.get("max_issues", 20))), bool(p.get("allow_mixed_styles", False))
+    allowed = p.get("allowed_styles", {})
+    if not isinstance(allowed, dict):
+        raise RuleError(f"{rule.id}: allowed_styles must be a mapping by level")
+    skip = [int(x) for x in p.get("skip_pages", [1])]
+    counted = F.filter(BLOCKS(), lambda b: (b["type"] == "heading") & ~F.coalesce(b["page"].isin(*skip), F.lit(False)))
+    issue = lambda x, message, suggestion: finding(rule, message, suggestion, page=x["page"], block=x["id"], evidence=x["text"])
+    named = F.transform(counted, lambda b: F.struct(b["page"].alias("page"), b["id"].alias("id"), b["text"].alias("text"), heading_number(b["text"], single).alias("n")))
+
+    def first_phase(x: Column) -> Column:
+        unnumbered = given(x["n"].isNull() & F.lit(bool(p.get("require_numbering", False))), issue(x, texts("标题未使用可识别编号：", x["text"]), "请按统一的标题编号体系补充编号"))
+        wrong = [none()]
+        for level, styles in allowed.items():
+            styles = [styles] if isinstance(styles, str) else list(styles or [])
+            if styles:
+                wrong.append(given(F.coalesce((x["n"]["level"] == int(level)) & ~x["n"]["style"].isin(*styles), F.lit(False)), issue(x, texts("第", x["n"]["level"], "级标题编号样式不符合要求：", x["n"]["prefix"]), f"允许的编号样式：{', '.join(map(str, styles))}")))
+        return F.concat(unnumbered, *wrong)
+
+    last = lambda xs: F.get(F.reverse(xs), F.lit(0))
+    before = lambda xs, i: F.slice(xs, F.lit(1), i)
+
+    def with_context(xs: Column) -> Column:
+        """A level's last number is forgotten once a shallower heading comes: the last heading of at most that level tells."""
+        at_level = lambda prior, l: let(last(F.filter(prior, lambda y: y["n"]["level"] <= l)), lambda y: F.when(y["n"]["level"] == l, F.get(F.reverse(y["n"]["numbers"]), F.lit(0))))  # noqa: E731, E741
+        levels = lambda x: F.when(x["n"]["level"] > 1, F.sequence(F.lit(1), x["n"]["level"] - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(xs, lambda x, i: F.struct(
+            x["page"].alias("page"), x["id"].alias("id"), x["text"].alias("text"), x["n"].alias("n"),
+            F.get(F.reverse(x["n"]["numbers"]), F.lit(0)).alias("number"),
+            F.transform(levels(x), lambda l: at_level(before(xs, i), l)).alias("above"),  # noqa: E741
+            last(before(xs, i))["n"]["level"].alias("prev_level"),
+            last(F.filter(before(xs, i), lambda y: y["n"]["level"] == x["n"]["level"]))["n"]["style"].alias("prior_style"),
+        ))
+
+    def second_phase(xs: Column) -> Column:
+        context = lambda x: F.transform(x["above"], lambda a: F.coalesce(a, F.lit(0)))
+        other = lambda x: F.coalesce(x["prior_style"] != x["n"]["style"], F.lit(False))
+
+        def faults(x: Column, i: Column) -> Column:
+            level, prefix = x["n"]["level"], x["n"]["prefix"]
+            jump = given(F.coalesce(level > x["prev_level"] + 1, F.lit(False)), issue(x, texts("标题层级从第", x["prev_level"], "级跳到第", level, "级：", prefix), "请补齐中间层级或调整标题级别"))
+            known = F.exists(before(xs, i), lambda y: (y["n"]["level"] == level) & other(y))
+            style = given(F.lit(not mixed) & other(x) & ~known, issue(x, texts("第", level, "级标题混用编号样式：", x["prior_style"], " / ", x["n"]["style"]), "请统一同一层级的标题编号样式"))
+            parent = F.get(F.reverse(x["above"]), F.lit(0))
+            orphan = given(F.coalesce((x["n"]["style"] == "decimal") & (parent != F.get(F.reverse(x["n"]["numbers"]), F.lit(1))), F.lit(False)), issue(x, texts("标题编号父级不匹配：", prefix), "请使小节编号与当前上级标题编号一致"))
+            previous = last(F.filter(before(xs, i), lambda y: (y["n"]["level"] == level) & (context(y) == context(x))))["number"]
+            gap = let(previous, lambda n: given(F.coalesce(x["number"] != n + 1, F.lit(False)), issue(x, texts("标题编号不连续：", n, " 后出现 ", prefix), texts("请将本级编号调整为 ", n + 1))))
+            return F.concat(jump, style, orphan, gap)
+
+        return F.flatten(F.transform(xs, faults))
+
+    def judged(xs: Column) -> Column:
+        later = let(let(F.filter(xs, lambda x: x["n"].isNotNull()), with_context), second_phase)
+        return F.slice(F.concat(none(), F.flatten(F.transform(xs, first_phase)), later), 1, most)
+
+    return let(named, judged)
+
+
+@operator("reference_format")
+def reference_format(rule: Rule) -> Column:
+    """Entries of the references without a year or a type. An entry is placed at the first block that holds its beginning."""
+    heads = F.transform(BLOCKS(), lambda b: (b["type"] == "heading") & has(b["text"], "参考文献"))
+    start = F.array_position(heads, True).cast("int")
+
+    def section(s: Column) -> Column:
+        rest = F.slice(BLOCKS(), s + 1, F.size(BLOCKS()))
+        stop = F.array_position(F.transform(rest, lambda b: (b["type"] == "heading") & (b["level"] == 1)), True).cast("int")
+        own = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
+        lines = F.flatten(F.transform(own, lambda b: F.transform(F.split(b["text"], r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"), lambda t: strip(t))))
+        return F.when(s > 0, F.array_join(F.filter(lines, lambda t: t != ""), "\n")).otherwise("")
+
+    bracket, loose = r"(?U)(?<![^\n])(?=\[\d+\])", r"(?U)(?<![^\n])(?=[（(]?\d+[）).、])"
+
+    def entries(text: Column) -> Column:
+        by_bracket = F.filter(F.split(text, bracket), lambda e: F.regexp_like(e, F.lit(r"(?U)\A\[\d+\]")))
+        parts = F.transform(F.split(text, loose), lambda e: F.struct(e.alias("e"), formats.ascii_digits(F.regexp_extract(e, r"(?U)\A[（(]?(\d+)[）).、]", 1)).try_cast("int").alias("n")))
+        # numbers count while they rise within 1..200; a part whose number doesn't count goes on with the one before
+        state = F.array().cast("array<struct<e:string,n:int>>")
+
+        def step(acc: Column, x: Column) -> Column:
+            top = F.coalesce(F.get(F.reverse(acc), F.lit(0))["n"], F.lit(0))
+            longer = F.struct(F.concat(F.get(F.reverse(acc), F.lit(0))["e"], x["e"]).alias("e"), F.get(F.reverse(acc), F.lit(0))["n"].alias("n"))
+            return F.when(F.coalesce((x["n"] >= 1) & (x["n"] <= 200) & (x["n"] > top), F.lit(False)), F.concat(acc, F.array(x))).when(F.size(acc) > 0, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(acc)
+
+        by_number = F.transform(F.aggregate(parts, state, step), lambda x: x["e"])
+        return F.slice(F.filter(F.transform(F.when(F.size(by_bracket) > 0, by_bracket).otherwise(by_number), lambda e: strip(e)), lambda e: e != ""), 1, 100)
+
+    def fault(e: Column) -> Column:
+        missing = F.array_compact(F.array(F.when(~F.regexp_like(e, F.lit(r"(?U)(?:19|20)\d{2}")), "出版年份"), F.when(~F.regexp_like(e, F.lit(r"(?i)\[[JMCDBRNSP]\]")), "文献类型标识")))
+        bare = lambda t: F.regexp_replace(t, r"(?U)\s+", "")
+        place = F.get(F.filter(BLOCKS(), lambda b: F.contains(bare(b["text"]), bare(F.substring(e, 1, 120)))), F.lit(0))
+        return let(missing, lambda m: given(F.size(m) > 0, finding(rule, texts("参考文献条目缺少：", F.array_join(m, "、")), "请按 GB/T 7714 补全著者、题名、类型、出处和年份", page=place["page"], block=place["id"], evidence=e)))
+
+    return joined(F.flatten(F.transform(let(let(start, section), entries), fault)))

@@ -115,6 +115,37 @@ def test_fields(spark):
         ("error", "字段「邮箱」格式不正确：bad", 1, "b2"), ("error", "字段「编号」格式不正确：Q1", 1, "b4")]
 
 
+def test_heading_numbering(spark):
+    h = lambda *ts: [H(t, page=2) for t in ts]
+    run = lambda params, *ts: [x[1] for x in found(spark, "heading_numbering", params, h(*ts))]
+    assert run({}, "一、甲", "1.1 乙", "1.2 丙", "二、丁", "2.1 戊") == []
+    assert run({}, "一、甲", "三、乙") == ["标题编号不连续：1 后出现 三、"]
+    assert run({}, "1. 甲", "1.1.1 乙") == ["标题层级从第1级跳到第3级：1.1.1"]
+    assert run({}, "1. 甲", "2.1 乙") == ["标题编号父级不匹配：2.1"]
+    assert run({}, "一、甲", "2. 乙") == ["第1级标题混用编号样式：chinese / arabic"]
+    assert run({"allow_mixed_styles": True}, "一、甲", "2. 乙") == []
+    assert run({"require_numbering": True, "allowed_styles": {1: "chinese"}}, "前言", "1. 甲") == ["标题未使用可识别编号：前言", "第1级标题编号样式不符合要求：1."]
+    assert run({"max_issues": 1}, "1. 甲", "3. 乙", "5. 丙") == ["标题编号不连续：1 后出现 3."]
+    assert found(spark, "heading_numbering", {}, [H("1. 甲"), H("9. 乙")]) == []  # page 1 is skipped
+
+
+def test_chinese_numerals(spark):
+    from foliant.operators.checks import chinese_number
+
+    ones = "零一二三四五六七八九"
+    spoken = lambda n: (ones[n // 100] + "百" if n >= 100 else "") + (ones[n % 100 // 10] if n % 100 >= 20 or (n > 100 and n % 100 >= 10) else "") + ("十" if n % 100 >= 10 else "") + (ones[n % 10] if n % 10 else "")
+    rows = spark.createDataFrame([(n, spoken(n)) for n in range(1, 200) if n % 100 >= 10 or n < 10 or n == 100], "n int, s string")
+    assert [r.n for r in rows.where(chinese_number(F.col("s")).isNull() | (chinese_number(F.col("s")) != F.col("n"))).collect()] == []
+
+
+def test_references(spark):
+    text = "[1] 张三. 题名[J]. 期刊, 2020.\n续行\n[2] 李四. 无年份[M].\n[3] 王五, 2019."
+    assert found(spark, "reference_format", {}, [H("参考文献"), P(text, page=4), H("附录"), P("[9] x")]) == [
+        ("error", "参考文献条目缺少：出版年份", 4, "b2"), ("error", "参考文献条目缺少：文献类型标识", 4, "b2")]
+    assert [x[1] for x in found(spark, "reference_format", {}, [H("参考文献"), P("1. 甲[J] 2001"), P("2020) 不是条目"), P("2. 乙")])] == ["参考文献条目缺少：出版年份、文献类型标识"]
+    assert found(spark, "reference_format", {}, [P("[1] x")]) == []
+
+
 @pytest.mark.parametrize(
     ("kind", "good", "bad"),
     [
