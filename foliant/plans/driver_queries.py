@@ -249,3 +249,30 @@ UNION ALL SELECT doc_id::VARCHAR, 'R02', CASE WHEN contains(x, 'tion') AND conta
 def attachments_and_signatures(spark, sf_dir):
     docs = ir.from_lines(table(spark, sf_dir, "documents"))
     return review.findings(docs, rules.load(LINE_RULES)).select("doc_id", "rule_id", "severity", "message")
+
+
+@query("rate_limit", """
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS at_us, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(key, at_us, id, n, admitted, times) AS (
+  SELECT key, at_us, id, n, TRUE, [at_us] FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.key, e.at_us, e.id, e.n, len(list_filter(r.times, lambda t: t >= e.at_us - 86400000000)) < 3,
+    CASE WHEN len(list_filter(r.times, lambda t: t >= e.at_us - 86400000000)) < 3 THEN list_append(list_filter(r.times, lambda t: t >= e.at_us - 86400000000), e.at_us) ELSE list_filter(r.times, lambda t: t >= e.at_us - 86400000000) END
+  FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, at_us, id, admitted FROM r""")
+def rate_limit(spark, sf_dir):
+    from foliant.streaming.limits import rate_limited
+
+    return rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86_400)
+
+
+@query("page_status", """
+SELECT event_id, CASE WHEN chars = 0 AND images = 0 THEN 'empty' WHEN images > 0 AND chars = 0 THEN 'scanned_no_text' WHEN ratio >= 0.6 AND chars < 200 THEN 'scanned_minimal_text'
+  WHEN unread AND ratio >= 0.5 AND chars >= 200 THEN 'mixed_image_unread' ELSE 'ok' END AS status
+FROM (SELECT event_id, (event_id % 400)::INT AS chars, (user_id % 3)::INT AS images, (event_id % 10) / 10.0 AS ratio, event_type = 'click' AS unread FROM events)""")
+def page_status(spark, sf_dir):
+    from foliant.functions.pages import page_status as ladder
+
+    e = table(spark, sf_dir, "events")
+    signals = {"digital_chars": (F.col("event_id") % 400).cast("int"), "image_count": (F.col("user_id") % 3).cast("int"), "image_area_ratio": (F.col("event_id") % 10) / 10.0, "has_unread_image_region": F.col("event_type") == "click", "ocr_state": F.lit("not_needed"), "ocr_chars": F.lit(0)}
+    return e.select("event_id", ladder(**signals).alias("status"))
