@@ -9,9 +9,17 @@ coordinate keeps its least value, and the rounds end once all are filled, after
 agrees with the probability of the sets' similarity, concentrated as for independent ones. BANDS bands of ROWS coordinates
 then meet in at least one band with probability 1 - (1 - 0.85^6)^25 > 0.99999 at similarity 0.85, more above.
 
-Buckets of up to PAIRED classes give all their pairs. Those of larger ones give each class with PIVOTS classes picked by
-hashes; where a large bucket then still spans several components, all pairs across these follow (an exact way for the rest,
-which is empty where groups of near copies hang together). Every pair is confirmed on the full sets.
+Near copies of near copies form groups whose members are mostly not linked with each other, so pairs are sought in rounds,
+and each round only across the components that the links so far give:
+
+1. FIRST_BANDS bands of FIRST_ROWS coordinates find the closest pairs: each class of a bucket with PIVOTS others of it.
+2. The bands of ROWS coordinates, in buckets of more than PAIRED classes that span components: again with PIVOTS others.
+3. In all buckets of these bands that still span components: all pairs across them. Here nothing is left out but pairs whose
+   sketches disagree in more than MOST_APART of T coordinates (compared by four bits each), over five standard deviations
+   from what similarity 0.85 gives, and those that can't be linked by the number of shingles that others share at all
+   (an exact bound, made for the classes in large buckets).
+
+Every pair is confirmed on the full sets. A pair that none of the rounds emits lies within one component already.
 
 Defined results. Null, empty, or only white space: an empty set (n_shingles 0), linked with nothing, a component of its own.
 Fewer than five words: the whole sequence is the one shingle. Equal rows get equal results. Null doc_id: part of its
@@ -25,13 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, kept_table, lookup, small_batches
+from .common import free_name, kept_table, lookup, small_batches, typed
 from .components import components
 
-SHINGLE, PERCENT, T, BANDS, ROWS, PAIRED, PIVOTS, MEMO = 5, 85, 150, 25, 6, 16, 4, 300_000
+SHINGLE, PERCENT, T, BANDS, ROWS, MEMO = 5, 85, 150, 25, 6, 300_000
+FIRST_BANDS, FIRST_ROWS, PAIRED, PIVOTS, MOST_APART = 12, 12, 16, 3, 44
 _U = np.uint64
 
 
@@ -74,7 +83,7 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     out = np.full((len(sets), t), np.iinfo(np.uint64).max, np.uint64)
     flat = out.reshape(-1)
     element = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], np.int64))
     for i in range(2 * t):
         h = mixed(element + _U((i + 1) * 0xD1342543DE82EF95 % 2**64))
         at = owner * t + (((h >> _U(40)) % _U(t)).astype(np.int64) if i < t else i - t)
@@ -89,34 +98,44 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    n = len(sketch)
-    keys = np.zeros((n, BANDS), np.uint64)
-    for r in range(ROWS):
-        keys = mixed(keys + sketch[:, r : BANDS * ROWS : ROWS] + _U(r + 1))
-    return mixed(keys + np.arange(BANDS, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    keys = np.zeros((len(sketch), bands), np.uint64)
+    for r in range(rows):
+        keys = mixed(keys + sketch[:, r : bands * rows : rows] + _U(r + 1))
+    return mixed(keys + np.arange(rows, rows + bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+
 
+def nibbles(sketch: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen to a number."""
+    n, t = sketch.shape
+    four = np.zeros((n, -(-t // 16) * 16), np.uint64)
+    four[:, :t] = mixed(sketch) & _U(15)
+    return (four.reshape(n, four.shape[1] // 16, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
-@F.pandas_udf("n long, key binary, bands array<long>")
+
+@F.pandas_udf(typed("n long, key binary, first_bands array<long>, bands array<long>, nibbles array<long>"))
 def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = Hashes()
     for texts in batches:
         sets = [shingles(t, hashes) for t in texts]
         full = [i for i, s in enumerate(sets) if len(s)]
-        bands = [None] * len(sets)
-        for i, keys in zip(full, band_keys(sketches([sets[i] for i in full])), strict=True):
-            bands[i] = keys
-        yield pd.DataFrame({"n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": bands})
+        sketch = sketches([sets[i] for i in full])
+        out = {"n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]}
+        for name, found in (("first_bands", band_keys(sketch, FIRST_BANDS, FIRST_ROWS)), ("bands", band_keys(sketch)), ("nibbles", nibbles(sketch))):
+            out[name] = [None] * len(sets)
+            for i, x in zip(full, found, strict=True):
+                out[name][i] = x
+        yield pd.DataFrame(out)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(typed("array<long>"))
 def full_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     hashes = Hashes()
     for texts in batches:
         yield pd.Series([shingles(t, hashes).view(np.int64) for t in texts])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(typed("boolean"))
 def linked(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: np.ndarray, y: np.ndarray) -> bool:
         both = np.intersect1d(x, y, assume_unique=True).size
@@ -125,15 +144,22 @@ def linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def apart(a: str, b: str) -> Column:
+    """In how many coordinates two sketches' four bits differ."""
+    def one(i: int) -> Column:
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (1, 2):  # any bit of four
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((one(i) for i in range(1, -(-T // 16))), one(0))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class keys whose full sets are similar enough. Sets are made anew, for the classes in pairs only."""
     fits = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT
-    pairs = kept_table(pairs.where(fits).select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = kept_table(nodes.join(classes.select("key", "rep"), "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.hash").alias("hash")), "needed")
-    found = lookup(docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text")), needed.groupBy("hash").agg(F.min(F.struct("key", "rep_id")).alias("rep")), "hash", "inner", spread=F.col("doc_id"))
-    found = found.where(F.col("doc_id").eqNullSafe(F.col("rep.rep_id"))).select(F.col("rep.key").alias("key"), full_set("text").alias("set"))
-    sets = kept_table(found.dropDuplicates(["key"]), "sets")
+    pairs = kept_table(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), classes, docs)
     # a class in very many pairs is dealt over parts of 128 of them
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -142,39 +168,111 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return kept_table(right.join(left, ["a", "part"]).where(linked("a_set", "b_set")).select("a", "b"), "verified")
 
 
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, set of these classes, from the texts of their representatives."""
+    needed = kept_table(nodes.join(classes.select("key", "rep"), "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.hash").alias("hash")), "needed")
+    found = lookup(docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text")), needed.groupBy("hash").agg(F.min(F.struct("key", "rep_id")).alias("rep")), "hash", "inner", spread=F.col("doc_id"))
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("rep.rep_id"))).select(F.col("rep.key").alias("key"), full_set("text").alias("set"))
+    sets = kept_table(found, "sets")
+    if sets.count() > needed.count():  # equal rows
+        sets = kept_table(sets.dropDuplicates(["key"]), "sets")
+    return sets
+
+
+def members_of(classes: DataFrame, bands: str, *more: str) -> DataFrame:
+    """band, size, key, n of the buckets with several classes. The rows are shuffled once: both sides of the join read that."""
+    banded = classes.select("key", "n", *more, F.explode(bands).alias("band")).repartition("band")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size"), *[F.max(c).alias(f"max_{c}") for c in ("key", "n", *more)]).where("size > 1 and max_n > 0 and max_key is not null")
+    return banded.join(sizes.select("band", "size"), "band")
+
+
+def with_pivots(members: DataFrame, *same: str) -> DataFrame:
+    """Pairs of each member with up to PIVOTS of its bucket, picked by a hash; a and b are structs."""
+    side = F.struct("key", "n", *same)
+    pivots = members.groupBy("band").agg(*[F.min_by(side, F.xxhash64("key", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)])
+    paired = members.join(pivots, "band").select(side.alias("a"), F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("b"))
+    return paired.where("a.key != b.key")
+
+
+def flat(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a.key").alias("a"), F.col("a.n").alias("an"), F.col("b.key").alias("b"), F.col("b.n").alias("bn"))
+
+
+def spanning(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets that span several components."""
+    rooted = kept_table(members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    spans = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    return kept_table(rooted.join(spans, "band"), "spanning")
+
+
+def shared_at_most(many: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, most: how many of a class' shingles any other class of large buckets has too, for the classes in these.
+
+    A shingle that no other has is in no intersection; so this bounds every intersection, exactly.
+    """
+    nodes = many.select("key").distinct()
+    single = sets_of(nodes, classes, docs).select("key", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
+    alone = single.groupBy("key").agg(F.count("*").alias("alone"))
+    return kept_table(nodes.join(classes.select("key", "n"), "key").join(alone, "key", "left").select("key", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "bounds")
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether two structs (n, most) can have an intersection that links them."""
+    least = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
+    return (100 + PERCENT) * least >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def all_across(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket across components that may link, each in the first band that it shares.
+
+    What lies outside a bucket's largest component meets everything in others; the first is few, and dealt out to 16 parts of
+    the second.
+    """
+    salts = 16
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    named = members.join(main, "band")
+    side = F.struct("key", "n", "most", "root", "nibbles", "bands")
+    x = named.where("root != main").select("band", side.alias("a"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
+    y = named.select(F.col("band").alias("band_"), side.alias("b"), "main", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt_"))
+    first_shared = F.coalesce(*[F.when(F.col("a.bands")[i] == F.col("b.bands")[i], F.col("a.bands")[i]) for i in range(BANDS)])
+    across = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("main")) | (F.col("a.key") < F.col("b.key")))
+    near = may_link("a", "b") & (apart("a.nibbles", "b.nibbles") <= MOST_APART) & (first_shared == F.col("band"))
+    return flat(x.join(y, (F.col("band") == F.col("band_")) & (F.col("salt") == F.col("salt_")) & across & near))
+
+
+def joined_by(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after more links: only the links between their roots are gone through."""
+    root = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    rooted = kept_table(more.join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("ra"), F.coalesce("b_root", "b").alias("rb")), "rooted")
+    above = components(rooted.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    new = rooted.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*")
+    every = found.unionByName(new).distinct().join(above, "root", "left")
+    return kept_table(every.select("node", F.coalesce("top", "root").alias("root")), "components")
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row for each document: doc_id, hash of the text, n, key; one for each class in a group: key, component, component_id)."""
     small_batches(docs.sparkSession)
     rows = kept_table(docs.select("doc_id", F.xxhash64("text").alias("hash"), sketched("text").alias("s")).select("doc_id", "hash", "s.*"), "sketches")
-    full = rows.where("n > 0")
     # a null doc_id comes after all others
-    classes = kept_table(full.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("key", "n", F.explode("bands").alias("band"))
-    pivots = [F.min_by("key", F.xxhash64("key", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
-    pivot_sizes = [F.min_by("n", F.xxhash64("key", F.lit(j))).alias(f"n{j}") for j in range(PIVOTS)]
-    buckets = kept_table(banded.groupBy("band").agg(F.count("*").alias("size"), *pivots, *pivot_sizes).where("size > 1"), "buckets")
-    members = kept_table(banded.join(buckets, "band"), "members")
-    few = members.where(F.col("size") <= PAIRED).select("band", "key", "n")
-    many = members.where(F.col("size") > PAIRED)
-    side = lambda df, x: df.select("band", F.col("key").alias(x), F.col("n").alias(f"{x}n"))
-    all_pairs = side(few, "a").join(side(few, "b"), "band").where("a < b")
-    stars = many.select("key", "n", F.explode(F.array(*[F.struct(F.col(f"p{j}").alias("p"), F.col(f"n{j}").alias("pn")) for j in range(PIVOTS)])).alias("x")).where("key != x.p")
-    pairs = all_pairs.select("a", "an", "b", "bn").unionByName(stars.select(F.col("x.p").alias("a"), F.col("x.pn").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn")))
-    links = verified(pairs, classes, docs)
-    found = kept_table(components(links), "components")
-    # large buckets that span components: what lies outside the largest component there meets all that is in others
-    labelled = kept_table(many.select("band", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
-    sizes = labelled.groupBy("band", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    across = kept_table(labelled.join(main, "band"), "across")
-    if across.limit(1).count():
-        salts = 16
-        x = across.where("root != main").select("band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
-        y = across.select("band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), "main", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
-        more = x.join(y, ["band", "salt"]).where("ar != br AND (br = main OR a < b)").where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT)
-        extra = verified(more.select("a", "an", "b", "bn"), classes, docs)
-        if extra.limit(1).count():
-            found = kept_table(components(links.unionByName(extra)), "components")
+    rep = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("rep")
+    classes = kept_table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), rep, *[F.first(c).alias(c) for c in ("n", "first_bands", "bands", "nibbles")]), "classes")
+    found = kept_table(components(verified(flat(with_pivots(members_of(classes, "first_bands"))), classes, docs)), "components")
+    members = spanning(members_of(classes, "bands"), found)
+    if members.limit(1).count():
+        many = members.where(F.col("size") > PAIRED)
+        bounded = members.join(classes.select("key", "nibbles", "bands"), "key")
+        if many.limit(1).count():
+            bounded = bounded.join(shared_at_most(many, classes, docs), "key", "left").withColumn("most", F.coalesce("most", "n"))
+        else:
+            bounded = bounded.withColumn("most", F.col("n"))
+        members = kept_table(bounded.where(100 * F.col("most") >= PERCENT * F.col("n")), "bounded")
+        near = with_pivots(members.where(F.col("size") > PAIRED), "root", "nibbles", "most").where("a.root != b.root").where(may_link("a", "b") & (apart("a.nibbles", "b.nibbles") <= MOST_APART))
+        for pairs in (lambda: flat(near), lambda: all_across(spanning(members.drop("root"), found))):
+            more = verified(pairs(), classes, docs)
+            if more.limit(1).count():
+                found = joined_by(found, more)
     grouped = classes.where("copies > 1").select("key").unionByName(found.select(F.col("node").alias("key"))).distinct()
     named = classes.select("key", "least").join(grouped, "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("root", "key"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
