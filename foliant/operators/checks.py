@@ -577,3 +577,125 @@ def reference_format(rule: Rule) -> Column:
         return let(missing, lambda m: given(F.size(m) > 0, finding(rule, texts("参考文献条目缺少：", F.array_join(m, "、")), "请按 GB/T 7714 补全著者、题名、类型、出处和年份", page=place["page"], block=place["id"], evidence=e)))
 
     return joined(F.flatten(F.transform(let(let(start, section), entries), fault)))
+
+
+#: Full-width forms and the ASCII characters that compatibility normalisation makes of them.
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+MODES = ("text", "casefold", "number", "date", "phone", "list")
+
+
+def normalised(value: Column, kind: str) -> Column:
+    """struct<key, number, error> of a field's value. Full-width forms become ASCII; other compatibility characters stay."""
+    if kind not in MODES:
+        raise RuleError(f"unknown normalisation {kind!r}")
+    v = strip(F.translate(value, WIDE, NARROW))
+    key, number, error = F.lit(None).cast("string"), F.lit(None).cast("decimal(38,8)"), F.lit(None).cast("string")
+    if kind == "number":
+        compact = F.regexp_replace(v, r"(?U)[,，￥¥元\s]", "")
+        plain = F.regexp_replace(compact, r"万\z", "")
+        read = F.when(whole(plain, r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"), plain.try_cast("decimal(28,8)"))
+        number = (read * F.when(F.endswith(compact, F.lit("万")), F.lit(10000)).otherwise(F.lit(1))).cast("decimal(38,8)")
+        error = F.when(number.isNull(), texts("无法识别数字“", value, "”"))
+    elif kind == "date":
+        p = r"(?U)\A(\d{4})\s*(?:年|[-/.])\s*(\d{1,2})\s*(?:月|[-/.])\s*(\d{1,2})\s*日?\z"
+        part = lambda i: F.regexp_extract(v, p, i)
+        real = formats.real_date(part(1), part(2), part(3))
+        key = F.when(real, F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+        error = F.when(~F.regexp_like(v, F.lit(p)), texts("无法识别日期“", value, "”")).when(~real, texts("日期无效“", value, "”"))
+    elif kind == "phone":
+        digits = F.regexp_replace(v, r"(?U)\D", "")
+        key = F.when((F.length(digits) == 13) & F.startswith(digits, F.lit("86")), F.substring(digits, 3, 11)).otherwise(digits)
+    elif kind == "list":
+        key = F.array_join(F.array_sort(F.transform(F.filter(F.split(v, r"(?U)[、,，;；/\s]+"), lambda x: x != ""), lambda x: F.lower(x))), "\x1f")
+    else:
+        bare = F.regexp_replace(F.regexp_replace(v, r"(?U)[\s　]+", ""), "[，,。；;：:‘’“”\"']+\\z", "")
+        key = F.lower(bare) if kind == "casefold" else bare
+    return F.struct(key.alias("key"), number.alias("number"), error.alias("error"))
+
+
+def agreeing(values: Column, kind: str, tolerance) -> Column:
+    """Whether normalised values, all readable, are the same: numbers within the tolerance, others exactly."""
+    if kind == "number":
+        numbers = F.transform(values, lambda x: x["number"])
+        return F.array_max(numbers) - F.array_min(numbers) <= F.lit(str(tolerance)).cast("decimal(38,8)")
+    return F.size(F.array_distinct(F.transform(values, lambda x: x["key"]))) <= 1
+
+
+def occurrences(field: dict) -> Column:
+    """A field's values that aren't empty, with those that its pattern finds: the group `value`, or the first, or the whole."""
+    labelled = F.filter(field_matches(field), lambda m: ~is_empty(m["value"]))
+    pattern = str(field.get("pattern", "")).strip()
+    if not pattern:
+        return labelled
+    try:
+        compiled = re.compile(pattern)
+    except re.error as e:
+        raise RuleError(f"bad pattern of field {field.get('name', '')}: {e}") from e
+    group = compiled.groupindex.get("value", 1 if compiled.groups else 0)
+    p = F.lit(java(pattern))
+    pairs = lambda b: F.arrays_zip(F.regexp_extract_all(b["text"], p, F.lit(0)).alias("e"), F.regexp_extract_all(b["text"], p, F.lit(group)).alias("v"))
+    by_pattern = F.flatten(F.transform(BLOCKS(), lambda b: F.transform(pairs(b), lambda x: F.struct(strip(x["v"]).alias("value"), b["page"].alias("page"), b["id"].alias("id"), F.substring(x["e"], 1, 200).alias("evidence")))))
+    same = lambda a, b: (a["value"] == b["value"]) & a["page"].eqNullSafe(b["page"]) & a["id"].eqNullSafe(b["id"])
+    return let(F.concat(labelled, by_pattern), lambda ms: F.filter(ms, lambda m, i: ~F.exists(F.slice(ms, F.lit(1), i), lambda x: same(x, m))))
+
+
+@operator("cross_field_consistency")
+def cross_field_consistency(rule: Rule) -> Column:
+    fields, comparisons = rule.params.get("fields", []), rule.params.get("comparisons", [])
+    if not isinstance(fields, list) or not isinstance(comparisons, list) or any(not isinstance(x, dict) for x in [*fields, *comparisons]):
+        raise RuleError(f"{rule.id}: fields and comparisons must be lists of mappings")
+    out, named = [], {}
+    for field in fields:
+        name, kind, tolerance = field_names(field)[0], str(field.get("normalize", "text")), field.get("tolerance", 0)
+        named[name], least, check = occurrences(field), max(2, int(field.get("min_occurrences", 2))), str(field.get("validation_pattern", "")).strip()
+        re.compile(check)
+
+        def judged(ms: Column, name=name, kind=kind, tolerance=tolerance, least=least, check=check) -> Column:
+            at = {"page": first(ms)["page"], "block": first(ms)["id"]}
+            wrong = none()
+            if check:
+                bad = first(F.filter(ms, lambda m: ~whole(m["value"], check)))
+                wrong = let(bad, lambda m: given(m.isNotNull(), finding(rule, texts(f"「{name}」格式不符合规则：", m["value"]), f"请检查{name}格式和长度", page=m["page"], block=m["id"], evidence=m["evidence"])))
+
+            def compared(vs: Column) -> Column:
+                error = first(F.filter(F.transform(vs, lambda v: v["error"]), lambda e: e.isNotNull()))
+                unread = finding(rule, texts(f"「{name}」无法进行一致性比较：", error), f"请检查{name}的填写格式", evidence=first(ms)["evidence"], **at)
+                shown = F.array_join(F.slice(F.array_distinct(F.transform(ms, lambda m: m["value"])), 1, 4), " / ")
+                differ = finding(rule, texts(f"「{name}」在多处取值不一致：", shown), "请统一封面、正文、表格和附件中的字段取值", evidence=F.array_join(F.transform(F.slice(ms, 1, 3), lambda m: m["evidence"]), "；"), **at)
+                return F.when(F.size(ms) < least, none()).when(error.isNotNull(), F.array(unread)).when(agreeing(vs, kind, tolerance), none()).otherwise(F.array(differ))
+
+            return F.concat(wrong, let(F.transform(ms, lambda m: normalised(m["value"], kind)), compared))
+
+        out.append(let(named[name], judged))
+    for comparison in comparisons:
+        sides = []
+        for side in (comparison.get("left"), comparison.get("right")):
+            if isinstance(side, str):
+                sides.append((side, named.get(side)))
+            elif isinstance(side, dict):
+                sides.append((field_names(side)[0], occurrences(side)))
+            else:
+                raise RuleError(f"{rule.id}: a comparison's side is a field's name or a mapping")
+        (left_name, left), (right_name, right) = sides
+        if left is None or right is None:
+            continue
+        kind, tolerance, hint = str(comparison.get("normalize", "text")), comparison.get("tolerance", 0), str(comparison.get("suggestion", "请核对并统一关联字段"))
+        both = F.struct(left.alias("l"), right.alias("r"))
+
+        def paired(s: Column, left_name=left_name, right_name=right_name, kind=kind, tolerance=tolerance, hint=hint) -> Column:
+            def met(n: Column) -> Column:
+                fine = lambda x: x["error"].isNull()
+                any_pair = lambda f: F.exists(n["l"], lambda a: F.exists(n["r"], lambda b: fine(a) & fine(b) & f(a, b)))
+                at = {"page": first(s["r"])["page"], "block": first(s["r"])["id"], "evidence": texts(first(s["l"])["evidence"], "；", first(s["r"])["evidence"])}
+                unread = finding(rule, texts("字段间无法进行一致性比较：", F.coalesce(first(n["l"])["error"], first(n["r"])["error"])), "请检查关联字段的填写格式", **at)
+                differ = finding(rule, texts(f"字段间取值不一致：「{left_name}」为 ", first(s["l"])["value"], f"，「{right_name}」为 ", first(s["r"])["value"]), hint, **at)
+                agrees = any_pair(lambda a, b: agreeing(F.array(a, b), kind, tolerance))
+                comparable = any_pair(lambda a, b: F.lit(True))
+                return F.when((F.size(s["l"]) == 0) | (F.size(s["r"]) == 0) | agrees, none()).when(comparable, F.array(differ)).otherwise(F.array(unread))
+
+            values = lambda ms: F.transform(ms, lambda m: normalised(m["value"], kind))
+            return let(F.struct(values(s["l"]).alias("l"), values(s["r"]).alias("r")), met)
+
+        out.append(let(both, paired))
+    return joined(*out)

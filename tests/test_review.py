@@ -115,6 +115,23 @@ def test_fields(spark):
         ("error", "字段「邮箱」格式不正确：bad", 1, "b2"), ("error", "字段「编号」格式不正确：Q1", 1, "b4")]
 
 
+def test_cross_field_consistency(spark):
+    run = lambda params, *ts: [x[1] for x in found(spark, "cross_field_consistency", params, [P(t) for t in ts])]
+    money = {"fields": [{"name": "经费", "normalize": "number", "tolerance": 1}]}
+    assert run(money, "经费：1.2万元", "经费：12,000") == []
+    assert run(money, "经费：1.2万", "经费：12002") == ["「经费」在多处取值不一致：1.2万 / 12002"]
+    assert run(money, "经费：若干", "经费：12002") == ["「经费」无法进行一致性比较：无法识别数字“若干”"]
+    assert run({"fields": [{"name": "题目", "validation_pattern": ".{1,3}"}]}, "题目：甲乙丙丁。", "题目：甲乙 丙丁") == ["「题目」格式不符合规则：甲乙丙丁。"]
+    assert run({"fields": [{"name": "编号", "pattern": r"No\.(?P<value>\d+)"}]}, "编号：12", "x No.12", "y No.13") == ["「编号」在多处取值不一致：12 / 13"]
+    dates = {"comparisons": [{"left": {"name": "开始"}, "right": {"name": "起始"}, "normalize": "date"}]}
+    assert run(dates, "开始：2026年1月2日", "起始：2026-01-02") == []
+    assert run(dates, "开始：2026年1月3日", "起始：2026-01-02") == ["字段间取值不一致：「开始」为 2026年1月3日，「起始」为 2026-01-02"]
+    assert run(dates, "开始：2026年2月30日", "起始：2026-01-02") == ["字段间无法进行一致性比较：日期无效“2026年2月30日”"]
+    assert run(dates, "开始：2026年1月3日") == []
+    phones = {"fields": [{"name": "电话", "normalize": "phone"}, {"name": "成员", "normalize": "list"}]}
+    assert run(phones, "电话：+86 138-0013-8000", "电话：13800138000", "成员：张三、li", "成员：LI 张三") == []
+
+
 def test_heading_numbering(spark):
     h = lambda *ts: [H(t, page=2) for t in ts]
     run = lambda params, *ts: [x[1] for x in found(spark, "heading_numbering", params, h(*ts))]
