@@ -699,3 +699,122 @@ def cross_field_consistency(rule: Rule) -> Column:
 
         out.append(let(both, paired))
     return joined(*out)
+
+
+#: Page sizes in points.
+PAGE_SIZES = {"A4": (595.28, 841.89), "A3": (841.89, 1190.55), "LETTER": (612.0, 792.0)}
+SIDES = {"left": "左", "right": "右", "top": "上", "bottom": "下"}
+
+
+def config_of(rule: Rule, name: str) -> dict:
+    found = rule.params.get(name) or {}
+    if not isinstance(found, dict):
+        raise RuleError(f"{rule.id}: {name} must be a mapping")
+    return found
+
+
+def shown_list(numbers: Column) -> Column:
+    return texts("[", F.array_join(numbers.cast("array<string>"), ", "), "]")
+
+
+def page_layout(rule: Rule) -> Column:
+    config = config_of(rule, "page")
+    if not config:
+        return none()
+    name, way, tolerance = str(config.get("size", "A4")).upper(), str(config.get("orientation", "portrait")), float(config.get("tolerance_pt", 12))
+    if name not in PAGE_SIZES or way not in ("portrait", "landscape", "any"):
+        raise RuleError(f"{rule.id}: unknown page size {name} or orientation {way}")
+    w, h = PAGE_SIZES[name]
+    near = lambda m, a, b: (F.abs(m["width"] - a) <= tolerance) & (F.abs(m["height"] - b) <= tolerance)
+    fits = {"portrait": lambda m: near(m, w, h), "landscape": lambda m: near(m, h, w), "any": lambda m: near(m, w, h) | near(m, h, w)}[way]
+    wrong = F.transform(F.filter(META(), lambda m: ~fits(m)), lambda m: m["page_number"])
+    return let(wrong, lambda p: given(F.size(p) > 0, finding(rule, texts(f"页面尺寸或方向不符合 {name} {way} 要求：第", shown_list(p), "页"), f"请将页面设置为 {name}，方向为 {way}", page=F.get(p, F.lit(0)))))
+
+
+def margin_layout(rule: Rule) -> Column:
+    config = config_of(rule, "margins_mm")
+    excluded, out = [int(x) for x in config.get("exclude_pages", [])], []
+    for side, label in SIDES.items():
+        least = float(config.get(f"{side}_min", 0)) * 72 / 25.4
+        if least <= 0:
+            continue
+
+        def measured(m: Column, side=side) -> Column:
+            body = F.filter(BLOCKS(), lambda b: (b["page"] == m["page_number"]) & b["type"].isin("heading", "paragraph", "table", "list") & (strip(b["text"]) != "") & (b["bbox"]["x1"] > b["bbox"]["x0"]) & (b["bbox"]["y1"] > b["bbox"]["y0"]))
+            edge = lambda f: F.transform(body, lambda b: b["bbox"][f])
+            return {"left": F.array_min(edge("x0")), "right": m["width"] - F.array_max(edge("x1")), "top": F.array_min(edge("y0")), "bottom": m["height"] - F.array_max(edge("y1"))}[side]
+
+        narrow = F.transform(F.filter(META(), of(lambda m, measured=measured, least=least: ~m["page_number"].isin(*excluded) & F.coalesce(measured(m) + 1 < least, F.lit(False)))), lambda m: m["page_number"])
+        told = lambda p, side=side, label=label: given(F.size(p) > 0, finding(rule, texts("第", shown_list(p), f"页{label}边距小于 {config[f'{side}_min']}mm"), f"请将{label}边距调整到要求值以上", page=F.get(p, F.lit(0))))
+        out.append(let(narrow, told))
+    return joined(*out)
+
+
+def body_layout(rule: Rule) -> Column:
+    config = config_of(rule, "body")
+    if not config:
+        return none()
+    body = F.filter(BLOCKS(), lambda b: (b["type"] == "paragraph") & ~F.coalesce(F.array_contains("ocr_pages", b["page"]), F.lit(False)) & (b["font"]["size"] > 0))
+    least, most, way = config.get("min_size"), config.get("max_size"), str(config.get("alignment", ""))
+    size = mode(F.transform(body, lambda b: F.bround(b["font"]["size"], 1)))
+    out = []
+    if least is not None:
+        out.append(let(size, lambda s: given(F.coalesce(s < float(least), F.lit(False)), finding(rule, texts("正文主字号 ", s, f"pt 小于要求 {least}pt"), "请调整正文主字号"))))
+    if most is not None:
+        out.append(let(size, lambda s: given(F.coalesce(s > float(most), F.lit(False)), finding(rule, texts("正文主字号 ", s, f"pt 大于要求 {most}pt"), "请调整正文主字号"))))
+    told = lambda wrong, message, hint: let(wrong, lambda w: given(F.size(w) > 0, finding(rule, texts("检测到 ", F.size(w), message), hint, page=first(w)["page"], block=first(w)["id"], evidence=first(w)["text"])))
+    if way:
+        wrong = F.filter(body, lambda b: (F.coalesce(b["layout"]["alignment"], F.lit("")) != "") & (b["layout"]["alignment"] != way))
+        out.append(told(wrong, f" 个正文段落未按 {way} 对齐", f"请将正文对齐方式统一为 {way}"))
+    for metric, label in (("line_spacing_pt", "行距"), ("first_line_indent_pt", "首行缩进")):
+        exact, low, high = config.get(metric), config.get(metric.replace("_pt", "_min_pt")), config.get(metric.replace("_pt", "_max_pt"))
+        if exact is None and low is None and high is None:
+            continue
+        slack = float(config.get(f"{metric}_tolerance", 2))
+
+        def off(b: Column, metric=metric, exact=exact, low=low, high=high, slack=slack) -> Column:
+            v, bad = b["layout"][metric], F.lit(False)
+            bad = bad | (F.abs(v - float(exact)) > slack) if exact is not None else bad
+            bad = bad | (v < float(low) - slack) if low is not None else bad
+            bad = bad | (v > float(high) + slack) if high is not None else bad
+            return F.coalesce((b["layout"]["line_count"] >= 2) & bad, F.lit(False))
+
+        out.append(told(F.filter(body, of(off)), f" 个正文段落的{label}不符合配置要求", f"请统一正文{label}"))
+    return joined(*out)
+
+
+def heading_layout(rule: Rule) -> Column:
+    configs = config_of(rule, "headings")
+    if any(c and not isinstance(c, dict) for c in configs.values()):
+        raise RuleError(f"{rule.id}: a heading's style must be a mapping")
+
+    def problems(h: Column, c: dict) -> Column:
+        size, found = h["font"]["size"], []
+        if font := str(c.get("font", "")):
+            found.append(F.when(~F.contains(font_name(h["font"]["name"]), F.lit(font)), texts("字体为", F.coalesce(F.nullif(h["font"]["name"], F.lit("")), F.lit("未知")), f"，要求{font}")))
+        if c.get("size") is not None:
+            found.append(F.when(F.abs(size - float(c["size"])) > float(c.get("size_tolerance", 0.5)), texts("字号为", size, f"pt，要求{c['size']}pt")))
+        if c.get("min_size") is not None:
+            found.append(F.when(size < float(c["min_size"]), texts("字号", size, "pt过小")))
+        if c.get("max_size") is not None:
+            found.append(F.when(size > float(c["max_size"]), texts("字号", size, "pt过大")))
+        if c.get("bold") is True:
+            found.append(F.when(~F.coalesce(h["font"]["bold"], F.lit(False)), F.lit("未加粗")))
+        if way := str(c.get("alignment", "")):
+            found.append(F.when(~h["layout"]["alignment"].eqNullSafe(F.lit(way)), F.lit(f"未按{way}对齐")))
+        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+    def judged(h: Column) -> Column:
+        own = F.array().cast("array<string>")
+        for level, c in configs.items():
+            if c:
+                own = F.when(h["level"] == int(level), problems(h, c)).otherwise(own)
+        return let(own, lambda p: given(F.size(p) > 0, finding(rule, texts("第", h["level"], "级标题版式不符合要求：", F.array_join(p, "；")), "请按指南统一该级标题版式", page=h["page"], block=h["id"], evidence=h["text"])))
+
+    return joined(F.flatten(F.transform(headings(), judged))) if configs else none()
+
+
+@operator("layout_check")
+def layout_check(rule: Rule) -> Column:
+    found = joined(page_layout(rule), margin_layout(rule), body_layout(rule), heading_layout(rule))
+    return F.slice(found, 1, max(1, int(rule.params.get("max_issues", 30))))

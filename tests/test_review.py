@@ -115,6 +115,19 @@ def test_fields(spark):
         ("error", "字段「邮箱」格式不正确：bad", 1, "b2"), ("error", "字段「编号」格式不正确：Q1", 1, "b4")]
 
 
+def test_layout(spark):
+    lay = lambda b, **kw: b | {"layout": {"alignment": "left", "line_count": 3, "line_spacing_pt": 20.0, "first_line_indent_pt": 24.0} | kw}
+    body = [H("一、甲", page=1), lay(P("正文" * 20, page=1)), lay(P("正文" * 20, page=2), alignment="center", line_spacing_pt=30.0)]
+    run = lambda params: [x[1:] for x in found(spark, "layout_check", params, body, pages=2)]
+    assert run({"page": {"size": "A4"}, "margins_mm": {"left_min": 25, "top_min": 30}, "body": {"min_size": 12, "max_size": 12}}) == []
+    assert run({"page": {"size": "A4", "orientation": "landscape"}, "margins_mm": {"left_min": 26, "bottom_min": 300}}) == [
+        ("页面尺寸或方向不符合 A4 landscape 要求：第[1, 2]页", 1, None), ("第[1, 2]页左边距小于 26mm", 1, None), ("第[1, 2]页下边距小于 300mm", 1, None)]
+    assert run({"body": {"min_size": 13, "alignment": "left", "line_spacing_pt": 20, "first_line_indent_min_pt": 30}}) == [
+        ("正文主字号 12.0pt 小于要求 13pt", None, None), ("检测到 1 个正文段落未按 left 对齐", 2, "b3"), ("检测到 1 个正文段落的行距不符合配置要求", 2, "b3"), ("检测到 2 个正文段落的首行缩进不符合配置要求", 1, "b2")]
+    assert run({"headings": {"1": {"font": "黑体", "size": 16, "bold": True}}}) == [("第1级标题版式不符合要求：字体为SimSun，要求黑体；字号为12.0pt，要求16pt；未加粗", 1, "b1")]
+    assert found(spark, "layout_check", {"page": {"size": "B9"}}, body)[0][1].startswith("规则 R01 执行失败")
+
+
 def test_cross_field_consistency(spark):
     run = lambda params, *ts: [x[1] for x in found(spark, "cross_field_consistency", params, [P(t) for t in ts])]
     money = {"fields": [{"name": "经费", "normalize": "number", "tolerance": 1}]}
