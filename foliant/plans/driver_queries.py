@@ -276,3 +276,40 @@ def page_status(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     signals = {"digital_chars": (F.col("event_id") % 400).cast("int"), "image_count": (F.col("user_id") % 3).cast("int"), "image_area_ratio": (F.col("event_id") % 10) / 10.0, "has_unread_image_region": F.col("event_type") == "click", "ocr_state": F.lit("not_needed"), "ocr_chars": F.lit(0)}
     return e.select("event_id", ladder(**signals).alias("status"))
+
+
+@query("line_classes", r"""
+WITH l AS (SELECT doc_id, i - 1 AS line, t FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+s AS (SELECT doc_id, line, length(t) % 3 = 0 AS bold, trim(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS t FROM l)
+SELECT doc_id, line, CASE WHEN regexp_full_match(t, '[\d\s\.、\-–—:;,()%]+') THEN 0 WHEN regexp_matches(t, '^\d+\.\d+') THEN 3 WHEN regexp_matches(t, '^\d+[.、](\D|$)') THEN 2 WHEN regexp_matches(t, '^\(\d+\)') THEN 2
+  WHEN bold AND length(t) < 30 THEN 2 ELSE 0 END AS level FROM s""")
+def line_classes(spark, sf_dir):
+    from foliant.functions.derive import classified
+
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", "line", classified(F.col("t"), F.length("t") % 3 == 0, F.lit(14.0), F.lit(12.0))["level"].alias("level"))
+
+
+@query("greedy_chunks", """
+WITH RECURSIVE l AS (SELECT doc_id, i, length(t) AS n FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+r(doc_id, i, chunk, n) AS (
+  SELECT doc_id, i, 1, n FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, CASE WHEN r.n + l.n > 2000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.n + l.n > 2000 THEN l.n ELSE r.n + l.n END FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+SELECT doc_id, chunk, count(*) AS lines, max(n)::BIGINT AS chars FROM r GROUP BY doc_id, chunk""")
+def greedy_chunks(spark, sf_dir):
+    from foliant.functions.derive import chunks
+
+    packed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks(F.split("text", "\n"), F.length, 2000, "string")).alias("chunk", "items"))
+    return packed.select("doc_id", (F.col("chunk") + 1).alias("chunk"), F.size("items").cast("long").alias("lines"), F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query("evidence_places", """
+WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS e FROM benchmark),
+d AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents)
+SELECT item_id, min(doc_id) AS doc_id FROM b JOIN d ON contains(t, e) WHERE e <> '' GROUP BY item_id""")
+def evidence_places(spark, sf_dir):
+    """The first document that holds each benchmark passage, blanks aside."""
+    from foliant.operators.evidence import holding
+
+    pairs = holding(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return pairs.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
