@@ -42,7 +42,7 @@ from .common import free_name, kept_table, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest unit for the boundary mask; units that are broadcast (about 25 bytes each); units a task counts before it hands them on.
-LONG, HOT, COUNTED = 62, 4_000_000, 300_000
+LONG, HOT, COUNTED = 62, 4_000_000, 150_000
 SPACE = "▁"
 
 
@@ -203,25 +203,27 @@ def viterbi_long(unit: str, pieces_id: dict, score: dict, byte: dict, longest: i
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, n -> unit, n, ids. Units come partitioned by unit, and neither the explode nor the broadcast join moves them, so
     grouping the edges by unit needs no shuffle of its own."""
-    small = units.where(F.length("unit") <= LONG)
     table = pieces.table(units.sparkSession)
     longest = pieces.longest
-    starts = small.select("unit", "n", F.length("unit").alias("length"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("unit", "n", "length", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("length")))).alias("e"))
-    named = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")))
+    fits = F.col("length") <= LONG
+    # a unit that is too long gets one row without an edge, so that it stays in the same plan
+    starts = units.select("unit", "n", F.length("unit").alias("length")).select("*", F.explode(F.when(fits, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array(F.lit(-1)))).alias("s"))
+    ends = F.when(fits, F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("length")))).otherwise(F.array(F.lit(0)))
+    spans = starts.select("unit", "n", "length", "s", F.explode(ends).alias("e"))
+    named = spans.withColumn("piece", F.when(fits, F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s"))))
     unknown = min(pieces.score.values()) - 10
     edges = named.join(F.broadcast(table), "piece", "left").where("id is not null or e - s = 1")
     edge = F.struct((-F.coalesce("score", F.lit(unknown))).alias("rank"), F.col("s"), F.col("e"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
     grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.first("length").alias("length"), F.collect_list(edge).alias("edges"))
     path = (folded_viterbi if pieces.unigram else folded_merges)(F.col("edges"), F.col("length"))
-    by_lattice = grouped.select("unit", "n", with_bytes(path, F.col("unit"), pieces).alias("ids"))
     ids, score, byte, unigram = pieces.id, pieces.score, pieces.byte, pieces.unigram
 
     @F.pandas_udf("array<int>")
     def long(found: pd.Series) -> pd.Series:
-        return pd.Series([viterbi_long(u, ids, score, byte, longest) if unigram else merge_long(u, ids, score, byte) for u in found])
+        return pd.Series([None if u is None else viterbi_long(u, ids, score, byte, longest) if unigram else merge_long(u, ids, score, byte) for u in found], dtype=object)
 
-    return by_lattice.unionByName(units.where(F.length("unit") > LONG).select("unit", "n", long("unit").alias("ids")))
+    by_lattice = F.when(fits, with_bytes(path, F.col("unit"), pieces))
+    return grouped.select("unit", "n", F.coalesce(by_lattice, long(F.when(~fits, F.col("unit")))).alias("ids"))
 
 
 def dictionary(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -237,7 +239,7 @@ def compact(table: pa.Table) -> dict[str, np.ndarray]:
     order = np.argsort(hashes, kind="stable")
     if len(order) and (hashes[order][1:] == hashes[order][:-1]).any():
         raise ValueError("two units share a hash")
-    return {"hash": hashes[order], "start": offsets[:-1][order], "size": np.diff(offsets)[order], "ids": values.astype(np.int32)}
+    return {"hash": hashes[order], "start": offsets[:-1][order], "size": np.diff(offsets)[order], "ids": values.astype(np.uint16 if not len(values) or values.max() < 2**16 else np.int32)}
 
 
 ENCODED = "ids array<int>, n_tokens int, round_trip boolean"
@@ -274,7 +276,7 @@ def encoder(pieces: Pieces, hot) -> F.udf:
                 if (at >= 0).all():
                     sizes = size[at]
                     total = int(sizes.sum())
-                    ids = flat[np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)] if total else np.empty(0, np.int32)
+                    ids = flat[np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)].astype(np.int32) if total else np.empty(0, np.int32)
                 else:
                     own = {x["unit"]: x["ids"] for x in tail or ()}
                     ids = np.array([i for u, p in zip(units, at.tolist(), strict=True) for i in (flat[start[p] : start[p] + size[p]].tolist() if p >= 0 else own[u])], np.int32)
