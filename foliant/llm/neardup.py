@@ -16,8 +16,8 @@ and each round only across the components that the links so far give:
 2. The bands of ROWS coordinates, in buckets of more than PAIRED classes that span components: again with PIVOTS others.
 3. In all buckets of these bands that still span components: all pairs across them. Here nothing is left out but pairs whose
    sketches disagree in more than MOST_APART of T coordinates (compared by four bits each), over five standard deviations
-   from what similarity 0.85 gives, and those that can't be linked by the number of shingles that others share at all
-   (an exact bound, made for the classes in large buckets).
+   from what similarity 0.85 gives, and pairs of two classes of large buckets that can't be linked by the number of shingles
+   that others of these share at all (an exact bound on such pairs, and used for no others).
 
 Every pair is confirmed on the full sets. A pair that none of the rounds emits lies within one component already.
 
@@ -208,7 +208,8 @@ def spanning(members: DataFrame, found: DataFrame) -> DataFrame:
 def shared_at_most(many: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """key, most: how many of a class' shingles any other class of large buckets has too, for the classes in these.
 
-    A shingle that no other has is in no intersection; so this bounds every intersection, exactly.
+    A shingle that no other of them has is in no intersection of two of them; so this bounds these, exactly. It says nothing
+    on pairs with a class that is in small buckets only.
     """
     nodes = many.select("key").distinct()
     single = sets_of(nodes, classes, docs).select("key", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
@@ -217,8 +218,9 @@ def shared_at_most(many: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
 
 
 def may_link(a: str, b: str) -> Column:
-    """Whether two structs (n, most) can have an intersection that links them."""
-    least = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
+    """Whether two structs (n, most) can have an intersection that links them; most is null outside of large buckets."""
+    both = F.col(f"{a}.most").isNotNull() & F.col(f"{b}.most").isNotNull()
+    least = F.when(both, F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))).otherwise(F.least(F.col(f"{a}.n"), F.col(f"{b}.n")))
     return (100 + PERCENT) * least >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
@@ -264,10 +266,11 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         many = members.where(F.col("size") > PAIRED)
         bounded = members.join(classes.select("key", "nibbles", "bands"), "key")
         if many.limit(1).count():
-            bounded = bounded.join(shared_at_most(many, classes, docs), "key", "left").withColumn("most", F.coalesce("most", "n"))
+            bounded = bounded.join(shared_at_most(many, classes, docs), "key", "left")
         else:
-            bounded = bounded.withColumn("most", F.col("n"))
-        members = kept_table(bounded.where(100 * F.col("most") >= PERCENT * F.col("n")), "bounded")
+            bounded = bounded.withColumn("most", F.lit(None).cast("long"))
+        # all others of a large bucket are bounded too, so a class can be left out there; in small ones it meets other classes
+        members = kept_table(bounded.where((F.col("size") <= PAIRED) | (100 * F.col("most") >= PERCENT * F.col("n"))), "bounded")
         near = with_pivots(members.where(F.col("size") > PAIRED), "root", "nibbles", "most").where("a.root != b.root").where(may_link("a", "b") & (apart("a.nibbles", "b.nibbles") <= MOST_APART))
         for pairs in (lambda: flat(near), lambda: all_across(spanning(members.drop("root"), found))):
             more = verified(pairs(), classes, docs)
