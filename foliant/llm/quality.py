@@ -104,7 +104,7 @@ def host_verdicts(measured: DataFrame, host: str, m: str) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """docs with the struct column `quality`: the measures, base_failed, host figures and kept.
+    """docs with the struct column `quality` (or the next free name): the measures, base_failed, host figures and kept.
 
     The text is read twice, once for the hosts and once for the documents, and never shuffled.
     """
@@ -114,7 +114,7 @@ def judge(docs: DataFrame) -> DataFrame:
     named = verdicts.select(host, F.struct("host_docs", "host_failed", "host_rate", "host_bad").alias(h := free_name(docs, "verdict")))
     whole = lookup(docs.withColumn(m, measures("text")).withColumn(host, key_of(F.col("source"))), named, host, spread=F.col("text"))
     kept = ~base_failed(m) & ~(F.col(f"{h}.host_bad") & soft_failed(m))
-    return whole.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(f"{m}.*", base_failed(m).alias("base_failed"), kept.alias("kept"), soft_failed(m).alias("soft_failed"), f"{h}.*").alias("quality"))
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(f"{m}.*", base_failed(m).alias("base_failed"), kept.alias("kept"), soft_failed(m).alias("soft_failed"), f"{h}.*").alias(free_name(docs, "quality")))
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
@@ -124,8 +124,7 @@ def quality_query(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that are kept, with their own columns."""
-    judged = judge(docs)
-    return judged.where("quality.kept").drop("quality") if "quality" not in docs.columns else judged
+    return judge(docs).where(F.col(f"{free_name(docs, 'quality')}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = rf"""
