@@ -30,7 +30,7 @@ from .common import kept_table, lookup, new_path, small_batches
 from .files import Ranged, opened
 
 VERSION, RANGE, BLOCK, LEAST_PAYLOAD = b"WARC/1.1", 32 << 20, 1 << 18, 0
-MOST_HEADERS = 1 << 16
+FIRST_HEADERS = 1 << 16  # read first of a record in a plain archive; longer headers are read on
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -115,8 +115,7 @@ def member_at(file: Ranged, at: int) -> tuple[bytes, int] | None:
 
 def headers_of(data: bytes) -> tuple[dict[str, str], int] | None:
     """Headers (lower-case names) and where the block begins."""
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADERS)
-    if end < 0 or not data.startswith(b"WARC/1."):
+    if not data.startswith(b"WARC/1.") or (end := data.find(b"\r\n\r\n")) < 0:
         return None
     found = {}
     for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
@@ -127,6 +126,16 @@ def headers_of(data: bytes) -> tuple[dict[str, str], int] | None:
     return (found, end + 4) if found.get("content-length", "").isdecimal() and "warc-type" in found else None
 
 
+def headers_at(file: Ranged, at: int) -> tuple[dict[str, str], int] | None:
+    """headers_of what begins at an offset of a plain archive, read on to the blank line while its lines are headers."""
+    n = FIRST_HEADERS
+    while True:
+        data = file.bytes_at(at, n)
+        if len(data) < n or not data.startswith(b"WARC/1.") or any(b":" not in x for x in data.split(b"\r\n")[1:-1]):
+            return headers_of(data)
+        n *= 2
+
+
 def parsed(data: bytes) -> dict | None:
     """A record's fields, or None if its lengths or its digest are wrong."""
     head = headers_of(data)
@@ -154,7 +163,7 @@ def record_at(file: Ranged, at: int, gzip: bool) -> tuple[dict, int] | None:
         member = member_at(file, at)
         found = parsed(member[0]) if member else None
         return (found, member[1]) if found else None
-    head = headers_of(file.bytes_at(at, MOST_HEADERS))
+    head = headers_at(file, at)
     if not head:
         return None
     found = parsed(file.bytes_at(at, head[1] + int(head[0]["content-length"]) + 4))
@@ -225,4 +234,10 @@ def read(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE) -
 
 
 def warc_query(pages: DataFrame) -> DataFrame:
-    return read(write(pages), payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Fails if what was written isn't read again as a whole."""
+    archives = write(pages)
+    rows = kept_table(read(archives, payloads=False).select("kind", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    written, found = archives.agg(F.sum("records")).first()[0] or 0, {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if found.get("gap") or found.get("record", 0) != written:
+        raise RuntimeError(f"{written} records written, read again: {found}")
+    return rows.drop("kind")
