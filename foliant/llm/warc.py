@@ -186,11 +186,14 @@ def salvaged(file: Ranged, first: int, end: int, gzip: bool) -> Iterator[tuple[s
     """("record", start, end, fields) and ("gap", start, end, None) of what begins in [first, end).
 
     A range that isn't the file's first begins with the tail of the record before it, which that range's task reads: its
-    first valid record is looked for, and what lies before it is no gap here.
+    first valid record is looked for, and what lies before it is no gap here. A gap belongs to the range of the record before
+    it (at the file's beginning to the first), wherever it begins and ends; so records and gaps of all ranges tile the file.
     """
     at, known = first, first == 0
-    while at < end and at < file.size:
+    while at < file.size and (known or at < end):
         found = record_at(file, at, gzip)
+        if found and at >= end:
+            return
         if found:
             yield "record", at, found[1], found[0]
             at, known = found[1], True
