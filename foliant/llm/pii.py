@@ -8,7 +8,9 @@ them out changes no marginal). Its labels are none and the four kinds. Potential
 - chain: neighbouring carriers with nothing but white space between,
 - skip: carriers of one document that are equal, or similar (the same digits, or the same text without its punctuation).
 
-Nodes inside base spans are observed. Loopy belief propagation (sum-product, damped) passes messages until they settle, and
+Nodes inside base spans are observed. Loopy belief propagation (sum-product) passes messages forward and backward along the
+whole text, so that every repeat of a carrier is reached however far it is; these sweeps are exact where edges form no loop,
+and are repeated, damped, until the messages settle. Then
 carriers whose marginal for a kind is above 0.5 become spans, each from the word's first to last letter or digit (runs of
 neighbours of one kind become one span), unless they overlap a base span.
 
@@ -167,6 +169,23 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> dict:
     return {"prior": np.log(prior), "features": {f: np.log(v / (label + 2 * SMOOTH)) for f, v in by.items()}, "c": agreement(edge["c"]), "s": agreement(edge["s"])}
 
 
+def schedule(pairs: np.ndarray, n_nodes: int) -> list[np.ndarray]:
+    """The order of a sweep, as groups of messages that need only those of groups before them.
+
+    Message e < len(pairs) goes along pairs[e], which leads to the later carrier, and e + len(pairs) goes back.
+    """
+    level = [0] * n_nodes
+    for a, b in sorted(pairs.tolist(), key=lambda x: x[1]):
+        level[b] = max(level[b], level[a] + 1)
+    groups, of = [], np.asarray(level)
+    for side, first in ((0, 0), (1, len(pairs))):
+        at = of[pairs[:, side]]
+        order = np.argsort(at, kind="stable")
+        parts = np.split(order + first, np.flatnonzero(np.diff(at[order])) + 1)
+        groups += parts[::-1] if side else parts
+    return groups
+
+
 def marginals(nodes: list, labels: list[int], chain: list, skip: list, model: dict) -> np.ndarray:
     """Loopy belief propagation: for each carrier the probability of each label."""
     n = len(KINDS) + 1
@@ -185,17 +204,22 @@ def marginals(nodes: list, labels: list[int], chain: list, skip: list, model: di
     m = len(pairs)
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     messages = np.full((2 * m, n), 1.0 / n)
-    for _ in range(ROUNDS):
-        logs = np.log(messages)
+    groups = schedule(pairs, len(nodes))
+    for sweep in range(ROUNDS):
+        logs, moved = np.log(messages), 0.0
         belief = np.log(unary + 1e-300)
         np.add.at(belief, to, logs)
-        out = belief[source] - logs[back]
-        out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.einsum("ea,eab->eb", out, psi)
-        new = np.maximum(new / new.sum(axis=1, keepdims=True), 1e-12)
-        new = DAMPING * messages + (1 - DAMPING) * new
-        moved = np.abs(new - messages).max()
-        messages = new
+        for g in groups:
+            out = belief[source[g]] - logs[back[g]]
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            new = np.einsum("ea,eab->eb", out, psi[g])
+            new = np.maximum(new / new.sum(axis=1, keepdims=True), 1e-12)
+            if sweep:
+                new = DAMPING * messages[g] + (1 - DAMPING) * new
+            moved = max(moved, np.abs(new - messages[g]).max())
+            new_logs = np.log(new)
+            np.add.at(belief, to[g], new_logs - logs[g])
+            messages[g], logs[g] = new, new_logs
         if moved < 1e-4:
             break
     belief = np.log(unary + 1e-300)
