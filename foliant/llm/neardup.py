@@ -1,22 +1,23 @@
 """MinHash near-dedup (4): fast similarity sketches, banding, exact verification, components.
 
 A document's set are the distinct shingles of five words of its text, A-Z lower-cased. Documents with equal sets form a class.
-Classes are linked if 100 * intersection >= 85 * union.
+Classes are linked if 100 * intersection >= percent * union: 85 in the query, 80 in the pipeline's stage (see At).
 
 The sketch (Dahlgaard, Knudsen, Thorup: Fast similarity sketching, 2017) has T coordinates. In round i < T each element goes
 to a coordinate chosen by a hash, with a value that begins with i; in round T + j all elements go to coordinate j. A
 coordinate keeps its least value, and the rounds end once all are filled, after 2 T rounds at the latest. So each of them
-agrees with the probability of the sets' similarity, concentrated as for independent ones. BANDS bands of ROWS coordinates
-then meet in at least one band with probability 1 - (1 - 0.85^6)^25 > 0.99999 at similarity 0.85, more above.
+agrees with the probability of the sets' similarity, concentrated as for independent ones. At similarity 0.85, 25 bands of 6
+coordinates meet in at least one with probability 1 - (1 - 0.85^6)^25 > 0.99999, at 0.8 30 bands of 5 with 1 - (1 - 0.8^5)^30
+> 0.99999; more above.
 
 Near copies of near copies form groups whose members are mostly not linked with each other, so pairs are sought in rounds,
 and each round only across the components that the links so far give:
 
 1. FIRST_BANDS bands of FIRST_ROWS coordinates find the closest pairs: each class of a bucket with PIVOTS others of it.
-2. The bands of ROWS coordinates, in buckets of more than PAIRED classes that span components: again with PIVOTS others.
+2. The bands of At.rows coordinates, in buckets of more than PAIRED classes that span components: again with PIVOTS others.
 3. In all buckets of these bands that still span components: all pairs across them. Here nothing is left out but pairs whose
-   sketches disagree in more than MOST_APART of T coordinates (compared by four bits each), over five standard deviations
-   from what similarity 0.85 gives, and pairs of two classes of large buckets that can't be linked by the number of shingles
+   sketches disagree in more than At.most_apart of T coordinates (compared by four bits each), over five standard deviations
+   from what the least similarity of a link gives, and pairs of two classes of large buckets that can't be linked by the number of shingles
    that others of these share at all (an exact bound on such pairs, and used for no others).
 
 Every pair is confirmed on the full sets. A pair that none of the rounds emits lies within one component already.
@@ -28,7 +29,9 @@ component, whose id is its least doc_id that isn't null (or null). An empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,11 +42,29 @@ from pyspark.sql import functions as F
 from .common import free_name, kept_table, lookup, small_batches, typed
 from .components import components
 
-SHINGLE, PERCENT, T, BANDS, ROWS, MEMO = 5, 85, 150, 25, 6, 300_000
-FIRST_BANDS, FIRST_ROWS, PAIRED, PIVOTS, MOST_APART = 12, 12, 16, 3, 44
+SHINGLE, PERCENT, T, MEMO = 5, 85, 150, 100_000
+FIRST_BANDS, FIRST_ROWS, PAIRED, PIVOTS = 12, 12, 16, 3
 _U = np.uint64
 
 
+@dataclass(frozen=True)
+class At:
+    """The least similarity of a link, in percent, and the bands for it."""
+
+    percent: int = PERCENT
+    bands: int = 25
+    rows: int = 6
+
+    @property
+    def most_apart(self) -> int:
+        """5.25 standard deviations above the mean number of coordinates whose four bits differ."""
+        differ = (1 - self.percent / 100) * 15 / 16
+        return math.ceil(T * differ + 5.25 * math.sqrt(T * differ * (1 - differ)))
+
+
+QUERY, STAGE = At(), At(80, 30, 5)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> _U(30))
@@ -98,7 +119,7 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.zeros((len(sketch), bands), np.uint64)
     for r in range(rows):
         keys = mixed(keys + sketch[:, r : bands * rows : rows] + _U(r + 1))
@@ -113,19 +134,24 @@ def nibbles(sketch: np.ndarray) -> np.ndarray:
     return (four.reshape(n, four.shape[1] // 16, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-@F.pandas_udf(typed("n long, key binary, first_bands array<long>, bands array<long>, nibbles array<long>"))
-def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    hashes = Hashes()
-    for texts in batches:
-        sets = [shingles(t, hashes) for t in texts]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        sketch = sketches([sets[i] for i in full])
-        out = {"n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]}
-        for name, found in (("first_bands", band_keys(sketch, FIRST_BANDS, FIRST_ROWS)), ("bands", band_keys(sketch)), ("nibbles", nibbles(sketch))):
-            out[name] = [None] * len(sets)
-            for i, x in zip(full, found, strict=True):
-                out[name][i] = x
-        yield pd.DataFrame(out)
+def sketcher(at: At):
+    """A UDF text -> struct<n, key, first_bands, bands, nibbles>."""
+
+    @F.pandas_udf(typed("n long, key binary, first_bands array<long>, bands array<long>, nibbles array<long>"))
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for texts in batches:
+            sets = [shingles(t, hashes) for t in texts]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            sketch = sketches([sets[i] for i in full])
+            out = {"n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]}
+            for name, found in (("first_bands", band_keys(sketch, FIRST_BANDS, FIRST_ROWS)), ("bands", band_keys(sketch, at.bands, at.rows)), ("nibbles", nibbles(sketch))):
+                out[name] = [None] * len(sets)
+                for i, x in zip(full, found, strict=True):
+                    out[name][i] = x
+            yield pd.DataFrame(out)
+
+    return sketched
 
 
 @F.pandas_udf(typed("array<long>"))
@@ -135,13 +161,18 @@ def full_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(t, hashes).view(np.int64) for t in texts])
 
 
-@F.pandas_udf(typed("boolean"))
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def linker(percent: int):
+    """A UDF (set, set) -> whether they are linked."""
+
     def one(x: np.ndarray, y: np.ndarray) -> bool:
         both = np.intersect1d(x, y, assume_unique=True).size
-        return 100 * both >= PERCENT * (len(x) + len(y) - both)
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    @F.pandas_udf(typed("boolean"))
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return linked
 
 
 def apart(a: str, b: str) -> Column:
@@ -155,9 +186,9 @@ def apart(a: str, b: str) -> Column:
     return sum((one(i) for i in range(1, -(-T // 16))), one(0))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class keys whose full sets are similar enough. Sets are made anew, for the classes in pairs only."""
-    fits = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * PERCENT
+    fits = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
     pairs = kept_table(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), classes, docs)
     # a class in very many pairs is dealt over parts of 128 of them
@@ -165,7 +196,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     left = sets.join(parts.withColumnRenamed("a", "key"), "key").select(F.col("key").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("a_set"))
     right = dealt.join(sets.select(F.col("key").alias("b"), F.col("set").alias("b_set")), "b")
-    return kept_table(right.join(left, ["a", "part"]).where(linked("a_set", "b_set")).select("a", "b"), "verified")
+    return kept_table(right.join(left, ["a", "part"]).where(linker(percent)("a_set", "b_set")).select("a", "b"), "verified")
 
 
 def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,14 +248,14 @@ def shared_at_most(many: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     return kept_table(nodes.join(classes.select("key", "n"), "key").join(alone, "key", "left").select("key", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "bounds")
 
 
-def may_link(a: str, b: str) -> Column:
+def may_link(a: str, b: str, percent: int) -> Column:
     """Whether two structs (n, most) can have an intersection that links them; most is null outside of large buckets."""
     both = F.col(f"{a}.most").isNotNull() & F.col(f"{b}.most").isNotNull()
     least = F.when(both, F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))).otherwise(F.least(F.col(f"{a}.n"), F.col(f"{b}.n")))
-    return (100 + PERCENT) * least >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return (100 + percent) * least >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def all_across(members: DataFrame) -> DataFrame:
+def all_across(members: DataFrame, at: At) -> DataFrame:
     """All pairs of a bucket across components that may link, each in the first band that it shares.
 
     What lies outside a bucket's largest component meets everything in others; the first is few, and dealt out to 16 parts of
@@ -237,9 +268,9 @@ def all_across(members: DataFrame) -> DataFrame:
     side = F.struct("key", "n", "most", "root", "nibbles", "bands")
     x = named.where("root != main").select("band", side.alias("a"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
     y = named.select(F.col("band").alias("band_"), side.alias("b"), "main", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt_"))
-    first_shared = F.coalesce(*[F.when(F.col("a.bands")[i] == F.col("b.bands")[i], F.col("a.bands")[i]) for i in range(BANDS)])
+    first_shared = F.coalesce(*[F.when(F.col("a.bands")[i] == F.col("b.bands")[i], F.col("a.bands")[i]) for i in range(at.bands)])
     across = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("main")) | (F.col("a.key") < F.col("b.key")))
-    near = may_link("a", "b") & (apart("a.nibbles", "b.nibbles") <= MOST_APART) & (first_shared == F.col("band"))
+    near = may_link("a", "b", at.percent) & (apart("a.nibbles", "b.nibbles") <= at.most_apart) & (first_shared == F.col("band"))
     return flat(x.join(y, (F.col("band") == F.col("band_")) & (F.col("salt") == F.col("salt_")) & across & near))
 
 
@@ -253,14 +284,14 @@ def joined_by(found: DataFrame, more: DataFrame) -> DataFrame:
     return kept_table(every.select("node", F.coalesce("top", "root").alias("root")), "components")
 
 
-def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, at: At = QUERY) -> tuple[DataFrame, DataFrame]:
     """(one row for each document: doc_id, hash of the text, n, key; one for each class in a group: key, component, component_id)."""
     small_batches(docs.sparkSession)
-    rows = kept_table(docs.select("doc_id", F.xxhash64("text").alias("hash"), sketched("text").alias("s")).select("doc_id", "hash", "s.*"), "sketches")
+    rows = kept_table(docs.select("doc_id", F.xxhash64("text").alias("hash"), sketcher(at)("text").alias("s")).select("doc_id", "hash", "s.*"), "sketches")
     # a null doc_id comes after all others
     rep = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("rep")
     classes = kept_table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), rep, *[F.first(c).alias(c) for c in ("n", "first_bands", "bands", "nibbles")]), "classes")
-    found = kept_table(components(verified(flat(with_pivots(members_of(classes, "first_bands"))), classes, docs)), "components")
+    found = kept_table(components(verified(flat(with_pivots(members_of(classes, "first_bands"))), classes, docs, at.percent)), "components")
     members = spanning(members_of(classes, "bands"), found)
     if members.limit(1).count():
         many = members.where(F.col("size") > PAIRED)
@@ -270,10 +301,10 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             bounded = bounded.withColumn("most", F.lit(None).cast("long"))
         # all others of a large bucket are bounded too, so a class can be left out there; in small ones it meets other classes
-        members = kept_table(bounded.where((F.col("size") <= PAIRED) | (100 * F.col("most") >= PERCENT * F.col("n"))), "bounded")
-        near = with_pivots(members.where(F.col("size") > PAIRED), "root", "nibbles", "most").where("a.root != b.root").where(may_link("a", "b") & (apart("a.nibbles", "b.nibbles") <= MOST_APART))
-        for pairs in (lambda: flat(near), lambda: all_across(spanning(members.drop("root"), found))):
-            more = verified(pairs(), classes, docs)
+        members = kept_table(bounded.where((F.col("size") <= PAIRED) | (100 * F.col("most") >= at.percent * F.col("n"))), "bounded")
+        near = with_pivots(members.where(F.col("size") > PAIRED), "root", "nibbles", "most").where("a.root != b.root").where(may_link("a", "b", at.percent) & (apart("a.nibbles", "b.nibbles") <= at.most_apart))
+        for pairs in (lambda: flat(near), lambda: all_across(spanning(members.drop("root"), found), at)):
+            more = verified(pairs(), classes, docs, at.percent)
             if more.limit(1).count():
                 found = joined_by(found, more)
     grouped = classes.where("copies > 1").select("key").unionByName(found.select(F.col("node").alias("key"))).distinct()
@@ -289,13 +320,13 @@ def neardup_query(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, at: At = STAGE) -> DataFrame:
     """The pipeline's stage: of each component one document, that with its id (of equal rows, one).
 
     Documents that go are few and found by doc_id and the text's hash; the texts themselves are not shuffled, but for rows
     that come up more than once under the kept id.
     """
-    rows, groups = near_copies(docs)
+    rows, groups = near_copies(docs, at)
     named = lookup(rows.select("doc_id", "n", "key", "hash"), groups.select("key", "component", "component_id", F.lit(True).alias("grouped")), "key", spread=F.col("hash"))
     stays = kept_table(named.where("grouped").groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.first("component").alias("component"), F.first(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "grouped")
     best = stays.where("stays").groupBy("component").agg(F.min("hash").alias("best"))
