@@ -103,6 +103,15 @@ def host_verdicts(measured: DataFrame, host: str, m: str) -> DataFrame:
     return hosts.withColumn("host_rate", F.round(shrunk, 6)).withColumn("host_bad", F.col("host_rate") > MAX_HOST_RATE)
 
 
+def with_verdicts(measured: DataFrame, named: DataFrame, columns: list[str], m: str, host: str, spread: Column) -> DataFrame:
+    """The columns and the struct `quality` (or the next free name) of rows with their measures m and their host."""
+    h = named.columns[-1]
+    whole = lookup(measured, named, host, spread=spread)
+    kept = ~base_failed(m) & ~(F.col(f"{h}.host_bad") & soft_failed(m))
+    quality = F.struct(f"{m}.*", base_failed(m).alias("base_failed"), kept.alias("kept"), soft_failed(m).alias("soft_failed"), f"{h}.*")
+    return whole.select(*[F.col(f"`{c}`") for c in columns], quality.alias(free_name(whole.select(*[F.col(f"`{c}`") for c in columns]), "quality")))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """docs with the struct column `quality` (or the next free name): the measures, base_failed, host figures and kept.
 
@@ -111,15 +120,18 @@ def judge(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     m, host = free_name(docs, "measured"), free_name(docs, "host")
     verdicts = host_verdicts(docs.select(measures("text").alias(m), key_of(F.col("source")).alias(host)), host, m)
-    named = verdicts.select(host, F.struct("host_docs", "host_failed", "host_rate", "host_bad").alias(h := free_name(docs, "verdict")))
-    whole = lookup(docs.withColumn(m, measures("text")).withColumn(host, key_of(F.col("source"))), named, host, spread=F.col("text"))
-    kept = ~base_failed(m) & ~(F.col(f"{h}.host_bad") & soft_failed(m))
-    return whole.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(f"{m}.*", base_failed(m).alias("base_failed"), kept.alias("kept"), soft_failed(m).alias("soft_failed"), f"{h}.*").alias(free_name(docs, "quality")))
+    named = verdicts.select(host, F.struct("host_docs", "host_failed", "host_rate", "host_bad").alias(free_name(docs, "verdict")))
+    return with_verdicts(docs.withColumn(m, measures("text")).withColumn(host, key_of(F.col("source"))), named, docs.columns, m, host, F.col("text"))
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
+    """The result has no text, so the texts are read once and their measures kept."""
+    small_batches(docs.sparkSession)
+    measured = kept_table(docs.select("doc_id", measures("text").alias("measured"), key_of(F.col("source")).alias("host")), "measures")
+    named = host_verdicts(measured, "host", "measured").select("host", F.struct("host_docs", "host_failed", "host_rate", "host_bad").alias("verdict"))
+    judged = with_verdicts(measured, named, ["doc_id"], "measured", "host", F.monotonically_increasing_id())
     c = [F.col(f"quality.{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_docs", "host_failed", "host_rate")]
-    return judge(docs.select("doc_id", "text", "source")).select("doc_id", *c)
+    return judged.select("doc_id", *c)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
