@@ -30,6 +30,7 @@ from .common import kept_table, lookup, new_path, small_batches
 from .files import Ranged, opened
 
 VERSION, RANGE, BLOCK, LEAST_PAYLOAD = b"WARC/1.1", 32 << 20, 1 << 18, 0
+MOST_TASKS = 100_000  # that read; beyond, a task reads several ranges
 FIRST_HEADERS = 1 << 16  # read first of a record in a plain archive; longer headers are read on
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -209,9 +210,11 @@ READ = "path string, kind string, start long, end long, page_id long, url string
 
 
 def read(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE) -> DataFrame:
-    """Records and gaps (kind) of archives (path, size)."""
+    """Records and gaps (kind) of archives (path, size). As many tasks read as there are byte ranges."""
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes))).alias("first"))
-    ranges = ranges.repartition(F.col("path"), F.col("first")).select("path", "first")
+    # a row stands for range_bytes of reading, so rows are dealt by number: left to their own size, all would end in one task
+    ranges = kept_table(ranges.select("path", "first"), "ranges")
+    ranges = ranges.repartition(min(max(ranges.count(), 1), MOST_TASKS), "path", "first")
     names = [x.split()[0] for x in READ.split(", ")]
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, READ.split(", "), strict=True)])
 
