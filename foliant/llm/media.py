@@ -2,7 +2,9 @@
 
 An archive is a ZIP file of media members. Reading plans byte ranges from the files' sizes alone; a range's task takes the
 members that begin in it, by the archive's directory, streams them in Arrow batches of a few MB, and retries each member by
-itself at its offset. A member that fails for good gives a row with its error and costs no other member. Writing goes through
+itself at its offset, by its own header. A member that fails for good gives a row with its error and costs no other member.
+If the directory itself is damaged, a row tells so (offset -1), and the members are found by their headers' marks; what the
+directory says about them is null then. Writing goes through
 the same source: tasks write archives under temporary names, and the commit renames those of the tasks that count.
 
 The query stores each text as a sound: 8-bit mono samples of a WAV file.
@@ -33,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import new_path, small_batches, typed
 from .files import Ranged, opened
 
-UNIT, RANGE, BATCH, TRIES, RATE = 64, 16 << 20, 4 << 20, 3, 8000
+UNIT, RANGE, BATCH, ARCHIVE, TRIES, RATE = 64, 16 << 20, 4 << 20, 128 << 20, 3, 8000
 MEMBERS = "archive string, offset long, member string, about string, media binary, error string"
 _SCHEMA = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("member", pa.string()), ("about", pa.string()), ("media", pa.binary()), ("error", pa.string())])
 
@@ -47,27 +49,70 @@ class Range(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    names: list[str]
     members: int
 
 
+LOCAL, LOCAL_SIZE = b"PK\x03\x04", 30
+
+
 def member_bytes(path: str, offset: int, tries: int = TRIES, wait: float = 0.2) -> tuple[bytes | None, str | None]:
-    """(bytes, None) of the member at an offset, or (None, error) after `tries` tries, each with the file opened anew."""
+    """(bytes, None) of the member at an offset, or (None, error) after `tries` tries, each with the file opened anew. The
+    member's own header is all that is needed, so that other damage doesn't matter."""
     error = ""
     for k in range(tries):
-        file = Ranged(path)
+        file = None
         try:
-            with zipfile.ZipFile(file) as archive:
-                info = next(i for i in archive.infolist() if i.header_offset == offset)
-                return archive.read(info), None  # checks the member's CRC
+            file = Ranged(path)
+            return own_member(file, offset)[1], None
         except Exception as e:  # noqa: BLE001  any fault of one member is its own
             error = f"{type(e).__name__}: {e}"
             time.sleep(wait * k)
         finally:
-            file.close()
+            if file:
+                file.close()
     return None, error
 
 
+def own_member(file: Ranged, at: int) -> tuple[str, bytes]:
+    """Name and bytes of the member whose header is at an offset; its checksum follows it, or stands in the header."""
+    head = file.bytes_at(at, LOCAL_SIZE)
+    if len(head) < LOCAL_SIZE or head[:4] != LOCAL:
+        raise ValueError("no member's header")
+    flags, method, crc, packed, name_size, more = (int.from_bytes(head[i:j], "little") for i, j in ((6, 8), (8, 10), (14, 18), (18, 22), (26, 28), (28, 30)))
+    name, begin = file.bytes_at(at + LOCAL_SIZE, name_size).decode(), at + LOCAL_SIZE + name_size + more
+    if method == 0 and not flags & 8:
+        data = file.bytes_at(begin, packed)
+    elif method == 8:
+        z, parts, here = zlib.decompressobj(-15), [], begin
+        while not z.eof:
+            block = file.bytes_at(here, 1 << 18)
+            if not block:
+                raise ValueError("the member is cut off")
+            parts.append(z.decompress(block))
+            here += len(block)
+        data, here = b"".join(parts), here - len(z.unused_data)
+        if flags & 8:  # sizes and checksum follow the data
+            after = file.bytes_at(here, 8)
+            crc = int.from_bytes(after[4:8] if after[:4] == b"PK\x07\x08" else after[:4], "little")
+    else:
+        raise ValueError(f"method {method}")
+    if zlib.crc32(data) != crc:
+        raise ValueError("wrong checksum")
+    return name, data
+
+
+def walked(file: Ranged, first: int, end: int) -> Iterator[int]:
+    """Where members' headers begin in [first, end), by their mark: what is left if the directory can't be read."""
+    at = first
+    while at < end and (block := file.bytes_at(at, min(1 << 18, end + 3 - at))):
+        found = block.find(LOCAL)
+        while found >= 0 and at + found < end:
+            yield at + found
+            found = block.find(LOCAL, found + 1)
+        at += max(1, len(block) - 3)
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
@@ -82,24 +127,39 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         rows, held = [], 0
-        file = Ranged(partition.path)
-        with zipfile.ZipFile(file) as archive:
-            for info in archive.infolist():
-                if not partition.first <= info.header_offset < partition.end:
-                    continue
-                try:
-                    data, error = archive.read(info), None
-                except Exception:  # noqa: BLE001
-                    data, error = member_bytes(partition.path, info.header_offset)
-                rows.append({"archive": partition.path, "offset": info.header_offset, "member": info.filename, "about": info.comment.decode(), "media": data, "error": error})
-                held += len(data or b"")
-                if held > BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                    rows, held = [], 0
-        file.close()
+        for row in self.members(partition):
+            rows.append(row)
+            held += len(row["media"] or b"")
+            if held > BATCH:
+                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
+    def members(self, partition: Range) -> Iterator[dict]:
+        path, file = partition.path, Ranged(partition.path)
+        try:
+            with zipfile.ZipFile(file) as archive:
+                for info in archive.infolist():
+                    if not partition.first <= info.header_offset < partition.end:
+                        continue
+                    try:
+                        data, error = archive.read(info), None  # checks the member's CRC
+                    except Exception:  # noqa: BLE001
+                        data, error = member_bytes(path, info.header_offset)
+                    yield {"archive": path, "offset": info.header_offset, "member": info.filename, "about": info.comment.decode(), "media": data, "error": error}
+        except zipfile.BadZipFile as e:  # the directory is damaged
+            if partition.first == 0:
+                yield {"archive": path, "offset": -1, "member": None, "about": None, "media": None, "error": f"{type(e).__name__}: {e}"}
+            for at in walked(file, partition.first, min(partition.end, file.size)):
+                try:
+                    name, data = own_member(file, at)
+                except Exception:  # noqa: BLE001  a mark within other data, or a damaged member
+                    continue
+                yield {"archive": path, "offset": at, "member": name, "about": None, "media": data, "error": None}
+        finally:
+            file.close()
+
 
 class ArchiveWriter(DataSourceArrowWriter):
     """Takes rows member, about, media."""
@@ -108,35 +168,39 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        """Archives of about ARCHIVE bytes, so that reading a directory stays a small part of reading a range."""
         fs, top = opened(self.path)
-        name, n, archive, out = f"{uuid.uuid4().hex}.zip", 0, None, None
+        names, n, held, archive, out = [], 0, 0, None, None
         for batch in iterator:
             for row in batch.to_pylist():
                 if archive is None:
                     fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(f"{top}/_{name}.tmp", compression=None)
-                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+                    names.append(f"{uuid.uuid4().hex}.zip")
+                    out = fs.open_output_stream(f"{top}/_{names[-1]}.tmp", compression=None)
+                    archive, held = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1), 0
                 info = zipfile.ZipInfo(row["member"])
                 info.compress_type, info.comment = zipfile.ZIP_DEFLATED, row["about"].encode()
                 archive.writestr(info, row["media"], compresslevel=1)
-                n += 1
+                n, held = n + 1, held + info.compress_size + 200
+                if held > ARCHIVE:
+                    archive.close()
+                    out.close()
+                    archive = None
         if archive is not None:
             archive.close()
             out.close()
-        return Written(name if n else None, n)
+        return Written(names, n)
 
     def commit(self, messages: list) -> None:
         fs, top = opened(self.path)
         fs.create_dir(top, recursive=True)
-        for m in messages:
-            if m and m.path:
-                fs.move(f"{top}/_{m.path}.tmp", f"{top}/{m.path}")
+        for name in (x for m in messages if m for x in m.names):
+            fs.move(f"{top}/_{name}.tmp", f"{top}/{name}")
 
     def abort(self, messages: list) -> None:
         fs, top = opened(self.path)
-        for m in messages:
-            if m and m.path:
-                fs.delete_file(f"{top}/_{m.path}.tmp")
+        for name in (x for m in messages if m for x in m.names):
+            fs.delete_file(f"{top}/_{name}.tmp")
 
 
 class MediaArchives(DataSource):
