@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of a lookup table up to which it is broadcast; rows are narrow (under 200 bytes), so under 20 MB.
 BROADCAST_ROWS = 100_000
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 8 << 20
 #: Parts into which a larger lookup spreads every key.
 SALTS = 64
 
@@ -30,12 +32,14 @@ def typed(spec: str) -> T.DataType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a local master, where that is unset, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
             found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -46,10 +50,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no rerun of what made it."""
+    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no rerun of what made it. Row groups
+    are small, as each writing task holds one of them in memory."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,8 +91,10 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", spread
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as one text may be very long."""
+    """Batches of few rows and bytes, of Parquet readers and for Python, as one text may be very long."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

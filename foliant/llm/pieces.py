@@ -8,15 +8,18 @@
    unit. A character without a piece gives an edge that turns into its UTF-8 bytes' pieces.
 3. Spark's higher-order `aggregate` folds each unit's edges: for a unigram model by Viterbi over positions; for a BPE model
    in the order of the merges over a bit mask of the boundaries (Viterbi over BPE scores, which are ranks, gives other ids
-   than the model's own encoder; see the README).
-4. The dictionary unit -> ids encodes the documents. Its most frequent units, up to HOT of them, are broadcast in a compact
-   form; the rest reaches the documents by joins on unit and then text. Every unit is encoded by the lattice.
+   than the model's own encoder; see the README). For a BPE model an edge is packed into one number.
+4. The dictionary unit -> ids encodes the documents. Its most frequent units, up to HOT bytes of them, are broadcast in a
+   compact form; the rest reaches the documents by joins on unit and then text. Every unit is encoded by the lattice.
 
 BPE in one pass: merges happen in order of rank, leftmost first, and a piece (start, end) comes about when both its ends
 are boundaries with exactly one between. Sorted by (rank, start, end), each edge need be looked at once: inside two
-boundaries that no merge crosses, merging goes as for the piece alone, whose last step has the piece's own rank.
+boundaries that no merge crosses, merging goes as for the piece alone, whose last step has the piece's own rank. (Pieces of
+equal scores, as runs of spaces have, are put where their last step comes; see Packed.)
 
-Units over LONG characters (no boundary mask of 63 bits holds them) are merged by `merge_long`, with a heap.
+Units from LONG characters on are parted further between characters that no piece has side by side. What is still as long
+is exploded window by window and has its mask in several numbers; it is folded all the same. (For a unigram model the fold
+takes time by the square of such a unit's length.)
 
 Defined results. Null or empty text: no ids. Equal rows get equal results. An empty table gives an empty result. Ids are
 those of the model's own encoder. Decoding gives back every text without "▁" or null; `round_trip` tells.
@@ -24,10 +27,11 @@ those of the model's own encoder. Decoding gives back every text without "▁" o
 
 from __future__ import annotations
 
-import heapq
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -38,11 +42,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import free_name, kept_table, small_batches
+from .common import free_name, kept_table, lookup, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longest unit for the boundary mask; units that are broadcast (about 25 bytes each); units a task counts before it hands them on.
-LONG, HOT, COUNTED = 62, 4_000_000, 150_000
+#: Boundaries that one number of the mask holds; bytes of the units that are broadcast; units a task counts before it hands them on.
+LONG, HOT, COUNTED = 62, 128 << 20, 60_000
+#: Units whose edges (about 0.5 KB) a task groups in memory before it sorts; characters of a longer unit's window; numbers in
+#: a part of its mask; most parts into which the units are dealt.
+GROUPED, WINDOW, PART, PARTS = 20_000, 256, 32, 50_000
+#: Copies of a text that one task encodes from joined units; more are dealt over further ones.
+COPIES = 1000
 SPACE = "▁"
 
 
@@ -66,6 +75,7 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space after another character")
         self.cut = self._cut()
+        self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
 
     def _cut(self) -> str:
         """The pattern of units. Digits, signs and all other characters part where no piece mixes them."""
@@ -82,20 +92,38 @@ class Pieces:
         several = any(len(p.lstrip(SPACE)) > 1 and kind(p.lstrip(SPACE)[0]) == "d" for p in self.id if p.lstrip(SPACE))
         return f"{SPACE}*[^{sign}0-9{SPACE}]+|{SPACE}*[0-9]{'+' if several else ''}|{SPACE}*[{sign}]+|{SPACE}+"
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame({"piece": list(self.id), "id": list(self.id.values()), "score": [self.score[i] for i in self.id.values()]}), "piece string, id int, score double")
+    def table(self, spark: SparkSession, packed: Packed | None = None) -> DataFrame:
+        """piece, id, and score or, for packed edges, the score's rank and the piece's shift."""
+        ids = list(self.id.values())
+        last = {"rank": [packed.rank[self.score[i]] for i in ids], "shift": [packed.shift.get(i, 0) for i in ids]} if packed else {"score": [self.score[i] for i in ids]}
+        return spark.createDataFrame(pd.DataFrame({"piece": list(self.id), "id": ids, **last}), f"piece string, id int, {'rank int, shift int' if packed else 'score double'}")
 
 
 def prepared(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def units_of(cut: str, pairs: set[str]) -> Callable[[str], list[str]]:
+    """A prepared text's units, in order."""
+    find = re.compile(cut).findall
+
+    def parted(unit: str) -> list[str]:
+        at = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs), len(unit)]
+        return [unit[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def units(text: str) -> list[str]:
+        found = find(text)
+        return [p for u in found for p in (parted(u) if len(u) >= LONG else (u,))] if any(len(u) >= LONG for u in found) else found
+
+    return units
+
+
 def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """unit, n: the distinct units of all texts."""
-    cut = pieces.cut
+    cut, pairs = pieces.cut, pieces.pairs
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(cut).findall
+        find = units_of(cut, pairs)
         seen: Counter = Counter()
         out = lambda: pa.RecordBatch.from_pydict({"unit": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
         for batch in batches:
@@ -111,24 +139,129 @@ def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def bit(mask: Column, at: Column) -> Column:
-    return F.getbit(mask, at) == 1
+def shifted(way: str, x: Column | int, n: Column | int) -> Column:
+    """shiftleft, shiftright or shiftrightunsigned of a long."""
+    return F.call_function(way, (x if isinstance(x, Column) else F.lit(x)).cast("long"), (n if isinstance(n, Column) else F.lit(n)).cast("int"))
+
+
+class Packed:
+    """An edge as one number, and numbers sort as merges come: rank of the score (equal scores, equal ranks), start, length, id.
+
+    A merge of two pieces of its own rank comes right after that of its right part, so it is sorted by that part's place: the
+    number holds start + shift and length - shift, and then the shift, which is the left part's length (else 0).
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.rank = {x: i for i, x in enumerate(sorted(set(pieces.score.values()), reverse=True))}
+        self.none = len(pieces.surface)  # the id of a character without a piece
+        self.shift = _shifts(pieces)
+        wide = pieces.longest.bit_length()
+        self.at_shift = self.none.bit_length()
+        self.at_length, self.at_start, self.at_rank = self.at_shift + wide, self.at_shift + 2 * wide, 63 - len(self.rank).bit_length()
+        if self.at_rank - self.at_start < 20:
+            raise ValueError("too many pieces for edges of one number")
+
+    def edge(self, rank: Column, s: Column, n: Column, shift: Column, id_: Column) -> Column:
+        fields = ((rank, self.at_rank), (s + shift, self.at_start), (n - shift, self.at_length), (shift, self.at_shift))
+        return reduce(lambda x, f: x.bitwiseOR(shifted("shiftleft", *f)), fields, id_.cast("long"))
+
+    def _field(self, x: Column, at: int, end: int) -> Column:
+        return shifted("shiftright", x, at).bitwiseAND((1 << end - at) - 1).cast("int")
 
+    def start(self, x: Column) -> Column:
+        return self._field(x, self.at_start, self.at_rank) - self._field(x, self.at_shift, self.at_length)
 
-def between(e: Column) -> Column:
-    """The bits strictly between an edge's ends."""
-    return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), e["e"] - e["s"] - 1) - 1, e["s"] + 1)
+    def length(self, x: Column) -> Column:
+        return self._field(x, self.at_length, self.at_start) + self._field(x, self.at_shift, self.at_length)
 
+    def id(self, x: Column) -> Column:
+        return x.bitwiseAND((1 << self.at_shift) - 1).cast("int")
 
-def folded_merges(edges: Column, length: Column) -> Column:
-    """The edges of the BPE segmentation: a fold over the boundary mask, then the edges that span two neighbouring boundaries."""
-    ordered = F.array_sort(F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"))))
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), (length + 1).cast("int")) - 1
-    merges = lambda m, x: bit(m, x["s"]) & bit(m, x["e"]) & (F.bit_count(m.bitwiseAND(between(x))) == 1)
-    mask = F.aggregate(ordered, full, lambda m, x: F.when(merges(m, x), m.bitwiseAND(F.bitwise_not(between(x)))).otherwise(m))
-    # `let`: the mask is bound once, as a lambda's variable
-    chosen = F.transform(F.array(mask), lambda m: F.filter(edges, lambda x: bit(m, x["s"]) & bit(m, x["e"]) & (m.bitwiseAND(between(x)) == 0)))
-    return F.array_sort(F.transform(F.flatten(chosen), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))))
+    def placed(self, x: Column) -> Column:
+        """start and id alone, so that numbers sort by start."""
+        return shifted("shiftleft", self.start(x), self.at_shift).bitwiseOR(self.id(x).cast("long"))
+
+    def place(self, x: Column) -> Column:
+        """The start in such a number; its id is `id`."""
+        return shifted("shiftright", x, self.at_shift).cast("int")
+
+
+def _shifts(pieces: Pieces) -> dict[int, int]:
+    """Of each piece the length of the left part of its last merge if the right part has the same score, else 0 (and left out)."""
+    same = Counter(pieces.score.values())
+    found = {}
+    for piece, i in pieces.id.items():
+        if same[pieces.score[i]] == 1 or len(piece) == 1:
+            continue
+        symbols, left, right = list(piece), 0, 1
+        while len(symbols) > 1:
+            pairs = [(-pieces.score[pieces.id[x]], k) for k in range(len(symbols) - 1) if (x := symbols[k] + symbols[k + 1]) in pieces.id]
+            if not pairs:
+                raise ValueError(f"the piece {piece!r} doesn't come about by merges")
+            k = min(pairs)[1]
+            left, right = len(symbols[k]), len(symbols[k + 1])
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        part = pieces.id.get(piece[left:])
+        if right > 1 and pieces.score[part] == pieces.score[i]:
+            found[i] = left
+    if any(pieces.id[p[n:]] in found for p, i in pieces.id.items() if (n := found.get(i))):
+        raise ValueError("pieces of one score that are merged from each other in several steps aren't known here")
+    return found
+
+
+class ShortMask:
+    """The boundaries of a unit of less than LONG characters, as one long."""
+
+    @staticmethod
+    def full(length: Column) -> Column:
+        return shifted("shiftleft", 1, length + 1) - 1
+
+    @staticmethod
+    def seen(m: Column, start: Column) -> Column:
+        """The boundaries from a place on."""
+        return shifted("shiftrightunsigned", m, start)
+
+    @staticmethod
+    def without(m: Column, start: Column, bits: Column) -> Column:
+        """Bits, counted from a place on, taken out."""
+        return m.bitwiseAND(F.bitwise_not(shifted("shiftleft", bits, start)))
+
+
+class LongMask:
+    """The boundaries of a unit of any length: LONG in each of arrays of PART longs, so that a merge copies little."""
+
+    @staticmethod
+    def full(length: Column) -> Column:
+        word = lambda k: shifted("shiftleft", 1, F.greatest(F.lit(0), F.least(F.lit(LONG), length + 1 - k * LONG))) - 1
+        return F.transform(F.sequence(F.lit(0), F.floor(length / (LONG * PART)).cast("int")), lambda j: F.transform(F.sequence(j * PART, j * PART + PART - 1), lambda k: word(k)))
+
+    @staticmethod
+    def seen(m: Column, start: Column) -> Column:
+        word = lambda k: F.coalesce(F.get(F.get(m, F.floor(k / PART).cast("int")), k % PART), F.lit(0))
+        k, within = F.floor(start / LONG).cast("int"), start % LONG
+        return shifted("shiftrightunsigned", word(k), within).bitwiseOR(shifted("shiftleft", word(k + 1), LONG - within))
+
+    @staticmethod
+    def without(m: Column, start: Column, bits: Column) -> Column:
+        first, within = F.floor(start / LONG).cast("int"), start % LONG
+        here, further = shifted("shiftleft", bits, within).bitwiseAND((1 << LONG) - 1), shifted("shiftrightunsigned", bits, LONG - within)
+        word = lambda w, k: F.when(k == first, w.bitwiseAND(F.bitwise_not(here))).when(k == first + 1, w.bitwiseAND(F.bitwise_not(further))).otherwise(w)
+        touched = lambda j: (j == F.floor(first / PART)) | (j == F.floor((first + 1) / PART))
+        return F.transform(m, lambda p, j: F.when(touched(j), F.transform(p, lambda w, i: word(w, j * PART + i))).otherwise(p))
+
+
+def folded_merges(edges: Column, length: Column, packed: Packed, mask: type[ShortMask] | type[LongMask]) -> Column:
+    """The edges of the BPE segmentation in order, as Packed.placed: a fold over the boundary mask, then the edges that span
+    two neighbouring boundaries."""
+    s, n = packed.start, packed.length
+    bits = lambda x: shifted("shiftleft", 1, n(x))  # noqa: E731  of the edge's end; less 2, of the places inside
+    merges = lambda seen, x: (seen.bitwiseAND(bits(x) + 1) == bits(x) + 1) & (F.bit_count(seen.bitwiseAND(bits(x) - 2)) == 1)
+    ordered = F.sort_array(F.filter(edges, lambda x: n(x) > 1))
+    left = F.aggregate(ordered, mask.full(length), lambda m, x: F.when(merges(mask.seen(m, s(x)), x), mask.without(m, s(x), bits(x) - 2)).otherwise(m))
+    spans = lambda m, x: mask.seen(m, s(x)).bitwiseAND(2 * bits(x) - 1) == bits(x) + 1
+    # the mask is bound once, as a lambda's variable
+    chosen = F.get(F.transform(F.array(left), lambda m: F.filter(edges, lambda x: spans(m, x))), F.lit(0))
+    return F.sort_array(F.transform(chosen, lambda x: packed.placed(x)))
 
 
 def folded_viterbi(edges: Column, length: Column) -> Column:
@@ -148,98 +281,91 @@ def folded_viterbi(edges: Column, length: Column) -> Column:
     return F.flatten(F.transform(F.array(best), back))
 
 
-def with_bytes(path: Column, unit: Column, pieces: Pieces) -> Column:
+def with_bytes(path: Column, unit: Column, pieces: Pieces, place: Callable[[Column], Column], piece: Callable[[Column], Column], missing: int) -> Column:
     """Ids of a path; an edge without a piece gives those of its character's bytes."""
     first = pieces.byte[0]
     if [pieces.byte[b] for b in range(256)] != list(range(first, first + 256)):
         raise ValueError("the bytes' pieces don't stand in a row")
     octets = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.substring(F.hex(F.encode(c, "utf-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("int") + first)
-    return F.flatten(F.transform(path, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(octets(F.substring(unit, x["s"] + 1, F.lit(1))))))
-
-
-def merge_long(unit: str, pieces_id: dict, score: dict, byte: dict) -> list[int]:
-    """BPE of one unit with a heap of pairs: n log n."""
-    symbol: list[str | None] = list(unit)
-    after, before = [*range(1, len(unit)), -1], [-1, *range(len(unit) - 1)]
-    heap: list[tuple[float, int, int]] = []
-
-    def push(a: int, b: int) -> None:
-        if a >= 0 and b >= 0 and (found := pieces_id.get(symbol[a] + symbol[b])) is not None:
-            heapq.heappush(heap, (-score[found], a, len(symbol[a]) + len(symbol[b])))
-
-    for i in range(len(unit) - 1):
-        push(i, i + 1)
-    while heap:
-        _, a, size = heapq.heappop(heap)
-        b = after[a] if symbol[a] is not None else -1
-        if b < 0 or symbol[a] is None or len(symbol[a]) + len(symbol[b]) != size:
-            continue
-        symbol[a], symbol[b] = symbol[a] + symbol[b], None
-        after[a] = after[b]
-        if after[a] >= 0:
-            before[after[a]] = a
-        push(before[a], a)
-        push(a, after[a])
-    return [i for s in symbol if s is not None for i in ([pieces_id[s]] if s in pieces_id else [byte[x] for x in s.encode()])]
-
-
-def viterbi_long(unit: str, pieces_id: dict, score: dict, byte: dict, longest: int) -> list[int]:
-    """Unigram Viterbi of one unit: linear."""
-    unknown = min(score.values()) - 10
-    best: list[tuple] = [(0.0, -1, None)]
-    for e in range(1, len(unit) + 1):
-        options = [(best[s][0] + score[pieces_id[unit[s:e]]], s, pieces_id[unit[s:e]]) for s in range(max(0, e - longest), e) if unit[s:e] in pieces_id]
-        if unit[e - 1 : e] not in pieces_id:
-            options.append((best[e - 1][0] + unknown, e - 1, None))
-        best.append(max(options, key=lambda o: o[0]))
-    out, at = [], len(unit)
-    while at:
-        _, s, found = best[at]
-        out.append([found] if found is not None else [byte[x] for x in unit[s:at].encode()])
-        at = s
-    return [i for x in reversed(out) for i in x]
-
-
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, n -> unit, n, ids. Units come partitioned by unit, and neither the explode nor the broadcast join moves them, so
-    grouping the edges by unit needs no shuffle of its own."""
-    table = pieces.table(units.sparkSession)
-    longest = pieces.longest
-    fits = F.col("length") <= LONG
-    # a unit that is too long gets one row without an edge, so that it stays in the same plan
-    starts = units.select("unit", "n", F.length("unit").alias("length")).select("*", F.explode(F.when(fits, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array(F.lit(-1)))).alias("s"))
-    ends = F.when(fits, F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("length")))).otherwise(F.array(F.lit(0)))
-    spans = starts.select("unit", "n", "length", "s", F.explode(ends).alias("e"))
-    named = spans.withColumn("piece", F.when(fits, F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s"))))
-    unknown = min(pieces.score.values()) - 10
-    edges = named.join(F.broadcast(table), "piece", "left").where("id is not null or e - s = 1")
-    edge = F.struct((-F.coalesce("score", F.lit(unknown))).alias("rank"), F.col("s"), F.col("e"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.first("length").alias("length"), F.collect_list(edge).alias("edges"))
-    path = (folded_viterbi if pieces.unigram else folded_merges)(F.col("edges"), F.col("length"))
-    ids, score, byte, unigram = pieces.id, pieces.score, pieces.byte, pieces.unigram
-
-    @F.pandas_udf("array<int>")
-    def long(found: pd.Series) -> pd.Series:
-        return pd.Series([None if u is None else viterbi_long(u, ids, score, byte, longest) if unigram else merge_long(u, ids, score, byte) for u in found], dtype=object)
-
-    by_lattice = F.when(fits, with_bytes(path, F.col("unit"), pieces))
-    return grouped.select("unit", "n", F.coalesce(by_lattice, long(F.when(~fits, F.col("unit")))).alias("ids"))
+    several = lambda p: F.flatten(F.transform(p, lambda x: F.when(piece(x) != missing, F.array(piece(x))).otherwise(octets(F.substring(unit, place(x) + 1, F.lit(1))))))
+    ids = lambda p: F.when(F.exists(p, lambda x: piece(x) == missing), several(p)).otherwise(F.transform(p, lambda x: piece(x)))
+    return F.get(F.transform(F.array(path), lambda p: ids(p)), F.lit(0))
+
+
+def edges_of(spans: DataFrame, pieces: Pieces, packed: Packed | None) -> DataFrame:
+    """spans (key, window, at, last and more) -> key and edge: the window's substrings up to the longest piece that begin before
+    `last`, equi-joined to the pieces. `at` is the window's place in its unit."""
+    table = pieces.table(spans.sparkSession, packed)
+    starts = spans.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("last") - 1)))
+    each = starts.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.longest, F.length("window")))))
+    named = each.withColumn("piece", F.substring("window", F.col("s") + 1, F.col("e") - F.col("s")))
+    found = named.join(F.broadcast(table), "piece", "left").where("id is not null or e - s = 1")
+    s, n = F.col("at") + F.col("s"), F.col("e") - F.col("s")
+    if packed:
+        edge = packed.edge(F.coalesce("rank", F.lit(len(packed.rank))), s, n, F.coalesce("shift", F.lit(0)), F.coalesce("id", F.lit(packed.none)))
+    else:
+        unknown = min(pieces.score.values()) - 10
+        edge = F.struct((s + n).alias("e"), s.alias("s"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
+    return found.withColumn("edge", edge)
+
+
+def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit, n -> unit, n, ids.
+
+    Short units are dealt by unit first, so that their edges are grouped where they come about. Longer ones are cut into
+    windows that overlap by the longest piece, these are dealt out, and only the edges of one unit meet in a task.
+    """
+    packed = None if pieces.unigram else Packed(pieces)
+
+    def ids(mask: type[ShortMask] | type[LongMask]) -> Column:
+        edges, length, unit = F.col("edges"), F.col("length"), F.col("unit")
+        if packed:
+            return with_bytes(folded_merges(edges, length, packed, mask), unit, pieces, packed.place, packed.id, packed.none)
+        return with_bytes(folded_viterbi(edges, length), unit, pieces, lambda x: x["s"], lambda x: x["id"], -1)
+
+    length = F.length("unit")
+    # as many parts as keep a task's units within what it groups in memory (up to a number of parts, beyond which it sorts)
+    parts = min(words.count() * 5 // (4 * GROUPED) + 1, PARTS)
+    short = words.where(length < LONG).repartition(parts, "unit").select("unit", "n", F.col("unit").alias("window"), F.lit(0).alias("at"), length.alias("last"))
+    grouped = edges_of(short, pieces, packed).groupBy("unit").agg(F.first("n").alias("n"), F.first("last").alias("length"), F.collect_list("edge").alias("edges"))
+    done = grouped.select("unit", "n", ids(ShortMask).alias("ids"))
+    long = words.where(length >= LONG).select("unit", "n", F.sha2("unit", 256).alias("key"))
+    if not long.limit(1).count():
+        return done
+    window = lambda at: F.struct(at.alias("at"), F.substring(F.col("unit"), at + 1, F.lit(WINDOW + pieces.longest)).alias("window"), F.least(F.lit(WINDOW), length - at).alias("last"))
+    cut = long.select("key", F.transform(F.sequence(F.lit(0), length - 1, F.lit(WINDOW)), window).alias("w")).select("key", F.explode("w").alias("w")).select("key", "w.*").repartition("key", "at")
+    grouped = edges_of(cut, pieces, packed).groupBy("key").agg(F.collect_list("edge").alias("edges"))
+    return done.unionByName(long.join(grouped, "key").withColumn("length", length).select("unit", "n", ids(LongMask).alias("ids")))
+
+
+HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def dictionary(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    return kept_table(lattice(unit_counts(docs, pieces), pieces), "units")
+    spark = docs.sparkSession
+    words = kept_table(unit_counts(docs, pieces), "words")
+    before = spark.conf.get(HASHED)
+    spark.conf.set(HASHED, str(GROUPED))
+    try:
+        return kept_table(lattice(words, pieces), "units")
+    finally:
+        spark.conf.set(HASHED, before)
 
 
 def compact(table: pa.Table) -> dict[str, np.ndarray]:
-    """unit, ids -> arrays sorted by the units' hashes."""
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(u.as_py().encode()) for u in table.column("unit")), np.uint64, len(table))
+    """hash, check, ids -> arrays sorted by hash."""
+    hashes = table.column("hash").to_numpy().view(np.uint64)
     lists = table.column("ids").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     order = np.argsort(hashes, kind="stable")
     if len(order) and (hashes[order][1:] == hashes[order][:-1]).any():
         raise ValueError("two units share a hash")
-    return {"hash": hashes[order], "start": offsets[:-1][order], "size": np.diff(offsets)[order], "ids": values.astype(np.uint16 if not len(values) or values.max() < 2**16 else np.int32)}
+    size = np.diff(offsets)[order]
+    return {
+        "hash": hashes[order], "check": table.column("check").to_numpy().astype(np.uint32)[order], "start": offsets[:-1][order].astype(np.int32), "size": size.astype(np.uint8 if not len(size) or size.max() < 256 else np.int32),
+        "ids": values.astype(np.uint16 if not len(values) or values.max() < 2**16 else np.int32),
+    }
 
 
 ENCODED = "ids array<int>, n_tokens int, round_trip boolean"
@@ -247,26 +373,27 @@ ENCODED = "ids array<int>, n_tokens int, round_trip boolean"
 
 def encoder(pieces: Pieces, hot) -> F.udf:
     """A UDF (text, the rarer units' ids) -> struct<ids, n_tokens, round_trip>."""
-    cut, surface = pieces.cut, pieces.surface
+    cut, pairs, surface = pieces.cut, pieces.pairs, pieces.surface
 
     class Places(dict):
         """unit -> its place in the broadcast arrays, or -1."""
 
-        def __init__(self, hashes: np.ndarray):
-            self.hashes = hashes
+        def __init__(self, hashes: np.ndarray, checks: np.ndarray):
+            self.hashes, self.checks = hashes, checks
 
         def __missing__(self, unit: str) -> int:
             if len(self) > 2 * COUNTED:
                 self.clear()
-            h = np.uint64(xxhash.xxh3_64_intdigest(unit.encode()))
+            data = unit.encode()
+            h = np.uint64(xxhash.xxh64_intdigest(data, 42))  # as Spark's xxhash64
             i = int(np.searchsorted(self.hashes, h))
-            self[unit] = i = i if i < len(self.hashes) and self.hashes[i] == h else -1
+            self[unit] = i = i if i < len(self.hashes) and self.hashes[i] == h and self.checks[i] == zlib.crc32(data) else -1
             return i
 
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        find = re.compile(cut).findall
+        find = units_of(cut, pairs)
         known = hot.value
-        places, start, size, flat = Places(known["hash"]), known["start"], known["size"], known["ids"]
+        places, start, size, flat = Places(known["hash"], known["check"]), known["start"], known["size"], known["ids"]
         for texts, tails in batches:
             docs, rare = texts.to_pylist(), tails.to_pylist() if tails.null_count < len(tails) else [None] * len(tails)
             parts, ends = [], [0]
@@ -274,7 +401,7 @@ def encoder(pieces: Pieces, hot) -> F.udf:
                 units = find(prepared(text or ""))
                 at = np.array([places[u] for u in units], np.int64)
                 if (at >= 0).all():
-                    sizes = size[at]
+                    sizes = size[at].astype(np.int64)
                     total = int(sizes.sum())
                     ids = flat[np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)].astype(np.int32) if total else np.empty(0, np.int32)
                 else:
@@ -299,37 +426,42 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
     """docs with the struct column `encoded`."""
     spark = docs.sparkSession
     small_batches(spark)
-    units = dictionary(docs, pieces)
-    # the least count at which at most `hot` units remain; units of one count go together
-    by_count = units.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect()
-    least, room, rest = 1, hot, 0
+    units = dictionary(docs, pieces).withColumn("often", F.floor(F.log2("n") * 4).cast("int"))
+    # the least class of counts (four to a doubling) down to which the units stay within `hot` bytes
+    by_count = units.groupBy("often").agg(F.sum(F.size("ids") * 2 + 17).alias("bytes")).orderBy(F.desc("often")).collect()
+    least, room, rest = 0, hot, False
     for r in by_count:
-        if room < r.units:
-            least, rest = r.n + 1, 1
+        if room < r.bytes:
+            least, rest = r.often + 1, True
             break
-        room -= r.units
-    known = spark.sparkContext.broadcast(compact(units.where(F.col("n") >= least).select("unit", "ids").toArrow()))
-    out, tail, key = (free_name(docs, x) for x in ("encoded", "tail", "text_key"))
+        room -= r.bytes
+    known = spark.sparkContext.broadcast(compact(units.where(F.col("often") >= least).select(F.xxhash64("unit").alias("hash"), F.crc32("unit").alias("check"), "ids").toArrow()))
+    out, tail = free_name(docs, "encoded"), free_name(docs, "tail")
     udf = encoder(pieces, known)
     if not rest:
         return docs.withColumn(out, udf(F.col("text"), F.lit(None).cast("array<struct<unit:string,ids:array<int>>>")))
-    return with_tail(docs, units.where(F.col("n") < least), pieces, key, tail).withColumn(out, udf(F.col("text"), F.col(tail))).drop(key, tail)
+    return with_tail(docs, units.where(F.col("often") < least), pieces, tail).withColumn(out, udf(F.col("text"), F.col(tail))).drop(tail)
 
 
-def with_tail(docs: DataFrame, rare: DataFrame, pieces: Pieces, key: str, tail: str) -> DataFrame:
-    """docs with the ids of their rarer units. Rare units have few occurrences each, so no key of these joins is hot; the
-    last one's key is the text's hash, over which copies are dealt by salt."""
-    cut = pieces.cut
+def with_tail(docs: DataFrame, rare: DataFrame, pieces: Pieces, tail: str) -> DataFrame:
+    """docs with the ids of their rarer units. Rare units have few occurrences each, so no key of the first join is hot. The
+    last one's key is the text's hash; a text with more than COPIES copies is dealt over several parts of COPIES each."""
+    cut, pairs = pieces.cut, pieces.pairs
+    key, part, parts = (free_name(docs, x) for x in ("text_key", "text_part", "text_parts"))
 
     @F.pandas_udf("array<string>")
     def distinct_units(texts: pd.Series) -> pd.Series:
-        find = re.compile(cut).findall
+        find = units_of(cut, pairs)
         return pd.Series([list(dict.fromkeys(find(prepared(t or "")))) for t in texts])
 
     keyed = docs.withColumn(key, F.sha2("text", 256))
-    pairs = keyed.where("text is not null").select(key, "text").dropDuplicates([key]).select(key, F.explode(distinct_units("text")).alias("unit"))
-    found = pairs.join(rare.select("unit", "ids"), "unit").groupBy(key).agg(F.collect_list(F.struct("unit", "ids")).alias(tail))
-    return keyed.join(kept_table(found, "tails"), key, "left")
+    many = kept_table(keyed.groupBy(key).agg(F.ceil(F.count("*") / COPIES).cast("int").alias(parts)).where(f"{parts} > 1 and {key} is not null"), "copied")
+    pairs_ = keyed.where("text is not null").select(key, "text").dropDuplicates([key]).select(key, F.explode(distinct_units("text")).alias("unit"))
+    found = kept_table(pairs_.join(rare.select("unit", "ids"), "unit").groupBy(key).agg(F.collect_list(F.struct("unit", "ids")).alias(tail)), "tails")
+    every = F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)
+    dealt = lookup(found, many, key).select(key, tail, F.explode(every).alias(part))
+    here = lookup(keyed, many, key, spread=F.monotonically_increasing_id()).withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1))).cast("int"))
+    return here.join(dealt, [key, part], "left").drop(key, part, parts)
 
 
 def pieces_query(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -84,7 +84,7 @@ def test_urls(spark):
 # ---- 4
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = []
     for t in texts:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -99,7 +99,7 @@ def brute_components(texts):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [(len(s), find(i)) for i, s in enumerate(sets)]
@@ -132,6 +132,14 @@ def test_neardup_equals_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_stage_takes_similarities_from_0_8_on(spark):
+    texts = near_texts()
+    want = brute_components(texts, 80)
+    assert want != brute_components(texts)
+    kept = {r.doc_id for r in neardup.one_of_each(documents(spark, texts)).collect()}
+    assert kept == {i for i, (_, root) in enumerate(want) if root == i}
+
+
 def test_one_of_each(spark):
     docs = documents(spark, ["a b c d e f"] * 4 + ["g h i j k l", None, None, ""])
     docs = docs.unionByName(docs.where("doc_id = 0")).withColumn("row_key", F.lit(1))

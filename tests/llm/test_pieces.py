@@ -9,6 +9,7 @@ from foliant.llm import pieces as P
 ODD = [
     "", None, "  a  b   c\n\n\t x", "1234 5.67 ²².² Ünïcödé 😀 日本語", "a" * 200, "    ", "don't stop—“no”… नमस्ते दुनिया สวัสดี", "x=y+z; // foo(bar)[1] == {}",
     "ab" * 500 + "cdefgh" * 40 + " " * 70 + "é" * 99, "The same text.", "The same text.", "0123 4567 8901", "\x00\x01 control", "word " * 300,
+    "ab" * 300, "a" * 62, "a" * 61 + " " + "a" * 63, "the" * 41 + "é" + "the" * 41, "zq" * 80 + "in" * 90, "iiiiiiiiii" * 13,
 ]
 
 
@@ -16,7 +17,7 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize("hot", [P.HOT, 20])
+@pytest.mark.parametrize("hot", [P.HOT, 400, 20])
 def test_bpe_equals_library(spark, hot):
     library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
     rows = P.encode(frame(spark, ODD), P.Pieces(), hot).collect()
@@ -60,3 +61,11 @@ def test_empty_table_and_clashing_names(spark):
 
 def test_space_sign_is_no_round_trip(spark):
     assert not P.encode(frame(spark, ["a▁b"]), P.Pieces()).first().encoded.round_trip
+
+
+def test_runs_of_pieces_of_one_score(spark):
+    """Runs of spaces have pieces of one score, some of them merged from others."""
+    library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    texts = [" " * n + x for n in range(80) for x in ("", "x", "é ")]
+    for r in P.encode(frame(spark, texts), P.Pieces()).collect():
+        assert list(r.encoded.ids) == library.encode(r.text), repr(r.text)
