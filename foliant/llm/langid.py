@@ -6,8 +6,8 @@ expectation-maximisation (forward-backward counts), over the word counts of a sa
 of them, chosen by hash (a documented limit). Expected counts are summed in Spark; the driver gets one row for each piece and
 language.
 
-A word is a run of letters, lower-cased, with "▁" before it; runs over LONGEST letters go on as further words. A character
-that no piece holds has the probability FLOOR in every language.
+A word is a run of letters (with their combining marks), lower-cased, with "▁" before it, however long. A character that no piece holds has the probability FLOOR in every language. A language is learned if its
+share of the sample is at least one in LEAST_SHARE, which bounds the number of languages.
 
 Defined results. Null text, or one without a letter: `und`, score 0. If there is nothing to learn from: `und`. Documents whose
 id is null aren't learned from and aren't held out. Ties go to the least language. Equal rows get equal results.
@@ -15,22 +15,24 @@ id is null aren't learned from and aren't held out. Ties go to the least languag
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_table, small_batches
 from .pieces import MODEL, SPACE, Pieces
 
-TRAIN_DOCS, EM_ROUNDS, LONGEST, FLOOR, SMOOTH, MEMO = 6000, 3, 40, 1e-7, 200.0, 400_000
+TRAIN_DOCS, EM_ROUNDS, FLOOR, SMOOTH, MEMO, LEAST_SHARE = 6000, 3, 1e-7, 200.0, 400_000, 1000
+#: Words, and letters of words, whose lattices are summed at once; letters up to which sums need no scaling.
+WORDS, LETTERS, PLAIN = 8000, 100_000, 40
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"(?:\p{L}\p{M}*)+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,10 +40,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    found = _LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        return [p for w in found for p in ([SPACE + w] if len(w) <= LONGEST else [SPACE + w[:LONGEST], *(w[i : i + LONGEST] for i in range(LONGEST, len(w), LONGEST))])]
-    return [SPACE + w for w in found]
+    return [SPACE + w for w in _LETTERS.findall(text.lower())]
+
+
+def groups(words: list[str]) -> Iterator[list[int]]:
+    """Places of words of like lengths, so that the arrays over them have few empty cells."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    now: list[int] = []
+    for i in order:
+        if now and (len(now) >= WORDS or (len(now) + 1) * len(words[i]) > LETTERS):
+            yield now
+            now = []
+        now.append(i)
+    if now:
+        yield now
 
 
 def edges(words: list[str], ids: dict[str, int], longest: int) -> tuple[np.ndarray, ...]:
@@ -63,34 +75,48 @@ def edges(words: list[str], ids: dict[str, int], longest: int) -> tuple[np.ndarr
 
 def steps(start: np.ndarray, end: np.ndarray) -> list[slice]:
     """Runs of edges of one end and length: no word comes twice in a run."""
-    key = end * 64 + (end - start)
-    cuts = np.flatnonzero(np.diff(key)) + 1
-    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True)] if len(key) else []
+    cuts = np.flatnonzero(np.diff(end).astype(bool) | np.diff(end - start).astype(bool)) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(end)], strict=True)] if len(end) else []
 
 
 def forward(words: list[str], lattice: tuple, p: np.ndarray) -> np.ndarray:
-    """For each word, position and language the sum over all segmentations up to there. p: pieces x languages, the last row for -1."""
+    """For each word, position and language the log of the sum over all segmentations up to there.
+
+    p: pieces x languages, the last row for -1. Each position's sum is made relative to the one before, so that it neither
+    under- nor overflows; words of up to PLAIN letters can't, and are summed as they are.
+    """
     word, start, end, piece = lattice
-    alpha = np.zeros((len(words), max(map(len, words), default=0) + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
+    n = max(map(len, words), default=0) + 1
+    if n <= PLAIN:
+        alpha = np.zeros((len(words), n, p.shape[1]))
+        alpha[:, 0] = 1.0
+        for s in steps(start, end):
+            alpha[word[s], end[s]] += alpha[word[s], start[s]] * p[piece[s]]
+        return np.log(np.maximum(alpha, 1e-300))
+    logs, now, at = np.zeros((len(words), n, p.shape[1])), np.zeros((len(words), p.shape[1])), 1
     for s in steps(start, end):
-        alpha[word[s], end[s]] += alpha[word[s], start[s]] * p[piece[s]]
-    return alpha
+        if end[s.start] != at:
+            logs[:, at] = logs[:, at - 1] + np.log(np.where(now > 0, now, 1.0))  # 0: behind the word's end
+            now, at = np.zeros_like(now), int(end[s.start])
+        w = word[s]
+        now[w] += np.exp(logs[w, start[s]] - logs[w, at - 1]) * p[piece[s]]
+    logs[:, at] = logs[:, at - 1] + np.log(np.where(now > 0, now, 1.0))
+    return logs
 
 
 def expected(words: list[str], lattice: tuple, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces in words that come counts (words x languages) times."""
     word, start, end, piece = lattice
-    alpha = forward(words, lattice, p)
-    size = np.array([len(w) for w in words])
-    beta = np.zeros_like(alpha)
-    beta[np.arange(len(words)), size] = 1.0
-    for s in reversed(steps(start, end)):
-        beta[word[s], start[s]] += beta[word[s], end[s]] * p[piece[s]]
-    weight = counts / np.maximum(alpha[np.arange(len(words)), size], 1e-300)
-    share = alpha[word, start] * p[piece] * beta[word, end] * weight[word]
+    logs = forward(words, lattice, p)
+    # beta is that of the rest of the word, times the forward sum up to there, over the word's: all are at most 1
+    beta = np.zeros_like(logs)
+    beta[np.arange(len(words)), [len(w) for w in words]] = 1.0
     out = np.zeros_like(p)
-    np.add.at(out, piece, share)
+    for s in reversed(steps(start, end)):
+        w, a, b = word[s], start[s], end[s]
+        share = np.exp(logs[w, a] - logs[w, b]) * p[piece[s]] * beta[w, b]
+        beta[w, a] += share
+        np.add.at(out, piece[s], share * counts[w])
     return out
 
 
@@ -115,7 +141,11 @@ def train(docs: DataFrame, pieces: Pieces, most: int = TRAIN_DOCS) -> tuple[list
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.string()), "word": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     counts = kept_table(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    # a sample of some thousand documents has few languages, whatever is in the column: rarer values aren't learned
+    of = sample.groupBy("lang").agg(F.count("*").alias("n"))
+    every = max(sample.count(), 1)
+    languages = sorted(r.lang for r in of.where(F.col("n") * LEAST_SHARE >= every).collect())
+    counts = counts.where(F.col("lang").isin(languages))
     ids, longest, v = pieces.id, pieces.longest, len(pieces.surface)
     p = np.concatenate([np.full((v, len(languages)), 1.0 / v), np.full((1, len(languages)), FLOOR)])
     for _ in range(EM_ROUNDS if languages else 0):
@@ -124,8 +154,9 @@ def train(docs: DataFrame, pieces: Pieces, most: int = TRAIN_DOCS) -> tuple[list
         def e_step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             p, total = shared.value, None
             for b in batches:
-                for at in range(0, len(b), 4000):
-                    part = b.iloc[at : at + 4000]
+                every = b["word"].tolist()
+                for places in groups(every):
+                    part = b.iloc[places]
                     words = part["word"].tolist()
                     n = np.zeros((len(words), len(languages)))
                     n[np.arange(len(words)), [languages.index(x) for x in part["lang"]]] = part["n"]
@@ -135,7 +166,7 @@ def train(docs: DataFrame, pieces: Pieces, most: int = TRAIN_DOCS) -> tuple[list
                 i, j = np.nonzero(total[:-1] > 1e-9)
                 yield pd.DataFrame({"piece": i, "lang": j, "n": total[i, j]})
 
-        sums = counts.repartition(8).mapInPandas(e_step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        sums = counts.repartition("word").mapInPandas(e_step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         c = np.zeros((v, len(languages)))
         c[sums["piece"], sums["lang"]] = sums["n"]
         p = probabilities(c)
@@ -156,11 +187,11 @@ def predictor(languages: list[str], shared, pieces: Pieces):
                 place, logs = {}, logs[:0]
             new = list(dict.fromkeys(w for ws in found for w in ws if w not in place))
             parts = [logs]
-            for at in range(0, len(new), 8000):
-                words = new[at : at + 8000]
-                alpha = forward(words, edges(words, ids, longest), p)
-                parts.append(np.log(np.maximum(alpha[np.arange(len(words)), [len(w) for w in words]], 1e-300)))
-            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            for places in groups(new):
+                words = [new[i] for i in places]
+                logs_of = forward(words, edges(words, ids, longest), p)
+                parts.append(logs_of[np.arange(len(words)), [len(w) for w in words]])
+                place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
             logs = np.concatenate(parts)
             rows = []
             for ws in found:

@@ -314,8 +314,8 @@ def test_forward_sums_all_segmentations():
 
     words = ["a", "ab", "abab", "bbz", "zz"]
     lattice = langid.edges(words, ids, 2)
-    alpha = langid.forward(words, lattice, p)
-    assert [alpha[i, len(w), 0] for i, w in enumerate(words)] == pytest.approx([brute(w) for w in words])
+    logs = langid.forward(words, lattice, p)
+    assert [np.exp(logs[i, len(w), 0]) for i, w in enumerate(words)] == pytest.approx([brute(w) for w in words])
     counts = langid.expected(["ab"], langid.edges(["ab"], ids, 2), p, np.array([[1.0]]))
     assert counts[2, 0] == pytest.approx(0.1 / 0.16) and counts[0, 0] == pytest.approx(0.06 / 0.16)
 
