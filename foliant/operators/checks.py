@@ -301,30 +301,37 @@ def attachment_checklist(rule: Rule) -> Column:
     expected = [str(x) for x in rule.params.get("expected", [])]
     if not expected:
         return none()
-    hay = F.translate(all_text(), " \n", "")
-
-    def there(name: str) -> Column:
-        n = name.replace(" ", "").replace("\n", "")
-        whole_name = F.contains(hay, F.lit(n)) if len(n) >= 3 else F.lit(False)
-        enough = sum((F.contains(hay, F.lit(c)).cast("int") for c in n), F.lit(0)) >= F.lit(len(n) * 0.7) if len(n) >= 4 else F.lit(False)
-        return whole_name | enough
-
-    out = []
-    for name in expected:
-        unread = incomplete_pages()
-        unsure = finding(rule, texts(f"「{name}」未在已读取文本中出现，但第 ", page_list(unread), " 页未完整读取，无法确认是否缺失"), f"请先完成 OCR 或人工确认{name}是否已附", manual=True)
-        lost = finding(rule, texts(f"附件清单中「{name}」未在正文中出现"), f"请确认是否已附上{name}")
-        out.append(F.when(there(name), none()).when(F.size(unread) > 0, F.array(unsure)).otherwise(F.array(lost)))
-    fine = finding(rule, texts("已找到附件清单文字，但系统无法证明附件文件真实存在"), "请人工核对提交材料中的实际附件文件", manual=True)
-    return let(joined(*out), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(fine)))
+    bare = lambda name: name.replace(" ", "").replace("\n", "")
+    # which of the names' characters the text has, found in one pass over it
+    seen = "".join(sorted({c for name in expected for c in bare(name)}))
+
+    def judged(x: Column) -> Column:
+        def there(name: str) -> Column:
+            n = bare(name)
+            whole_name = F.contains(x["hay"], F.lit(n)) if len(n) >= 3 else F.lit(False)
+            enough = sum((F.array_contains(x["has"], c).cast("int") for c in n), F.lit(0)) >= F.lit(len(n) * 0.7) if len(n) >= 4 else F.lit(False)
+            return whole_name | enough
+
+        out = []
+        for name in expected:
+            unread = incomplete_pages()
+            unsure = finding(rule, texts(f"「{name}」未在已读取文本中出现，但第 ", page_list(unread), " 页未完整读取，无法确认是否缺失"), f"请先完成 OCR 或人工确认{name}是否已附", manual=True)
+            lost = finding(rule, texts(f"附件清单中「{name}」未在正文中出现"), f"请确认是否已附上{name}")
+            out.append(F.when(there(name), none()).when(F.size(unread) > 0, F.array(unsure)).otherwise(F.array(lost)))
+        fine = finding(rule, texts("已找到附件清单文字，但系统无法证明附件文件真实存在"), "请人工核对提交材料中的实际附件文件", manual=True)
+        return let(joined(*out), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(fine)))
+
+    marked = lambda hay: F.struct(hay.alias("hay"), F.filter(F.array(*map(F.lit, seen)).cast("array<string>"), lambda c: F.contains(hay, c)).alias("has"))
+    return let(let(F.translate(all_text(), " \n", ""), marked), judged)
 
 
 @operator("signature_page")
 def signature_page(rule: Rule) -> Column:
     words = [str(x) for x in rule.params.get("keywords", ["签字", "盖章"])]
     last = F.filter(BLOCKS(), lambda b: (b["page"] >= F.greatest(PAGES() - 1, F.lit(1))) & (b["page"] <= PAGES()))
+    every = F.array(*map(F.lit, words)).cast("array<string>")
     text = F.array_join(F.transform(last, lambda b: b["text"]), " ")
-    missing = F.array_sort(F.array_except(F.array(*map(F.lit, words)).cast("array<string>"), F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(text, w))))
+    missing = let(text, lambda t: F.array_sort(F.array_distinct(F.filter(every, lambda w: ~F.contains(t, w)))))
     unread = F.filter(incomplete_pages(), lambda p: (p >= F.greatest(PAGES() - 1, F.lit(1))) & (p <= PAGES()))
     shown = lambda m: texts("{", F.array_join(F.transform(m, lambda w: texts("'", w, "'")), ", "), "}")
     images = F.size(F.filter(last, lambda b: b["type"] == "image"))

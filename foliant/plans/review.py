@@ -49,9 +49,16 @@ def reviewed(documents: DataFrame, rules: RuleSet) -> DataFrame:
     return documents.select("doc_id", "filename", "blocks", F.concat(*lists, page_findings(len(rules.rules))).alias("found"), given.alias("statuses"))
 
 
+def once(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with a column that what follows reads as often as it likes and that is made once. An explode of a column makes Spark
+    filter on its size first; without this, that filter, and each field read of it, would make the column again."""
+    kept = F.explode(F.array(F.struct(column)))
+    return rows.select(*[c for c in rows.columns if c != column], kept.alias("once_")).select(*[c for c in rows.columns if c != column], F.col(f"once_.{column}").alias(column))
+
+
 def findings(documents: DataFrame, rules: RuleSet) -> DataFrame:
     """One row for each finding, in order (rule_ord, seq); page and box are filled in from the finding's block."""
-    rows = reviewed(documents, rules).select("doc_id", "blocks", F.explode("found").alias("x"))
+    rows = once(reviewed(documents, rules), "found").select("doc_id", "blocks", F.explode("found").alias("x"))
     b = F.get(F.filter("blocks", lambda b: b["id"] == F.col("x.f.block_id")), F.lit(0))
     return rows.select("doc_id", "x.rule_ord", "x.seq", "x.rule_id", "x.checker", "x.f.severity", F.coalesce("x.f.page", b["page"]).alias("page"), "x.f.block_id", b["bbox"].alias("bbox"), "x.f.evidence", "x.f.message", "x.f.suggestion", "x.f.confidence", "x.f.layer")
 
@@ -87,4 +94,4 @@ def summary(documents: DataFrame, rules: RuleSet) -> DataFrame:
 
 def checker_counts(documents: DataFrame, rules: RuleSet) -> DataFrame:
     """Findings of each checker, over all documents."""
-    return reviewed(documents, rules).select(F.explode("found").alias("x")).groupBy(F.coalesce("x.checker", F.lit("unknown")).alias("checker"), F.col("x.f.severity").alias("severity")).agg(F.count("*").alias("findings"))
+    return once(reviewed(documents, rules).select("found"), "found").select(F.explode("found").alias("x")).groupBy(F.coalesce("x.checker", F.lit("unknown")).alias("checker"), F.col("x.f.severity").alias("severity")).agg(F.count("*").alias("findings"))
