@@ -1,15 +1,15 @@
 """Visual lines and the life of tasks."""
 
-from foliant.operators.lines import grouped, visual_lines
+from foliant.operators.lines import visual_lines
 from foliant.streaming.tasks import advanced, folded, statuses
 
 
 def test_lines(spark):
     f = lambda text, x0, y0, h=10: {"text": text, "x0": float(x0), "y0": float(y0), "x1": x0 + 10.0, "y1": y0 + float(h)}
     rows = [f("c", 30, 1), f("b", 20, 0), f(" ", 0, 0), f("d", 0, 20), f("a", 10, 4), f("e", 20, 16)]
-    assert ["".join(x["text"] for x in line) for line in grouped(rows)] == ["abc", "de"]
     df = spark.createDataFrame([("d", 1, 0, r["text"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows], "doc_id string, page int, block int, text string, x0 double, y0 double, x1 double, y1 double")
     assert [(r.line, r.text, r.y0) for r in visual_lines(df).orderBy("line").collect()] == [(0, "abc", 0.0), (1, "de", 16.0)]
+    assert "Python" not in visual_lines(df)._jdf.queryExecution().executedPlan().toString() and visual_lines(df.limit(0)).count() == 0
 
 
 def test_life():
