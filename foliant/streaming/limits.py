@@ -36,17 +36,21 @@ def rate_limited(stream: DataFrame, key: str, at: str, ident: str, limit: int, s
         state.update((times,))
         yield pdf.assign(key=found[0], admitted=out)[["key", "at_us", "id", "admitted"]]
 
-    if not rows.isStreaming:
-        return rows.groupBy("key").applyInPandas(_batch(limit, span), LIMITED)
+    if not rows.isStreaming:  # a key's rows come one after the other, so a batch of them and its few times are all that is held
+        return rows.repartition("key").sortWithinPartitions("key", "at_us", "id").mapInPandas(_in_order(limit, span), LIMITED)
     return rows.groupBy("key").applyInPandasWithState(run, LIMITED, "times array<long>", "append", "NoTimeout")
 
 
-def _batch(limit: int, span: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, times, out = pdf.sort_values(["at_us", "id"]), [], []
-        for t in pdf["at_us"]:
-            times, ok = admit(times, int(t), limit, span)
-            out.append(ok)
-        return pdf.assign(admitted=out)[["key", "at_us", "id", "admitted"]]
+def _in_order(limit: int, span: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, times = object(), []
+        for pdf in batches:
+            out = []
+            for key, at in zip(pdf["key"], pdf["at_us"], strict=True):
+                if key != last:
+                    last, times = key, []
+                times, ok = admit(times, int(at), limit, span)
+                out.append(ok)
+            yield pdf.assign(admitted=out)[["key", "at_us", "id", "admitted"]]
 
     return run
