@@ -37,6 +37,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def units_of(cut: str, pairs: set[str]) -> Callable[[str], list[str]]:
 
     def units(text: str) -> list[str]:
         found = find(text)
-        return [p for u in found for p in (parted(u) if len(u) >= LONG else (u,))] if any(len(u) >= LONG for u in found) else found
+        return [p for u in found for p in (parted(u) if len(u) >= LONG else (u,))] if max(map(len, found), default=0) >= LONG else found
 
     return units
 
@@ -368,6 +369,17 @@ def compact(table: pa.Table) -> dict[str, np.ndarray]:
     }
 
 
+def places_of(units: list[str], known: dict[str, np.ndarray]) -> list[int]:
+    """Each unit's place in the arrays of `compact`, or -1; all units in one search."""
+    data = [u.encode() for u in units]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in data), np.uint64, len(data))  # as Spark's xxhash64
+    if not len(known["hash"]):
+        return [-1] * len(units)
+    at = np.minimum(np.searchsorted(known["hash"], hashes), len(known["hash"]) - 1)
+    found = (known["hash"][at] == hashes) & (known["check"][at] == np.fromiter(map(zlib.crc32, data), np.uint32, len(data)))
+    return np.where(found, at, -1).tolist()
+
+
 ENCODED = "ids array<int>, n_tokens int, round_trip boolean"
 
 
@@ -375,31 +387,21 @@ def encoder(pieces: Pieces, hot) -> F.udf:
     """A UDF (text, the rarer units' ids) -> struct<ids, n_tokens, round_trip>."""
     cut, pairs, surface = pieces.cut, pieces.pairs, pieces.surface
 
-    class Places(dict):
-        """unit -> its place in the broadcast arrays, or -1."""
-
-        def __init__(self, hashes: np.ndarray, checks: np.ndarray):
-            self.hashes, self.checks = hashes, checks
-
-        def __missing__(self, unit: str) -> int:
-            if len(self) > 2 * COUNTED:
-                self.clear()
-            data = unit.encode()
-            h = np.uint64(xxhash.xxh64_intdigest(data, 42))  # as Spark's xxhash64
-            i = int(np.searchsorted(self.hashes, h))
-            self[unit] = i = i if i < len(self.hashes) and self.hashes[i] == h and self.checks[i] == zlib.crc32(data) else -1
-            return i
-
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         find = units_of(cut, pairs)
-        known = hot.value
-        places, start, size, flat = Places(known["hash"], known["check"]), known["start"], known["size"], known["ids"]
+        known, surfaces = hot.value, pa.array(surface, pa.binary())
+        start, size, flat = known["start"], known["size"], known["ids"]
+        places: dict[str, int] = {}  # unit -> its place in the broadcast arrays, or -1
         for texts, tails in batches:
             docs, rare = texts.to_pylist(), tails.to_pylist() if tails.null_count < len(tails) else [None] * len(tails)
             parts, ends = [], [0]
             for text, tail in zip(docs, rare, strict=True):
                 units = find(prepared(text or ""))
-                at = np.array([places[u] for u in units], np.int64)
+                if len(places) > 2 * COUNTED:
+                    places.clear()
+                if new := list(set(units).difference(places)):
+                    places.update(zip(new, places_of(new, known), strict=True))
+                at = np.fromiter(map(places.__getitem__, units), np.int64, len(units))
                 if (at >= 0).all():
                     sizes = size[at].astype(np.int64)
                     total = int(sizes.sum())
@@ -409,17 +411,23 @@ def encoder(pieces: Pieces, hot) -> F.udf:
                     ids = np.array([i for u, p in zip(units, at.tolist(), strict=True) for i in (flat[start[p] : start[p] + size[p]].tolist() if p >= 0 else own[u])], np.int32)
                 parts.append(ids)
                 ends.append(ends[-1] + len(ids))
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            same = [decoded(ids.tolist(), surface) == (text or "") for ids, text in zip(parts, docs, strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values, pa.int32()))
-            yield pa.StructArray.from_arrays([lists, pa.array(np.diff(ends), pa.int32()), pa.array(same, pa.bool_())], ["ids", "n_tokens", "round_trip"])
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32()))
+            same = pc.equal(decoded(lists, surfaces), with_prefix(texts))
+            yield pa.StructArray.from_arrays([lists, pa.array(np.diff(ends), pa.int32()), same], ["ids", "n_tokens", "round_trip"])
 
     encode.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(encode, ENCODED)
 
 
-def decoded(ids: list[int], surface: list[bytes]) -> str:
-    return b"".join([surface[i] for i in ids])[1:].decode("utf-8", "replace")
+def decoded(ids: pa.ListArray, surfaces: pa.BinaryArray) -> pa.BinaryArray:
+    """The UTF-8 bytes of each list of ids, the dummy prefix's space in front; surfaces are the pieces' bytes by id."""
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, surfaces.take(ids.values)), b"")
+
+
+def with_prefix(texts: pa.StringArray) -> pa.BinaryArray:
+    """What decoding must give: a space and the text, or nothing for a null or empty one."""
+    texts = pc.fill_null(texts, "")
+    return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, "")).cast(pa.binary())
 
 
 def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
