@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, mixing, neardup, pieces, pii, quality, urls, warc, whitening
+from . import bpe, langid, licenses, media, mixing, neardup, pieces, pii, quality, urls, warc, whitening
 from .common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": _on("documents", pii.pii_query),
         "op9_language_id": _on("documents", langid.language_query),
         "op10_media_columns": _on("documents", media.media_query),
+        "op12_byte_bpe": _on("documents", bpe.bpe_query),
         "op13_whitening": _on("embeddings", whitening.whitening_query),
     }
 
