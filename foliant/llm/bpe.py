@@ -48,7 +48,7 @@ HOT, HELD, HELD_CHARS = 64 << 20, 200_000, 16 << 20
 #: Bytes up to which a word is its own key in a join.
 OWN_KEY = 64
 #: The code points with the property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, media, mixing, neardup, pieces, pii, quality, urls, warc, whitening
+from . import bpe, collocations, langid, licenses, media, mixing, neardup, pieces, pii, quality, urls, warc, whitening
 from .common import table
 
 
@@ -26,10 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": _on("documents", pii.pii_query),
         "op9_language_id": _on("documents", langid.language_query),
         "op10_media_columns": _on("documents", media.media_query),
+        "op11_collocations": _on("documents", collocations.collocation_query),
         "op12_byte_bpe": _on("documents", bpe.bpe_query),
         "op13_whitening": _on("embeddings", whitening.whitening_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op3_url_filters": urls.SQL, "op4_minhash_neardup": neardup.SQL, "op6_license_scan": licenses.SQL, "op7_mixing": mixing.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_url_filters": urls.SQL, "op4_minhash_neardup": neardup.SQL, "op6_license_scan": licenses.SQL, "op7_mixing": mixing.SQL, "op11_collocations": collocations.SQL}
