@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept_table, lookup
+from .common import kept_table, lookup, lookup_split
 
 #: The contract's: words of a candidate, least count, share (in hundredths) of a longer candidate that takes a shorter one out, best kept.
 LONGEST, LEAST, SHARE, BEST = 3, 10, 50, 2000
@@ -193,7 +193,7 @@ def scored(levels: DataFrame) -> DataFrame:
     cuts = levels.withColumn("words", words).where(size > 1).withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
     cuts = cuts.select("lang", "phrase", F.col("n").alias("a"), "k", key_of(F.col("lang"), joined(F.slice("words", F.lit(1), k))).alias("left"), key_of(F.col("lang"), joined(F.slice("words", k + 1, size - k))).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = lookup(cuts, counts.select(F.col("key").alias(side), F.col("n").alias(name)), side, "inner", spread=F.col("phrase"))
+        cuts = kept_table(lookup_split(cuts, counts.select(F.col("key").alias(side), F.col("n").alias(name)), side).drop(side), f"cuts_{name}")
     wide = {c: F.col(c).cast("decimal(18,0)") for c in "alr"}
     whole = F.expr("cast(cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0))) as decimal(38,0))")
     parts = (wide["l"] * wide["r"]).cast("decimal(38,0)")

@@ -90,6 +90,19 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", spread
     return big.withColumn(salt, by).join(dealt, [key, salt], how).drop(salt)
 
 
+def lookup_split(big: DataFrame, small: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """big inner joined to small, which has one row for each value of key, without copies of small.
+
+    Keys with over a `most`-th of big's rows are fewer than `most`, so their rows of small are broadcast; no other key has more rows
+    of big than that share. big is read three times; it should be a table.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key)
+    heavy = F.broadcast(big.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > max(1000, big.count() // most)).select(key))
+    hot = F.broadcast(small.join(heavy, key, "left_semi"))
+    return big.join(hot, key).unionByName(big.join(heavy, key, "left_anti").join(small, key))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Batches of few rows and bytes, of Parquet readers and for Python, as one text may be very long."""
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
