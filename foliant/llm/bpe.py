@@ -2,10 +2,11 @@
 
 1. A text falls into segments, cut before each run of white space: no pre-token crosses such a place, so a distinct segment is
    matched against the pattern once for a task. Pre-tokens are counted in the tasks and shuffled as distinct words with counts.
-2. Each distinct word is encoded once: its bytes are merged by the lowest rank, leftmost first, over a heap.
+2. Each distinct word is encoded once: its bytes are merged by the lowest rank, leftmost first, over a heap. A word that occurs
+   once in the whole corpus is encoded at that occurrence, as nobody else needs its ids; the others make up the dictionary.
 3. The dictionary word -> ids is joined back. Its most frequent words, up to HOT bytes of them in a compact form, are broadcast and
-   joined where the texts lie, in the texts' order. Further occurrences are left as gaps; these are exploded with row and
-   position, joined by word in a shuffle, gathered by row, and put into their positions. Texts are not shuffled.
+   joined where the texts lie, in the texts' order. If there are more, unknown words are left as gaps; these are exploded with row
+   and position, joined by word in a shuffle, gathered by row, and put into their positions. Texts are not shuffled.
 4. Decoding joins each id to the table of token bytes, whose size is the vocabulary's, and concatenates in order of position.
 
 Which characters are letters, digits or white space depends on the Unicode version of the library that tokenises; where the pattern
@@ -44,11 +45,14 @@ from .pieces import compact, places_of
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Bytes of the words that are broadcast; segments and their characters that a task holds before it hands on or forgets them.
-HOT, HELD, HELD_CHARS = 64 << 20, 200_000, 16 << 20
+HOT, HELD, HELD_CHARS = 64 << 20, 200_000, 4 << 20
+#: Characters of the texts that are encoded at a time.
+AT_A_TIME = 1 << 19
 #: Bytes up to which a word is its own key in a join.
 OWN_KEY = 64
 #: The code points with the property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_SET = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | frozenset(map(chr, range(0x2000, 0x200B)))
 SEGMENTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
@@ -131,6 +135,20 @@ def merged(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return out
 
 
+def cut(find: Callable[[str], list[str]], segments: list[str]) -> tuple[list[str], list[str], np.ndarray]:
+    """The segments in a new order, their pre-tokens one after another, and the number of each one's.
+
+    Those that begin with white space and end without are matched as one text, as no pre-token crosses their ends.
+    """
+    chained = [s for s in segments if s[0] in WHITE_SET and s[-1] not in WHITE_SET]
+    single = [s for s in segments if s[0] not in WHITE_SET or s[-1] in WHITE_SET] if len(chained) < len(segments) else []
+    tokens = find("".join(chained)) if chained else []
+    places = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    ends = np.searchsorted(places, np.cumsum(np.fromiter(map(len, chained), np.int64, len(chained)))) + 1
+    rest = [find(s) for s in single]
+    return chained + single, tokens + [t for each in rest for t in each], np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
+
+
 def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """word, n: the distinct pre-tokens of all texts."""
     pattern, stand_ins = vocabulary.pattern, vocabulary.stand_ins
@@ -139,11 +157,10 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         find, seen, chars = pre_tokens(pattern, stand_ins), Counter(), 0
 
         def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for segment, n in seen.items():
-                for word in find(segment):
-                    words[word] += n
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+            segments, tokens, sizes = cut(find, list(seen))
+            times = np.repeat(np.fromiter(map(seen.__getitem__, segments), np.int64, len(segments)), sizes)
+            words = pa.table({"word": pa.array(tokens, pa.string()), "n": times}).group_by("word").aggregate([("n", "sum")])
+            return words.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()[0]
 
         for batch in batches:
             for text in batch.column(0):
@@ -161,7 +178,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word, n, ids: every distinct word, encoded once."""
+    """word, n, ids: every distinct word that occurs more than once, encoded once."""
     ranks, longest = vocabulary.ranks, vocabulary.longest
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +186,14 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids = [merged(word.encode(), ranks, longest) for word in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return kept_table(word_counts(docs, vocabulary).mapInArrow(encoded, "word string, n long, ids array<int>"), "bpe_words")
+    return kept_table(word_counts(docs, vocabulary).where("n > 1").mapInArrow(encoded, "word string, n long, ids array<int>"), "bpe_words")
 
 
 class Segments:
-    """A task's segments with their ids: of words that were broadcast at once, of others as gaps."""
+    """A task's segments with their ids. Words that weren't broadcast are encoded here, or left as gaps if others may have them."""
 
-    def __init__(self, find: Callable[[str], list[str]], known: dict[str, np.ndarray]):
-        self.find, self.known = find, known
+    def __init__(self, find: Callable[[str], list[str]], known: dict[str, np.ndarray], own: Callable[[str], list[int]] | None):
+        self.find, self.known, self.own = find, known, own
         self.clear()
 
     def clear(self) -> None:
@@ -186,74 +203,102 @@ class Segments:
         self.chars = 0
 
     def learn(self, new: list[str]) -> None:
-        words = [self.find(s) for s in new]
-        distinct = list({w for each in words for w in each})
-        place = dict(zip(distinct, places_of(distinct, self.known), strict=True))
+        segments, tokens, sizes = cut(self.find, new)
+        distinct = list(set(tokens))
         start, size, ids = (self.known[x] for x in ("start", "size", "ids"))
-        for segment, each in zip(new, words, strict=True):
-            begin, gaps = len(self.flat), []
-            for w in each:
-                if (p := place[w]) >= 0:
-                    self.flat.extend(ids[start[p] : start[p] + int(size[p])].tolist())
-                else:
-                    gaps.append((len(self.flat) - begin, w))
-                    self.flat.append(-1)
-            if gaps:
-                self.rare[len(self.start)] = gaps
-            self.number[segment] = len(self.start)
-            self.start.append(begin)
-            self.size.append(len(self.flat) - begin)
-            self.chars += len(segment)
-
-    def ids(self, text: str) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """A text's ids, -1 in a gap, and the gaps: position and word."""
+        place = places_of(distinct, self.known)
+        missing = [w for w, p in zip(distinct, place, strict=True) if p < 0]
+        # the ids of words that weren't broadcast, or one gap each, follow those that were
+        lists = [self.own(w) if self.own else [-1] for w in missing]
+        ids = np.concatenate([ids.astype(np.int32), np.array([i for x in lists for i in x], np.int32)]) if missing else ids
+        extra = np.fromiter(map(len, lists), np.int64, len(lists))
+        at, n = np.array(place, np.int64), np.zeros(len(distinct), np.int64)
+        first = np.zeros(len(distinct), np.int64)
+        there = at >= 0
+        n[there], first[there] = size[at[there]], start[at[there]]
+        n[~there], first[~there] = extra, len(self.known["ids"]) + np.cumsum(extra) - extra
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        which = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        each = n[which]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(first[which] - ends + each, each) + np.arange(int(ends[-1]))].astype(np.int32)
+        last = ends[np.cumsum(sizes) - 1]
+        begin, count = len(self.flat), len(self.start)
+        self.flat.frombytes(flat.tobytes())
+        self.start.frombytes((begin + np.concatenate([[0], last[:-1]])).astype(np.int64).tobytes())
+        self.size.frombytes(np.diff(last, prepend=0).astype(np.int64).tobytes())
+        self.number.update(zip(segments, range(count, count + len(segments)), strict=True))
+        self.chars += sum(map(len, segments))
+        if missing and not self.own:
+            of, before = np.repeat(np.arange(len(segments)), sizes), np.concatenate([[0], last[:-1]])
+            for t in np.flatnonzero(~there[which]).tolist():
+                self.rare.setdefault(count + int(of[t]), []).append((int(ends[t] - 1 - before[of[t]]), tokens[t]))
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+        """The texts' ids one after another, -1 in a gap; their numbers; each text's gaps: position and word."""
         if len(self.number) > HELD or self.chars > HELD_CHARS:
             self.clear()
-        segments = SEGMENTS.findall(text)
-        if new := list(set(segments).difference(self.number)):
+        found = [SEGMENTS.findall(t) if t else [] for t in texts]
+        every = [s for x in found for s in x]
+        if new := list(set(every).difference(self.number)):
             self.learn(new)
-        at = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
-        size = np.frombuffer(self.size, np.int64)[at]
+        at = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        size = np.frombuffer(self.size, np.int64)[at] if len(at) else at
         ends = np.cumsum(size)
-        flat = np.frombuffer(self.flat, np.int32)[np.repeat(np.frombuffer(self.start, np.int64)[at] - ends + size, size) + np.arange(int(ends[-1]))]
-        if not self.rare:
-            return flat, []
-        return flat, [(int(ends[k] - size[k]) + offset, word) for k, s in enumerate(at.tolist()) if s in self.rare for offset, word in self.rare[s]]
+        flat = np.frombuffer(self.flat, np.int32)[np.repeat(np.frombuffer(self.start, np.int64)[at] - ends + size, size) + np.arange(int(ends[-1]))] if len(at) else np.empty(0, np.int32)
+        sums, parts = np.concatenate([[0], ends]), np.cumsum([0, *map(len, found)])
+        gaps: list[list[dict]] = [[] for _ in texts]
+        if self.rare:
+            for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)):
+                gaps[i] = [{"at": int(sums[k] - sums[a]) + offset, "word": word} for k in range(a, b) for offset, word in self.rare.get(int(at[k]), ())]
+        return flat, np.diff(sums[parts]), gaps
+
+
+def slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in lists of about AT_A_TIME characters."""
+    out, chars = [], 0
+    for text in texts:
+        out.append(text.as_py())
+        chars += len(out[-1] or "") + 100
+        if chars > AT_A_TIME:
+            yield out
+            out, chars = [], 0
+    if out:
+        yield out
 
 
 GAPPED = "struct<ids:array<int>,gaps:array<struct<at:int,word:string>>>"
 
 
-def gapped(vocabulary: Vocabulary, hot: Any) -> Callable[[Column], Column]:
-    """text -> struct<ids, gaps>."""
-    pattern, stand_ins = vocabulary.pattern, vocabulary.stand_ins
+def gapped(vocabulary: Vocabulary, hot: Any, gaps: bool) -> Callable[[Column], Column]:
+    """text -> struct<ids, gaps>. Without gaps, words that weren't broadcast are encoded in place."""
+    pattern, stand_ins, ranks, longest = vocabulary.pattern, vocabulary.stand_ins, vocabulary.ranks, vocabulary.longest
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segments = Segments(pre_tokens(pattern, stand_ins), hot.value)
+        segments = Segments(pre_tokens(pattern, stand_ins), hot.value, None if gaps else lambda w: merged(w.encode(), ranks, longest))
         for texts in batches:
-            lists, ends, gaps = [], [0], []
-            for text in texts:
-                ids, missing = segments.ids(value) if (value := text.as_py()) else (np.empty(0, np.int32), [])
-                lists.append(ids)
-                ends.append(ends[-1] + len(ids))
-                gaps.append([{"at": at, "word": word} for at, word in missing])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32), pa.int32()))
-            yield pa.StructArray.from_arrays([ids, pa.array(gaps, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))], ["ids", "gaps"])
+            for some in slices(texts):
+                flat, sizes, missing = segments.ids(some)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.StructArray.from_arrays([ids, pa.array(missing, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))], ["ids", "gaps"])
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(encode, GAPPED)
 
 
-def filled(ids: pa.Array, fills: pa.Array) -> pa.Array:
-    """Lists of ids with the ids of their gaps in place of -1."""
-    out = []
-    for mine, found in zip(ids.to_pylist(), fills.to_pylist(), strict=True):
-        within = {x["at"]: x["ids"] for x in found}
-        out.append([i for at, one in enumerate(mine) for i in (within[at] if one < 0 else (one,))])
-    return pa.array(out, pa.list_(pa.int32()))
+def filler(vocabulary: Vocabulary) -> Callable[[Column, Column], Column]:
+    """Lists of ids with the ids of their gaps in place of -1; of a word that the dictionary lacks, as it occurs once, its own."""
+    ranks, longest = vocabulary.ranks, vocabulary.longest
 
+    def fill(ids: pa.Array, fills: pa.Array) -> pa.Array:
+        out = []
+        for mine, found in zip(ids.to_pylist(), fills.to_pylist(), strict=True):
+            within = {x["at"]: x["ids"] if x["ids"] is not None else merged(x["word"].encode(), ranks, longest) for x in found}
+            out.append([i for at, one in enumerate(mine) for i in (within[at] if one < 0 else (one,))])
+        return pa.array(out, pa.list_(pa.int32()))
 
-filled.__annotations__ = {"ids": pa.Array, "fills": pa.Array, "return": pa.Array}
+    fill.__annotations__ = {"ids": pa.Array, "fills": pa.Array, "return": pa.Array}
+    return F.arrow_udf(fill, "array<int>")
 
 
 def key_of_word(word: Column) -> Column:
@@ -275,18 +320,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
             break
         room -= r.bytes
     known = spark.sparkContext.broadcast(compact(words.where(F.col("often") >= least).select(F.xxhash64("word").alias("hash"), F.crc32("word").alias("check"), "ids").toArrow()))
-    part = docs.withColumn(out, gapped(vocabulary, known)(F.col("text")))
+    part = docs.withColumn(out, gapped(vocabulary, known, bool(least))(F.col("text")))
     columns = [F.col(f"`{c}`") for c in keep]
     if not least:
         return part.select(*columns, F.col(out)["ids"].alias(out))
     part = kept_table(part.select(F.monotonically_increasing_id().alias(row), *columns, out), "bpe_rows")
-    gaps = part.select(row, F.explode(F.col(out)["gaps"]).alias("gap")).select(row, "gap.at", key_of_word(F.col("gap.word")).alias("key"))
+    gaps = part.select(row, F.explode(F.col(out)["gaps"]).alias("gap")).select(row, "gap.at", "gap.word", key_of_word(F.col("gap.word")).alias("key"))
     rare = words.where(F.col("often") < least).select(key_of_word(F.col("word")).alias("key"), F.col("ids").alias("found"))
-    fills = gaps.join(rare, "key").groupBy(row).agg(F.collect_list(F.struct("at", F.col("found").alias("ids"))).alias("fills"))
+    found = F.struct("at", F.when(F.col("found").isNull(), F.col("word")).alias("word"), F.col("found").alias("ids"))
+    fills = gaps.join(rare, "key", "left").groupBy(row).agg(F.collect_list(found).alias("fills"))
     open_, whole = F.size(F.col(out)["gaps"]) > 0, part.where(F.size(F.col(out)["gaps"]) == 0)
     mended = part.where(open_).join(fills.withColumnRenamed("fills", f"{out}_fills"), row)
-    fill = F.arrow_udf(filled, "array<int>")
-    return whole.select(*columns, F.col(out)["ids"].alias(out)).unionByName(mended.select(*columns, fill(F.col(out)["ids"], F.col(f"{out}_fills")).alias(out)))
+    return whole.select(*columns, F.col(out)["ids"].alias(out)).unionByName(mended.select(*columns, filler(vocabulary)(F.col(out)["ids"], F.col(f"{out}_fills")).alias(out)))
 
 
 def joined_bytes(ids: pa.ListArray, surfaces: pa.BinaryArray) -> pa.BinaryArray:

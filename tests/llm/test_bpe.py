@@ -78,3 +78,15 @@ def test_each_word_once(spark, vocabulary):
     docs = spark.createDataFrame([(i, "again and again" + " again" * i) for i in range(30)], "doc_id long, text string").repartition(8)
     words = {r.word: r.n for r in bpe.dictionary(docs, vocabulary).collect()}
     assert words == {"again": 30, " and": 30, " again": 30 + sum(range(30))}
+    once = spark.createDataFrame([(0, "left out, as it occurs once once")], "doc_id long, text string")
+    assert [(r.word, r.n) for r in bpe.dictionary(once, vocabulary).collect()] == [(" once", 2)]
+
+
+def test_forgotten_segments(spark, library, monkeypatch):
+    """Segments that are forgotten and learnt again, in slices of a few texts."""
+    for name in ("HELD", "HELD_CHARS", "AT_A_TIME"):
+        monkeypatch.setattr(bpe, name, 20)
+    given = {i: t for i, t in enumerate(ODD * 3) if not t or len(t) < 1000}
+    docs = spark.createDataFrame(list(given.items()), "doc_id long, text string").coalesce(1)
+    for hot in (bpe.HOT, 200, 0):
+        held(bpe.bpe_query(docs, hot=hot).collect(), given, library)
