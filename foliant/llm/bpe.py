@@ -29,7 +29,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -45,7 +45,7 @@ from .pieces import compact, places_of
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Bytes of the words that are broadcast; segments and their characters that a task holds before it hands on or forgets them.
-HOT, HELD, HELD_CHARS = 64 << 20, 200_000, 4 << 20
+HOT, HELD, HELD_CHARS = 64 << 20, 150_000, 4 << 20
 #: Characters of the texts that are encoded at a time.
 AT_A_TIME = 1 << 19
 #: Bytes up to which a word is its own key in a join.
@@ -208,20 +208,22 @@ class Segments:
         start, size, ids = (self.known[x] for x in ("start", "size", "ids"))
         place = places_of(distinct, self.known)
         missing = [w for w, p in zip(distinct, place, strict=True) if p < 0]
-        # the ids of words that weren't broadcast, or one gap each, follow those that were
+        # the ids of words that weren't broadcast, or one gap each, are numbered after those that were
         lists = [self.own(w) if self.own else [-1] for w in missing]
-        ids = np.concatenate([ids.astype(np.int32), np.array([i for x in lists for i in x], np.int32)]) if missing else ids
-        extra = np.fromiter(map(len, lists), np.int64, len(lists))
+        extra, more = np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.int32)
         at, n = np.array(place, np.int64), np.zeros(len(distinct), np.int64)
         first = np.zeros(len(distinct), np.int64)
         there = at >= 0
         n[there], first[there] = size[at[there]], start[at[there]]
-        n[~there], first[~there] = extra, len(self.known["ids"]) + np.cumsum(extra) - extra
+        n[~there], first[~there] = extra, len(ids) + np.cumsum(extra) - extra
         number = dict(zip(distinct, range(len(distinct)), strict=True))
         which = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
         each = n[which]
         ends = np.cumsum(each)
-        flat = ids[np.repeat(first[which] - ends + each, each) + np.arange(int(ends[-1]))].astype(np.int32)
+        place_of = np.repeat(first[which] - ends + each, each) + np.arange(int(ends[-1]))
+        sent = place_of < len(ids)
+        flat = np.empty(len(place_of), np.int32)
+        flat[sent], flat[~sent] = ids[place_of[sent]], more[place_of[~sent] - len(ids)]
         last = ends[np.cumsum(sizes) - 1]
         begin, count = len(self.flat), len(self.start)
         self.flat.frombytes(flat.tobytes())
@@ -270,8 +272,18 @@ def slices(texts: pa.Array) -> Iterator[list[str | None]]:
 GAPPED = "struct<ids:array<int>,gaps:array<struct<at:int,word:string>>>"
 
 
-def gapped(vocabulary: Vocabulary, hot: Any, gaps: bool) -> Callable[[Column], Column]:
-    """text -> struct<ids, gaps>. Without gaps, words that weren't broadcast are encoded in place."""
+class Finish(NamedTuple):
+    """What becomes of lists of ids in the task that has them, and its type."""
+
+    of: Callable[[pa.ListArray], pa.Array]
+    kind: str
+
+
+AS_IDS = Finish(lambda ids: ids, "array<int>")
+
+
+def gapped(vocabulary: Vocabulary, hot: Any, gaps: bool, finish: Finish) -> Callable[[Column], Column]:
+    """text -> struct<ids, gaps>. Without gaps, words that weren't broadcast are encoded in place: text -> finished ids."""
     pattern, stand_ins, ranks, longest = vocabulary.pattern, vocabulary.stand_ins, vocabulary.ranks, vocabulary.longest
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -280,13 +292,13 @@ def gapped(vocabulary: Vocabulary, hot: Any, gaps: bool) -> Callable[[Column], C
             for some in slices(texts):
                 flat, sizes, missing = segments.ids(some)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.StructArray.from_arrays([ids, pa.array(missing, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))], ["ids", "gaps"])
+                yield pa.StructArray.from_arrays([ids, pa.array(missing, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))], ["ids", "gaps"]) if gaps else finish.of(ids)
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(encode, GAPPED)
+    return F.arrow_udf(encode, GAPPED if gaps else finish.kind)
 
 
-def filler(vocabulary: Vocabulary) -> Callable[[Column, Column], Column]:
+def filler(vocabulary: Vocabulary, finish: Finish) -> Callable[[Column, Column], Column]:
     """Lists of ids with the ids of their gaps in place of -1; of a word that the dictionary lacks, as it occurs once, its own."""
     ranks, longest = vocabulary.ranks, vocabulary.longest
 
@@ -295,10 +307,10 @@ def filler(vocabulary: Vocabulary) -> Callable[[Column, Column], Column]:
         for mine, found in zip(ids.to_pylist(), fills.to_pylist(), strict=True):
             within = {x["at"]: x["ids"] if x["ids"] is not None else merged(x["word"].encode(), ranks, longest) for x in found}
             out.append([i for at, one in enumerate(mine) for i in (within[at] if one < 0 else (one,))])
-        return pa.array(out, pa.list_(pa.int32()))
+        return finish.of(pa.array(out, pa.list_(pa.int32())))
 
     fill.__annotations__ = {"ids": pa.Array, "fills": pa.Array, "return": pa.Array}
-    return F.arrow_udf(fill, "array<int>")
+    return F.arrow_udf(fill, finish.kind)
 
 
 def key_of_word(word: Column) -> Column:
@@ -306,8 +318,8 @@ def key_of_word(word: Column) -> Column:
     return F.when(F.octet_length(word) <= OWN_KEY, word).otherwise(F.concat(F.lit("\0"), F.sha2(word, 256)))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
-    """The columns `keep` of docs (all, if None) with the array column `ids`."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = None, hot: int = HOT, finish: Finish = AS_IDS) -> DataFrame:
+    """The columns `keep` of docs (all, if None) with the array column `ids`, or what `finish` makes of it."""
     spark, keep = docs.sparkSession, docs.columns if keep is None else keep
     out, row = free_name(docs, "ids"), free_name(docs, "row")
     words = dictionary(docs, vocabulary).withColumn("often", F.floor(F.log2("n") * 4).cast("int"))
@@ -320,10 +332,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
             break
         room -= r.bytes
     known = spark.sparkContext.broadcast(compact(words.where(F.col("often") >= least).select(F.xxhash64("word").alias("hash"), F.crc32("word").alias("check"), "ids").toArrow()))
-    part = docs.withColumn(out, gapped(vocabulary, known, bool(least))(F.col("text")))
+    part = docs.withColumn(out, gapped(vocabulary, known, bool(least), finish)(F.col("text")))
     columns = [F.col(f"`{c}`") for c in keep]
     if not least:
-        return part.select(*columns, F.col(out)["ids"].alias(out))
+        return part.select(*columns, out)
     part = kept_table(part.select(F.monotonically_increasing_id().alias(row), *columns, out), "bpe_rows")
     gaps = part.select(row, F.explode(F.col(out)["gaps"]).alias("gap")).select(row, "gap.at", "gap.word", key_of_word(F.col("gap.word")).alias("key"))
     rare = words.where(F.col("often") < least).select(key_of_word(F.col("word")).alias("key"), F.col("ids").alias("found"))
@@ -331,7 +343,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
     fills = gaps.join(rare, "key", "left").groupBy(row).agg(F.collect_list(found).alias("fills"))
     open_, whole = F.size(F.col(out)["gaps"]) > 0, part.where(F.size(F.col(out)["gaps"]) == 0)
     mended = part.where(open_).join(fills.withColumnRenamed("fills", f"{out}_fills"), row)
-    return whole.select(*columns, F.col(out)["ids"].alias(out)).unionByName(mended.select(*columns, filler(vocabulary)(F.col(out)["ids"], F.col(f"{out}_fills")).alias(out)))
+    done = F.arrow_udf(typed_function(finish.of), finish.kind)
+    return whole.select(*columns, done(F.col(out)["ids"]).alias(out)).unionByName(mended.select(*columns, filler(vocabulary, finish)(F.col(out)["ids"], F.col(f"{out}_fills")).alias(out)))
 
 
 def joined_bytes(ids: pa.ListArray, surfaces: pa.BinaryArray) -> pa.BinaryArray:
@@ -343,32 +356,35 @@ def joined_bytes(ids: pa.ListArray, surfaces: pa.BinaryArray) -> pa.BinaryArray:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens, mask=pc.is_null(ids)), b"")
 
 
+def typed_function(f: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """f with the annotations that tell an Arrow function's kind."""
+
+    def typed(ids: pa.Array) -> pa.Array:
+        return f(ids)
+
+    typed.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return typed
+
+
 def decoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
     """ids -> the bytes of the text."""
     surfaces = vocabulary.surfaces()
-
-    def decode(ids: pa.Array) -> pa.Array:
-        return joined_bytes(ids, surfaces)
-
-    decode.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    return F.arrow_udf(decode, "binary")
+    return F.arrow_udf(typed_function(lambda ids: joined_bytes(ids, surfaces)), "binary")
 
 
-def digester(vocabulary: Vocabulary) -> Callable[[Column], Column]:
-    """ids -> struct<n_tokens, ids_sha256, decoded_sha256>, of ids as little-endian unsigned 32-bit integers."""
+def digests(vocabulary: Vocabulary) -> Finish:
+    """n_tokens, ids_sha256 and decoded_sha256 of each list, of ids as little-endian unsigned 32-bit integers."""
     surfaces = vocabulary.surfaces()
 
-    def digest(ids: pa.Array) -> pa.Array:
+    def digest(ids: pa.ListArray) -> pa.Array:
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).tolist()
         own = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
         text = [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_bytes(ids, surfaces)]
         return pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(own), pa.array(text)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    digest.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    return F.arrow_udf(digest, "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    return Finish(digest, "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
 
 
 def bpe_query(docs: DataFrame, path: str = RANKS, hot: int = HOT) -> DataFrame:
     vocabulary = Vocabulary(path)
-    encoded = encode(docs.select("doc_id", "text"), vocabulary, ["doc_id"], hot)
-    return encoded.select("doc_id", digester(vocabulary)(F.col("ids")).alias("digest")).select("doc_id", "digest.*")
+    return encode(docs.select("doc_id", "text"), vocabulary, ["doc_id"], hot, digests(vocabulary)).select("doc_id", "ids.*")
