@@ -131,12 +131,10 @@ def heading_faults(rows: DataFrame, key: str, order: str, level: str, number: st
     return faults.where("fault is not null").select(key, order, "fault", (F.coalesce("last", F.lit(0)) + 1).alias("expected"))
 
 
-def instance_match(expected: DataFrame, predicted: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """True and false positives and false negatives of each group: the rows of both sides are paired by rank."""
-    def ranked(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(*group).agg(F.count("*").alias(side))
-
-    both = ranked(expected, "e").join(ranked(predicted, "p"), group, "full")
+def instance_match(expected: DataFrame, predicted: DataFrame, group: list[str]) -> DataFrame:
+    """True and false positives and false negatives of each group, as counts alone; metrics.instance_pairs says which they are."""
+    counted = lambda df, side: df.groupBy(*group).agg(F.count("*").alias(side))
+    both = counted(expected, "e").join(counted(predicted, "p"), group, "full")
     e, p = F.coalesce("e", F.lit(0)), F.coalesce("p", F.lit(0))
     return both.select(*group, F.least(e, p).alias("tp"), F.greatest(p - e, F.lit(0)).alias("fp"), F.greatest(e - p, F.lit(0)).alias("fn"))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IDENTIFIED = "sample_id string, checker string, severity string, tp_identified long, tp_unverified long, fp long, fn long, page_mismatches long"
-
-
 def finding_class(confidence: Column, layer: Column) -> Column:
     """manual_required and degraded findings are counted apart from the deterministic ones."""
     return F.when(confidence == "manual_required", "manual_required").when((confidence == "degraded") | (layer == "system"), "degraded").otherwise("deterministic")
@@ -21,41 +20,106 @@ def set_match(expected: DataFrame, predicted: DataFrame, keys: list[str]) -> Dat
     return both.select(*keys, (F.col("e").isNotNull() & F.col("p").isNotNull()).cast("long").alias("tp"), F.col("e").isNull().cast("long").alias("fp"), F.col("p").isNull().cast("long").alias("fn"))
 
 
-def identify(expected: list[dict], predicted: list[dict]) -> tuple[int, int, int, int, int]:
-    """tp_identified, tp_unverified, fp, fn, page mismatches of one sample, checker and severity; both lists are in order.
+ORDER = ("page", "message", "rule_id")
+PAIRS = "sample_id string, checker string, severity string, outcome string, expected_id long, predicted_id long, page_shifted boolean"
+
+
+def _places(df: DataFrame) -> list[Column]:
+    """What instances of one group are ordered by: the page as a string, the message and the rule; then their number."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"place_{c}") if c in df.columns else F.lit("").alias(f"place_{c}") for c in ORDER]
+
 
-    An expected instance with anchors takes the first prediction left whose text holds all of them, or is missed. One without
-    anchors takes any prediction left after that.
+def instance_pairs(expected: DataFrame, predicted: DataFrame, group: list[str]) -> DataFrame:
+    """group, n, outcome (tp, fp, fn), expected_id, predicted_id: of each group the n-th expected instance and the n-th predicted
+    one are a pair, and what is left over on either side stands alone. Both have instance_id, and those of ORDER as they have them.
+    Null group values count as empty."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in group]
+
+    def ranked(df: DataFrame, side: str) -> DataFrame:
+        rows = df.select(*keys, *_places(df), F.col("instance_id").alias(side))
+        order = Window.partitionBy(*group).orderBy(*[f"place_{c}" for c in ORDER], side)
+        return rows.select(*group, side, F.row_number().over(order).cast("long").alias("n"))
+
+    both = ranked(expected, "expected_id").join(ranked(predicted, "predicted_id"), [*group, "n"], "full")
+    outcome = F.when(F.col("expected_id").isNull(), "fp").when(F.col("predicted_id").isNull(), "fn").otherwise("tp")
+    return both.select(*group, "n", outcome.alias("outcome"), "expected_id", "predicted_id")
+
+
+class Waiting:
+    """A group's expected instances that wait for predictions, which come in order.
+
+    Expected instances take their predictions in order, each the first one left whose text holds all its anchors. As both sides
+    have one order, which all share, there is only one stable assignment, and giving each prediction to the first expected instance
+    that waits and fits makes the same one. So predictions pass by, and only the expected instances are held. A prediction that
+    none takes is left for the next instance without anchors.
     """
-    left, identified, missed, shifted = list(predicted), 0, 0, 0
-    text = lambda p: " ".join(str(p.get(k) or "") for k in ("evidence", "message", "suggestion", "block_id"))
-    far = lambda e, p: e.get("page") is not None and p.get("page") is not None and abs(e["page"] - p["page"]) > 1
-    plain = [e for e in expected if not e["anchors"]]
-    for e in (e for e in expected if e["anchors"]):
-        hit = next((p for p in left if all(a in text(p) for a in e["anchors"])), None)
-        if hit is None:
-            missed += 1
-            continue
-        left.remove(hit)
-        identified += 1
-        shifted += far(e, hit)
-    pairs = list(zip(plain, left, strict=False))
-    shifted += sum(far(e, p) for e, p in pairs)
-    return identified, len(pairs), len(left) - len(pairs), missed + len(plain) - len(pairs), shifted
 
+    def __init__(self) -> None:
+        self.anchored: list[tuple[int, int | None, list[str]]] = []
+        self.plain: list[tuple[int, int | None]] = []
 
-def identity_match(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """By sample, checker and severity. Taking instances away one by one depends on order, so each (small) group is one call."""
+    def expect(self, ident: int, page: int | None, anchors: list[str]) -> None:
+        if anchors:
+            self.anchored.append((ident, page, anchors))
+        else:
+            self.plain.append((ident, page))
+
+    def meet(self, text: str) -> tuple[str, int | None, int | None]:
+        """What a prediction is, and the instance and page that it goes to."""
+        for i, (ident, page, anchors) in enumerate(self.anchored):
+            if all(a in text for a in anchors):
+                del self.anchored[i]
+                return "tp_identified", ident, page
+        return ("tp_unverified", *self.plain.pop(0)) if self.plain else ("fp", None, None)
+
+    def missed(self) -> list[int]:
+        return [x[0] for x in self.anchored] + [x[0] for x in self.plain]
+
+
+def identity_pairs(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """PAIRS: a row for each pair (tp_identified, tp_unverified) and for each instance left over (fp, fn).
+
+    expected: sample_id, checker, severity, instance_id, page, anchors; predicted: these without anchors, and evidence, message,
+    suggestion, block_id, rule_id. Rows are sorted in a shuffle, expected ones first; a task holds one group's expected instances
+    and passes its predictions. Null group values count as empty; empty anchors don't count.
+    """
     keys = ["sample_id", "checker", "severity"]
-    order = [F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("message", F.lit("")), F.coalesce("rule_id", F.lit(""))]
-    none = lambda t: F.lit(None).cast(t)
-    e = expected.select(*keys, F.lit(True).alias("is_expected"), F.col("page").cast("int").alias("page"), F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"), *[none("string").alias(c) for c in ("evidence", "message", "suggestion", "block_id", "rule_id")])
-    p = predicted.select(*keys, F.lit(False).alias("is_expected"), F.col("page").cast("int").alias("page"), F.array().cast("array<string>").alias("anchors"), "evidence", "message", "suggestion", "block_id", "rule_id")
-    rows = e.unionByName(p).withColumn("place", F.struct(*order))
-
-    def matched(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [r | {"page": None if pd.isna(r["page"]) else int(r["page"]), "anchors": [a for a in r["anchors"] if a]} for r in pdf.sort_values("order").to_dict("records")]
-        return pd.DataFrame([[*key, *identify([r for r in items if r["is_expected"]], [r for r in items if not r["is_expected"]])]])
-
-    joined = rows.withColumn("order", F.concat_ws("\x00", "place.*")).drop("place")
-    return joined.groupBy(*keys).applyInPandas(matched, IDENTIFIED)
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keys]
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("evidence", "message", "suggestion", "block_id")])
+    ends = [F.col("instance_id").cast("long").alias("instance_id"), F.col("page").cast("int").alias("page")]
+    anchors = F.filter(F.coalesce("anchors", F.array().cast("array<string>")), lambda a: a.isNotNull() & (a != ""))
+    e = expected.select(*named, F.lit(False).alias("predicted"), *_places(expected), *ends, anchors.alias("anchors"), F.lit("").alias("text"))
+    p = predicted.select(*named, F.lit(True).alias("predicted"), *_places(predicted), *ends, F.array().cast("array<string>").alias("anchors"), text.alias("text"))
+    order = [*keys, "predicted", *[f"place_{c}" for c in ORDER], "instance_id"]
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, waiting = None, Waiting()
+        far = lambda a, b: a is not None and b is not None and abs(a - b) > 1
+        frame = lambda rows: pd.DataFrame(rows, columns=[f.split()[0] for f in PAIRS.split(", ")]).astype({"expected_id": "Int64", "predicted_id": "Int64"})
+        for pdf in batches:
+            out = []
+            pages = [None if pd.isna(x) else int(x) for x in pdf["page"]]
+            for sample, checker, severity, is_predicted, ident, page, wanted, words in zip(*(pdf[c] for c in [*keys, "predicted", "instance_id"]), pages, pdf["anchors"], pdf["text"], strict=True):
+                if (key := (sample, checker, severity)) != last:
+                    if last is not None:
+                        out += [(*last, "fn", x, None, False) for x in waiting.missed()]
+                    last, waiting = key, Waiting()
+                if is_predicted:
+                    outcome, mine, its_page = waiting.meet(words)
+                    out.append((*key, outcome, mine, ident, mine is not None and far(its_page, page)))
+                else:
+                    waiting.expect(ident, page, list(wanted))
+            yield frame(out)
+        if last is not None:
+            yield frame([(*last, "fn", x, None, False) for x in waiting.missed()])
+
+    return e.unionByName(p).repartition(*keys).sortWithinPartitions(*order).mapInPandas(matched, PAIRS)
+
+
+def identity_match(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The outcomes of identity_pairs, counted by sample, checker and severity. Instances need no instance_id."""
+    numbered = lambda df: df if "instance_id" in df.columns else df.withColumn("instance_id", F.monotonically_increasing_id())
+    pairs = identity_pairs(numbered(expected), numbered(predicted))
+    n = lambda test, name: F.sum(test.cast("long")).alias(name)
+    outcomes = [n(F.col("outcome") == x, x) for x in ("tp_identified", "tp_unverified", "fp", "fn")]
+    return pairs.groupBy("sample_id", "checker", "severity").agg(*outcomes, n(F.col("page_shifted"), "page_mismatches"))

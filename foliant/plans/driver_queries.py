@@ -152,7 +152,7 @@ def instance_match_metrics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     expected = table(spark, sf_dir, "labels").where("quality = 0").join(docs, "doc_id").select(F.lit("junk").alias("checker"), "source")
     predicted = docs.where("n_chars < 400").select(F.lit("junk").alias("checker"), "source")
-    return keyed.rates(keyed.instance_match(expected, predicted, ["checker", "source"], []))
+    return keyed.rates(keyed.instance_match(expected, predicted, ["checker", "source"]))
 
 
 @query("batch_rollup", """

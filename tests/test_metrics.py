@@ -1,5 +1,7 @@
 """Evaluation metrics, the streaming limiter, and what the driver calls."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,13 +9,44 @@ from foliant.operators import keyed, metrics
 from foliant.streaming.limits import rate_limited
 
 
-def test_identify():
-    e = lambda *anchors, page=None: {"anchors": list(anchors), "page": page}
-    p = lambda text, page=None: {"evidence": text, "page": page}
-    assert metrics.identify([e("图2")], [p("缺少：图2", 3)]) == (1, 0, 0, 0, 0)
-    assert metrics.identify([e("图2")], [p("缺少：图3")]) == (0, 0, 1, 1, 0)  # another of its kind doesn't stand in
-    assert metrics.identify([e("a", "b", page=1), e()], [p("b a", 3), p("x"), p("y")]) == (1, 1, 1, 0, 1)
-    assert metrics.identify([e(), e()], [p("x")]) == (0, 1, 0, 1, 0)
+def identified(expected, predicted):
+    """(expected id, predicted id, outcome) of one group, instance by instance: lists of (id, page, anchors) and of (id, page, text)."""
+    left, out = sorted(predicted, key=lambda p: (str(p[1] or ""), p[2], p[0])), []
+    ordered = sorted(expected, key=lambda e: (str(e[1] or ""), e[0]))
+    for e in (e for e in ordered if e[2]):
+        hit = next((p for p in left if all(a in p[2] for a in e[2])), None)
+        if hit:
+            left.remove(hit)
+        out.append((e[0], hit[0], "tp_identified") if hit else (e[0], None, "fn"))
+    for e in (e for e in ordered if not e[2]):
+        out.append((e[0], left.pop(0)[0], "tp_unverified") if left else (e[0], None, "fn"))
+    return sorted(out + [(None, p[0], "fp") for p in left], key=str)
+
+
+def test_identity_pairs_of_random_samples(spark):
+    random.seed(11)
+    es, ps, want = [], [], {}
+    for sample in range(120):
+        e = [(i, random.choice([None, 1, 2, 10]), random.sample("abcd", random.choice([0, 1, 1, 2]))) for i in range(random.randint(0, 7))]
+        p = [(i, random.choice([None, 1, 3, 10]), "".join(sorted(random.sample("abcd", random.randint(0, 4))))) for i in range(random.randint(0, 7))]
+        es += [(str(sample), "k", "error", i, page, anchors) for i, page, anchors in e]
+        ps += [(str(sample), "k", "error", i, page, "", text, None, None, "R") for i, page, text in p]
+        if e or p:
+            want[str(sample)] = identified(e, p)
+    expected = spark.createDataFrame(es, "sample_id string, checker string, severity string, instance_id long, page int, anchors array<string>")
+    predicted = spark.createDataFrame(ps, "sample_id string, checker string, severity string, instance_id long, page int, evidence string, message string, suggestion string, block_id string, rule_id string")
+    got = {}
+    for r in metrics.identity_pairs(expected, predicted).collect():
+        got.setdefault(r.sample_id, []).append((r.expected_id, r.predicted_id, r.outcome))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == want
+    assert metrics.identity_pairs(expected.limit(0), predicted.limit(0)).count() == 0
+
+
+def test_instance_pairs(spark):
+    expected = spark.createDataFrame([("k", 1, 10, "b"), ("k", 2, 2, "b"), (None, 3, None, "a")], "checker string, instance_id long, page int, message string")
+    predicted = spark.createDataFrame([("k", 7, 2, "a"), ("k", 8, 10, "z"), ("k", 9, 2, "a"), ("j", 6, 1, "")], "checker string, instance_id long, page int, message string")
+    got = {tuple(r) for r in metrics.instance_pairs(expected, predicted, ["checker"]).collect()}
+    assert got == {("k", 1, "tp", 1, 8), ("k", 2, "tp", 2, 7), ("k", 3, "fp", None, 9), ("", 1, "fn", 3, None), ("j", 1, "fp", None, 6)}
 
 
 def test_identity_match(spark):
