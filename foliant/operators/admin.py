@@ -14,6 +14,8 @@ from foliant.functions.columns import strip
 FROM = {"submit": "draft", "approve": "submitted", "reject": "submitted", "publish": "approved"}
 TO = {"submit": "submitted", "approve": "approved", "reject": "rejected", "publish": "published"}
 MOST_PERCENT = 90
+#: States of versions that are still worked on.
+WORKING = ("draft", "rejected", "submitted", "approved")
 
 
 def _tested(versions: DataFrame, tests: DataFrame, key: str) -> DataFrame:
@@ -55,10 +57,16 @@ def published(versions: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def cloned(versions: DataFrame, chosen: Column, content: list[str], by: Column) -> DataFrame:
-    """Drafts with the content of chosen versions, numbered on from the rule set's last version: a clone, or an older one restored."""
-    last = versions.groupBy("ruleset_id").agg(F.max("number").alias("last"))
-    copies = versions.where(chosen).groupBy("ruleset_id").agg(F.max_by(F.struct("number", *content), F.col("number")).alias("of"))
-    return copies.join(last, "ruleset_id").select("ruleset_id", (F.col("last") + 1).alias("number"), F.lit("draft").alias("state"), by.alias("created_by"), F.col("of.number").alias("cloned_from"), *[f"of.{x}" for x in content])
+    """Drafts with the content of chosen versions, numbered on from the rule set's last version: a clone, or an older one restored.
+
+    One row for each rule set: a draft, or with `refused` the reason against one (and no number, state, or content): a version that
+    is still worked on, or none that is chosen.
+    """
+    source = F.max_by(F.when(chosen, F.struct("number", *content)), F.when(chosen, F.col("number")))
+    of = versions.groupBy("ruleset_id").agg(F.max("number").alias("last"), F.coalesce(F.bool_or(F.col("state").isin(*WORKING)), F.lit(False)).alias("open"), source.alias("of"))
+    refused = F.when(F.col("open"), "open_version").when(F.col("of").isNull(), "no_source")
+    made = lambda c: F.when(refused.isNull(), c)
+    return of.select("ruleset_id", made(F.col("last") + 1).alias("number"), made(F.lit("draft")).alias("state"), made(by).alias("created_by"), made(F.col("of.number")).alias("cloned_from"), *[made(F.col(f"of.{x}")).alias(x) for x in content], refused.alias("refused"))
 
 
 def purge_totals(documents: DataFrame, reviews: DataFrame, items: DataFrame, document: str, review: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from .rules import NEEDS_MODEL, OPERATORS, RuleSet
+from .rules import NEEDS_MODEL, RuleSet, registered
 
 #: Parameters by rule type. A shape is a type, a list of a shape, a mapping of shapes, or a type with a bound.
 NORMALIZE = ("text", "casefold", "phone", "date", "number", "list")
@@ -97,7 +97,7 @@ def faults(rules: RuleSet) -> list[Fault]:
         if r.id in seen:
             found.append((f"{at}.id", TWICE.format(r.id)))
         seen.add(r.id)
-        if r.type not in PARAMETERS and r.type not in OPERATORS:
+        if r.type not in PARAMETERS and r.type not in registered():
             found.append((f"{at}.type", UNKNOWN.format(r.type)))
             continue
         params = r.params if isinstance(r.params, dict) else {}
@@ -118,4 +118,4 @@ def warnings(rules: RuleSet) -> list[Fault]:
 
 def known_types() -> list[str]:
     """The catalogue's types, then registered ones that it doesn't have."""
-    return [*PARAMETERS, *sorted(set(OPERATORS) - set(PARAMETERS))]
+    return [*PARAMETERS, *sorted(set(registered()) - set(PARAMETERS))]

@@ -34,8 +34,8 @@ def page_findings(number: int) -> Column:
     return F.concat(of_pages, of_warnings)
 
 
-def reviewed(documents: DataFrame, rules: RuleSet) -> DataFrame:
-    """Documents (doc_id, ...) with found (array of numbered findings) and statuses (array). Nothing is shuffled."""
+def _parts(rules: RuleSet) -> tuple[Column, Column]:
+    """What a rule set makes of a document: found (array of numbered findings) and statuses (array)."""
     on = [(i, r) for i, r in enumerate(rules.rules) if r.enabled]
     lists, statuses = [], []
     for i, r in on:
@@ -46,7 +46,27 @@ def reviewed(documents: DataFrame, rules: RuleSet) -> DataFrame:
         lists.append(found)
         statuses.append((r, status))
     given = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.type).alias("type"), F.lit(r.type in NEEDS_MODEL).alias("requires_ai"), F.lit(s).alias("status")) for r, s in statuses]) if statuses else F.array().cast("array<struct<rule_id:string,type:string,requires_ai:boolean,status:string>>")
-    return documents.select("doc_id", "filename", "blocks", F.concat(*lists, page_findings(len(rules.rules))).alias("found"), given.alias("statuses"))
+    return F.concat(*lists, page_findings(len(rules.rules))), given
+
+
+def reviewed(documents: DataFrame, rules: RuleSet) -> DataFrame:
+    """Documents (doc_id, ...) with found (array of numbered findings) and statuses (array). Nothing is shuffled."""
+    found, statuses = _parts(rules)
+    return documents.select("doc_id", "filename", "blocks", found.alias("found"), statuses.alias("statuses"))
+
+
+def reviewed_by(documents: DataFrame, sets: dict[str, RuleSet], on: str) -> DataFrame:
+    """`reviewed`, with each document under the rule set that its column `on` names, in one scan and one projection. A document
+    whose rule set is unknown (or null) has a system finding and a failed status in place of a review."""
+    name = F.coalesce(F.col(on), F.lit(""))
+    lost = Rule("ruleset", "ruleset")
+    message = F.concat(F.lit("规则集 "), name, F.lit(" 不存在"))
+    system = F.array(F.struct(F.lit("error").alias("severity"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("block_id"), F.lit("").alias("evidence"), message.alias("message"), F.lit("").alias("suggestion"), F.lit("system").alias("confidence"), F.lit("system").alias("layer"))).cast(EMPTY)
+    found = F.concat(F.transform(system, lambda x, i: F.struct(F.lit(0).alias("rule_ord"), i.alias("seq"), F.lit(lost.id).alias("rule_id"), F.lit(lost.type).alias("checker"), x.alias("f"))), page_findings(1))
+    failed = F.array(F.struct(F.lit(lost.id).alias("rule_id"), F.lit(lost.type).alias("type"), F.lit(False).alias("requires_ai"), F.lit("failed").alias("status")))
+    parts = {key: _parts(rules) for key, rules in sets.items()}
+    pick = lambda i, other: F.coalesce(*[F.when(name == key, x[i]) for key, x in parts.items()], other)
+    return documents.select("doc_id", "filename", "blocks", F.col(on), pick(0, found).alias("found"), pick(1, failed).alias("statuses"))
 
 
 def once(rows: DataFrame, column: str) -> DataFrame:

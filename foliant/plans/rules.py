@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import yaml
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 
 Operator = Callable[["Rule"], Column]
 OPERATORS: dict[str, Operator] = {}
@@ -48,15 +48,27 @@ def operator(name: str) -> Callable[[Operator], Operator]:
     return put
 
 
-def load(text: str) -> RuleSet:
-    """A rule set from YAML; raises RuleError with every fault that it has."""
+def registered() -> dict[str, Operator]:
+    """All operators; the module that holds them is imported on first use, as it needs this one."""
+    import foliant.operators.checks  # noqa: F401
+
+    return OPERATORS
+
+
+def read(text: str) -> RuleSet:
+    """A rule set from YAML as it stands, so that catalog.faults can tell its faults with their places."""
     data = yaml.safe_load(text) or {}
     if not isinstance(data, dict):
         raise RuleError("a rule set is a mapping")
     head = data.get("ruleset") if isinstance(data.get("ruleset"), dict) else data
     known = {"id", "type", "severity", "description", "params", "enabled"}
     rules = tuple(Rule(**{k: v for k, v in r.items() if k in known and v is not None}) for r in data.get("rules") or [])
-    found = RuleSet(str(head.get("id", "")), str(head.get("name", "")), rules, str(head.get("description", "")))
+    return RuleSet(str(head.get("id", "")), str(head.get("name", "")), rules, str(head.get("description", "")))
+
+
+def load(text: str) -> RuleSet:
+    """A rule set from YAML; raises RuleError with every fault that it has."""
+    found = read(text)
     if faults := validate(found):
         raise RuleError("; ".join(faults))
     return found
@@ -65,6 +77,7 @@ def load(text: str) -> RuleSet:
 def validate(rules: RuleSet) -> list[str]:
     faults = [] if re.fullmatch(r"[A-Za-z0-9_-]{1,64}", rules.id) else [f"bad rule set id {rules.id!r}"]
     seen: set[str] = set()
+    known = registered()
     for r in rules.rules:
         if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]{1,31}", r.id):
             faults.append(f"bad rule id {r.id!r}")
@@ -73,6 +86,18 @@ def validate(rules: RuleSet) -> list[str]:
         seen.add(r.id)
         if r.severity not in SEVERITIES:
             faults.append(f"{r.id}: bad severity {r.severity!r}")
-        if r.type not in OPERATORS and r.type not in NEEDS_MODEL:
-            faults.append(f"{r.id}: unknown type {r.type!r}; known: {', '.join(sorted({*OPERATORS, *NEEDS_MODEL}))}")
+        if r.type not in known and r.type not in NEEDS_MODEL:
+            faults.append(f"{r.id}: unknown type {r.type!r}; known: {', '.join(sorted({*known, *NEEDS_MODEL}))}")
     return faults
+
+
+def scan(spark: SparkSession, folder: str) -> dict[str, RuleSet]:
+    """The rule sets of a folder's YAML files by id, wherever Spark reads it; raises RuleError if two have one id. Rule sets are
+    configuration of a few kilobytes, which plans are built from, so their texts come to the driver."""
+    texts = spark.read.option("pathGlobFilter", "*.y*ml").text(folder, wholetext=True).collect()
+    found: dict[str, RuleSet] = {}
+    for rules in (load(r.value) for r in texts):
+        if rules.id in found:
+            raise RuleError(f"two rule sets are called {rules.id}")
+        found[rules.id] = rules
+    return found

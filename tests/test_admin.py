@@ -56,3 +56,13 @@ def test_actions(spark):
     chosen = versions.where("version_id = 1").select("version_id", "ruleset_id")
     before = versions.withColumn("state", F.when(F.col("version_id").isin(2, 7), "published").otherwise(F.col("state")))
     assert {r.version_id: r.state for r in admin.published(before, chosen).collect() if r.version_id in (1, 2, 7, 4)} == {1: "published", 2: "retired", 7: "published", 4: "approved"}
+
+
+def test_clones(spark):
+    rows = [(1, 1, "published", "a"), (1, 2, "retired", "b"), (2, 1, "published", "a"), (2, 2, "rejected", "b"), (3, 1, "retired", "c"), (3, 2, None, "d"), (4, 7, "published", None)]
+    versions = spark.createDataFrame(rows, "ruleset_id int, number int, state string, content string")
+    got = {r.ruleset_id: tuple(r)[1:] for r in admin.cloned(versions, F.col("state") == "published", ["content"], F.lit("me")).collect()}
+    none = (None, None, None, None, None)
+    assert got == {1: (3, "draft", "me", 1, "a", None), 2: (*none, "open_version"), 3: (*none, "no_source"), 4: (8, "draft", "me", 7, None, None)}
+    older = {r.ruleset_id: r.cloned_from for r in admin.cloned(versions, F.col("number") == 2, ["content"], F.lit("me")).collect()}
+    assert older == {1: 2, 2: None, 3: 2, 4: None}

@@ -1,5 +1,9 @@
 """The catalogue of parameters, and every type of its rules against the registry."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from foliant.operators import checks  # noqa: F401  registers the rule operators
@@ -46,3 +50,10 @@ def test_warnings():
     of = lambda *rules: catalog.warnings(RuleSet("s", "s", rules))
     assert of() == [("rules", "规则集当前没有规则")]
     assert [p for p, _ in of(Rule("R01", "budget_check"), Rule("R02", "anonymity_check"), Rule("R03", "reference_format", params={"semantic_review": True}), Rule("R04", "reference_format"), Rule("R05", "anonymity_check", enabled=False))] == ["rules[1]", "rules[2]"]
+
+
+def test_registry_in_a_fresh_process():
+    """The registry fills itself, whichever module comes first, and faults have their places."""
+    code = "from foliant.plans import catalog, rules; r = rules.load('id: a\\nrules: [{id: R01, type: page_limit, params: {max_pages: 3}}]'); print(len(catalog.known_types()), len(catalog.faults(r)), catalog.faults(rules.read('id: a\\nrules: [{id: R01, type: odd}]'))[0][0])"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[1], check=True)
+    assert out.stdout.split()[:2] == ["20", "0"] and out.stdout.split()[2].startswith("rules[0]")
