@@ -3,8 +3,12 @@
 An archive is a ZIP file of media members. Reading plans byte ranges from the files' sizes alone; a range's task takes the
 members that begin in it, by the archive's directory, streams them in Arrow batches of a few MB, and retries each member by
 itself at its offset, by its own header. A member that fails for good gives a row with its error and costs no other member.
-If the directory itself is damaged, a row tells so (offset -1), and the members are found by their headers' marks; what the
-directory says about them is null then. Writing goes through
+A directory counts only if its end record closes the file and it accounts for the file from its first byte on; a damaged one, or that
+of an archive stored inside, doesn't. A row tells so then (offset -1), and the members are found by their own headers, one after
+the other: each header's sizes tell where the next one stands, so that headers inside a member's data are none. Where one doesn't
+stand, or a member can't be read, a row with an error says so, and the next mark is looked for. What the directory says
+about members is null then. Each range walks the headers before it too, which reads their few bytes, and those members' data
+only where the sizes follow it. Writing goes through
 the same source: tasks write archives under temporary names, and the commit renames those of the tasks that count.
 
 The query stores each text as a sound: 8-bit mono samples of a WAV file.
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import new_path, small_batches, typed
+from .common import kept_table, new_path, small_batches, typed
 from .files import Ranged, opened
 
 UNIT, RANGE, BATCH, ARCHIVE, TRIES, RATE = 64, 16 << 20, 4 << 20, 128 << 20, 3, 8000
@@ -54,6 +58,9 @@ class Written(WriterCommitMessage):
 
 
 LOCAL, LOCAL_SIZE = b"PK\x03\x04", 30
+#: Marks of a directory's parts, and of all that may follow a member.
+DIRECTORY = (b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x08")
+AFTER = (LOCAL, *DIRECTORY)
 
 
 def member_bytes(path: str, offset: int, tries: int = TRIES, wait: float = 0.2) -> tuple[bytes | None, str | None]:
@@ -74,15 +81,15 @@ def member_bytes(path: str, offset: int, tries: int = TRIES, wait: float = 0.2)
     return None, error
 
 
-def own_member(file: Ranged, at: int) -> tuple[str, bytes]:
-    """Name and bytes of the member whose header is at an offset; its checksum follows it, or stands in the header."""
+def own_member(file: Ranged, at: int) -> tuple[str, bytes, int]:
+    """Name, bytes and end of the member whose header is at an offset; its checksum follows it, or stands in the header."""
     head = file.bytes_at(at, LOCAL_SIZE)
     if len(head) < LOCAL_SIZE or head[:4] != LOCAL:
         raise ValueError("no member's header")
     flags, method, crc, packed, name_size, more = (int.from_bytes(head[i:j], "little") for i, j in ((6, 8), (8, 10), (14, 18), (18, 22), (26, 28), (28, 30)))
-    name, begin = file.bytes_at(at + LOCAL_SIZE, name_size).decode(), at + LOCAL_SIZE + name_size + more
+    name, begin = file.bytes_at(at + LOCAL_SIZE, name_size).decode(errors="replace"), at + LOCAL_SIZE + name_size + more
     if method == 0 and not flags & 8:
-        data = file.bytes_at(begin, packed)
+        data, end = file.bytes_at(begin, packed), begin + packed
     elif method == 8:
         z, parts, here = zlib.decompressobj(-15), [], begin
         while not z.eof:
@@ -91,26 +98,103 @@ def own_member(file: Ranged, at: int) -> tuple[str, bytes]:
                 raise ValueError("the member is cut off")
             parts.append(z.decompress(block))
             here += len(block)
-        data, here = b"".join(parts), here - len(z.unused_data)
+        data, end = b"".join(parts), here - len(z.unused_data)
         if flags & 8:  # sizes and checksum follow the data
-            after = file.bytes_at(here, 8)
-            crc = int.from_bytes(after[4:8] if after[:4] == b"PK\x07\x08" else after[:4], "little")
+            after = file.bytes_at(end, 8)
+            marked = after[:4] == b"PK\x07\x08"
+            crc = int.from_bytes(after[4:8] if marked else after[:4], "little")
+            end += next((n for n in (16 if marked else 12, 24 if marked else 20) if end + n == file.size or file.bytes_at(end + n, 4) in AFTER), 16 if marked else 12)
     else:
         raise ValueError(f"method {method}")
     if zlib.crc32(data) != crc:
         raise ValueError("wrong checksum")
-    return name, data
+    return name, data, end
+
+
+def directory(file: Ranged) -> list[zipfile.ZipInfo]:
+    """The archive's members by its directory; raises BadZipFile if that is damaged or another archive's."""
+    try:
+        archive = zipfile.ZipFile(file)
+        infos, start, comment = archive.infolist(), archive.start_dir, len(archive.comment)
+    except OSError:
+        raise  # the storage's fault, not the archive's
+    except Exception as e:
+        raise zipfile.BadZipFile(f"{type(e).__name__}: {e}") from e
+    offsets = sorted(i.header_offset for i in infos)
+    if file.bytes_at(file.size - 22 - comment, 4) != b"PK\x05\x06":
+        raise zipfile.BadZipFile("the end record doesn't close the file")
+    if (offsets or [start])[0] != 0 or (offsets and offsets[-1] >= start):
+        raise zipfile.BadZipFile("the directory doesn't account for the file")
+    return infos
+
+
+def header(file: Ranged, at: int) -> tuple[str, int] | None:
+    """Name and place of the next header by the sizes of the one at an offset (-1 if they follow the data); None if there is none."""
+    head = file.bytes_at(at, LOCAL_SIZE)
+    if len(head) < LOCAL_SIZE or head[:4] != LOCAL:
+        return None
+    flags, packed, name_size, more = (int.from_bytes(head[i:j], "little") for i, j in ((6, 8), (18, 22), (26, 28), (28, 30)))
+    begin = at + LOCAL_SIZE + name_size + more
+    name = file.bytes_at(at + LOCAL_SIZE, name_size).decode(errors="replace")
+    return name, -1 if flags & 8 else begin + packed
+
+
+def is_directory(file: Ranged, at: int) -> bool:
+    """Whether a directory begins at an offset: by its mark or, if that is damaged, by the next one, where its first entry ends."""
+    entry = file.bytes_at(at, 46)
+    if entry[:4] in DIRECTORY or len(entry) < 46:
+        return entry[:4] in DIRECTORY
+    return file.bytes_at(at + 46 + sum(int.from_bytes(entry[i : i + 2], "little") for i in (28, 30, 32)), 4) in DIRECTORY
+
+
+def sound(file: Ranged, at: int) -> bool:
+    try:
+        own_member(file, at)
+    except OSError:
+        raise
+    except Exception:  # noqa: BLE001  any fault of one member is its own
+        return False
+    return True
+
+
+def next_header(file: Ranged, at: int) -> int:
+    """Where the next header's mark stands, or the file's size."""
+    while at < file.size:
+        block = file.bytes_at(at, 1 << 18)
+        if (found := block.find(LOCAL)) >= 0:
+            return at + found
+        at += max(1, len(block) - 3)
+    return file.size
 
 
-def walked(file: Ranged, first: int, end: int) -> Iterator[int]:
-    """Where members' headers begin in [first, end), by their mark: what is left if the directory can't be read."""
-    at = first
-    while at < end and (block := file.bytes_at(at, min(1 << 18, end + 3 - at))):
-        found = block.find(LOCAL)
-        while found >= 0 and at + found < end:
-            yield at + found
-            found = block.find(LOCAL, found + 1)
-        at += max(1, len(block) - 3)
+def walked(file: Ranged, end: int) -> Iterator[tuple[int, str | None, str | None]]:
+    """Offset, name and fault of each member whose header begins before `end`, from the file's beginning, without its directory."""
+    at = 0
+    while at < min(end, file.size):
+        if is_directory(file, at):  # members end where a directory begins
+            return
+        found = header(file, at)
+        if not found:
+            after = next_header(file, at + 1)
+            yield at, None, f"no member's header in the bytes up to {after}"
+            at = after
+            continue
+        name, after = found
+        if after > file.size or (0 <= after < file.size and file.bytes_at(after, 4) not in AFTER and not is_directory(file, after) and not sound(file, at)):
+            yield at, name, "the member's sizes are wrong"
+            at = next_header(file, at + LOCAL_SIZE)
+            continue
+        if after < 0:
+            try:
+                after = own_member(file, at)[2]
+            except OSError:
+                raise
+            except Exception as e:  # noqa: BLE001  any fault of one member is its own
+                yield at, name, f"{type(e).__name__}: {e}"
+                at = next_header(file, at + LOCAL_SIZE)
+                continue
+        yield at, name, None
+        at = after
 
 
 class ArchiveReader(DataSourceReader):
@@ -138,25 +222,27 @@ class ArchiveReader(DataSourceReader):
 
     def members(self, partition: Range) -> Iterator[dict]:
         path, file = partition.path, Ranged(partition.path)
+        row = lambda offset, member, about, media, error: {"archive": path, "offset": offset, "member": member, "about": about, "media": media, "error": error}
         try:
-            with zipfile.ZipFile(file) as archive:
-                for info in archive.infolist():
-                    if not partition.first <= info.header_offset < partition.end:
-                        continue
-                    try:
-                        data, error = archive.read(info), None  # checks the member's CRC
-                    except Exception:  # noqa: BLE001
-                        data, error = member_bytes(path, info.header_offset)
-                    yield {"archive": path, "offset": info.header_offset, "member": info.filename, "about": info.comment.decode(), "media": data, "error": error}
-        except zipfile.BadZipFile as e:  # the directory is damaged
-            if partition.first == 0:
-                yield {"archive": path, "offset": -1, "member": None, "about": None, "media": None, "error": f"{type(e).__name__}: {e}"}
-            for at in walked(file, partition.first, min(partition.end, file.size)):
-                try:
-                    name, data = own_member(file, at)
-                except Exception:  # noqa: BLE001  a mark within other data, or a damaged member
+            try:
+                infos = directory(file)
+            except zipfile.BadZipFile as e:
+                if partition.first == 0:
+                    yield row(-1, None, None, None, f"BadZipFile: {e}")
+                for at, name, fault in walked(file, partition.end):
+                    if at >= partition.first:
+                        data, error = (None, fault) if fault else member_bytes(path, at)
+                        yield row(at, name, None, data, error)
+                return
+            archive = zipfile.ZipFile(file)
+            for info in infos:
+                if not partition.first <= info.header_offset < partition.end:
                     continue
-                yield {"archive": path, "offset": at, "member": name, "about": None, "media": data, "error": None}
+                try:
+                    data, error = archive.read(info), None  # checks the member's CRC
+                except Exception:  # noqa: BLE001
+                    data, error = member_bytes(path, info.header_offset)
+                yield row(info.header_offset, info.filename, info.comment.decode(errors="replace"), data, error)
         finally:
             file.close()
 
@@ -295,8 +381,12 @@ def media(spark: SparkSession, folder: str, range_bytes: int = RANGE) -> DataFra
 
 
 def media_query(docs: DataFrame) -> DataFrame:
+    """Fails if a member is lost, or if there aren't as many as texts."""
     small_batches(docs.sparkSession, 128)
     rows = media(docs.sparkSession, archived(docs))
     about = F.from_json("about", "doc_id long, n_bytes long")
     fine = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("media member lost: "), F.col("error")))).otherwise(F.col("media"))
-    return rows.select(about.alias("a"), features(fine).alias("f")).select("a.doc_id", "a.n_bytes", "f.*")
+    read = kept_table(rows.select(about.alias("a"), features(fine).alias("f")).select("a.doc_id", "a.n_bytes", "f.*"), "features")
+    if (found := read.count()) != (written := docs.count()):
+        raise RuntimeError(f"{written} texts stored, read again: {found}")
+    return read
