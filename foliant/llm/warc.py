@@ -5,7 +5,7 @@ names that successful tasks return are read, so a repeated task leaves a file th
 payloads the least page_id is the response and the others are revisits.
 
 Reading: the archives are cut into byte ranges, and a range's task reads the records that begin in it. Each record is checked:
-gzip checksum, version line, lengths, payload digest. After a failure the reader looks for the next valid member (or, in a
+gzip checksum, version line, lengths, and those of its payload's and block's digests that are there and of a known algorithm. After a failure the reader looks for the next valid member (or, in a
 plain archive, the next version line with valid headers), goes on there, and reports the bytes between as a quarantined gap.
 A record's damage never costs another record. A task holds one record and one block of the file at a time.
 
@@ -31,6 +31,7 @@ from .files import Ranged, opened
 
 VERSION, RANGE, BLOCK, LEAST_PAYLOAD = b"WARC/1.1", 32 << 20, 1 << 18, 0
 MOST_TASKS = 100_000  # that read; beyond, a task reads several ranges
+KNOWN = ("sha1", "sha256", "md5")  # algorithms of digests that are checked
 FIRST_HEADERS = 1 << 16  # read first of a record in a plain archive; longer headers are read on
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -137,6 +138,15 @@ def headers_at(file: Ranged, at: int) -> tuple[dict[str, str], int] | None:
         n *= 2
 
 
+def differs(said: str, data: bytes) -> bool:
+    """Whether a digest of a known algorithm (base32 or hex) isn't that of the data. Digests are optional, and of any algorithm."""
+    name, _, value = said.strip().partition(":")
+    if name.lower() not in KNOWN or not value:
+        return False
+    found = hashlib.new(name.lower(), data).digest()
+    return value.upper().rstrip("=") not in (base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
 def parsed(data: bytes) -> dict | None:
     """A record's fields, or None if its lengths or its digest are wrong."""
     head = headers_of(data)
@@ -149,14 +159,16 @@ def parsed(data: bytes) -> dict | None:
         return None
     http, blank, payload = block.partition(b"\r\n\r\n")
     number = lambda x: int(x) if x is not None and x.lstrip("-").isdecimal() else None
-    of = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    of, of_block = headers.get("warc-payload-digest", ""), headers.get("warc-block-digest", "")
+    if differs(of_block, block):
+        return None
     if headers["warc-type"] == "response":
-        if not blank or digest(payload) != of:
+        if not blank or differs(of, payload):
             return None
-        n = len(payload)
+        n, of = len(payload), of if of.lower().startswith("sha1:") else f"sha1:{digest(payload)}"
     else:
         n = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-    return {"page_id": number(headers.get("x-page-id")), "url": headers.get("warc-target-uri"), "payload_bytes": n, "payload_digest": of, "record_type": headers["warc-type"], "refers_to": number(headers.get("x-refers-to-page-id")), "payload": payload, "end": begin + size + 4}
+    return {"page_id": number(headers.get("x-page-id")), "url": headers.get("warc-target-uri"), "payload_bytes": n, "payload_digest": of.partition(":")[2].upper() or None, "record_type": headers["warc-type"], "refers_to": number(headers.get("x-refers-to-page-id")), "payload": payload, "end": begin + size + 4}
 
 
 def record_at(file: Ranged, at: int, gzip: bool) -> tuple[dict, int] | None:
