@@ -1,7 +1,11 @@
-"""Small functions of strings and times: file names, answers of models, times for people."""
+"""Small functions of strings and times: file names, answers of models, times for people, Unicode forms."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +37,36 @@ def json_object(answer: Column) -> Column:
 def iso_time(at: Column) -> Column:
     """ISO 8601 to the second with the session's offset; empty for null."""
     return F.coalesce(F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx"), F.lit(""))
+
+
+#: Between the pairs of a table of characters, and within one; neither is in any pair.
+BETWEEN, WITHIN = "\x01", "\x02"
+
+
+@lru_cache(maxsize=2)
+def _table(name: str) -> tuple[str, str, str, str]:
+    """Characters that become one other, these, a pattern of those that become several, and their pairs; found by the rule itself."""
+    rule: Callable[[str], str] = {"nfkc": lambda c: unicodedata.normalize("NFKC", c), "casefold": str.casefold}[name]
+    pairs = [(c, rule(c)) for c in map(chr, range(0x80 if name == "nfkc" else 0, 0x110000)) if not "\ud800" <= c <= "\udfff" and rule(c) != c]
+    one, several = [p for p in pairs if len(p[1]) == 1], [p for p in pairs if len(p[1]) > 1]
+    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in several) + "]"
+    return "".join(a for a, _ in one), "".join(b for _, b in one), pattern, BETWEEN.join(f"{a}{WITHIN}{b}" for a, b in several)
+
+
+def _by_table(text: Column, name: str) -> Column:
+    """Each character as the table has it. Those that become several are looked up only where a text has some."""
+    froms, tos, pattern, pairs = _table(name)
+    named = F.str_to_map(F.lit(pairs), F.lit(BETWEEN), F.lit(WITHIN))
+    each = lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), t, lambda acc, c: F.replace(acc, c, F.element_at(named, c)))
+    return let(F.translate(text, froms, tos), lambda t: F.when(F.regexp_like(t, F.lit(pattern)), each(t)).otherwise(t))
+
+
+def compatible(text: Column) -> Column:
+    """NFKC of each character: full-width forms, ligatures, numbers in circles and the like. What letters and marks that follow them
+    make together isn't composed."""
+    return _by_table(text, "nfkc")
+
+
+def casefolded(text: Column) -> Column:
+    """Full case folding: as lower case, and one letter as several where their cases meet so."""
+    return _by_table(text, "casefold")

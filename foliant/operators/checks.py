@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import formats
 from foliant.functions.columns import finding, given, java, joined, let, mode, none, of, quoted, strip, texts, whole
+from foliant.functions.text import casefolded, compatible
 from foliant.plans.rules import Rule, RuleError, operator
 
 def BLOCKS() -> Column:  # noqa: N802
@@ -587,16 +588,14 @@ def reference_format(rule: Rule) -> Column:
 
 
 #: Full-width forms and the ASCII characters that compatibility normalisation makes of them.
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 MODES = ("text", "casefold", "number", "date", "phone", "list")
 
 
 def normalised(value: Column, kind: str) -> Column:
-    """struct<key, number, error> of a field's value. Full-width forms become ASCII; other compatibility characters stay."""
+    """struct<key, number, error> of a field's value, whose compatibility characters have given way to their plain forms."""
     if kind not in MODES:
         raise RuleError(f"unknown normalisation {kind!r}")
-    v = strip(F.translate(value, WIDE, NARROW))
+    v = strip(compatible(value))
     key, number, error = F.lit(None).cast("string"), F.lit(None).cast("decimal(38,8)"), F.lit(None).cast("string")
     if kind == "number":
         compact = F.regexp_replace(v, r"(?U)[,，￥¥元\s]", "")
@@ -614,10 +613,10 @@ def normalised(value: Column, kind: str) -> Column:
         digits = F.regexp_replace(v, r"(?U)\D", "")
         key = F.when((F.length(digits) == 13) & F.startswith(digits, F.lit("86")), F.substring(digits, 3, 11)).otherwise(digits)
     elif kind == "list":
-        key = F.array_join(F.array_sort(F.transform(F.filter(F.split(v, r"(?U)[、,，;；/\s]+"), lambda x: x != ""), lambda x: F.lower(x))), "\x1f")
+        key = F.array_join(F.array_sort(F.transform(F.filter(F.split(v, r"(?U)[、,，;；/\s]+"), lambda x: x != ""), of(casefolded))), "\x1f")
     else:
         bare = F.regexp_replace(F.regexp_replace(v, r"(?U)[\s　]+", ""), "[，,。；;：:‘’“”\"']+\\z", "")
-        key = F.lower(bare) if kind == "casefold" else bare
+        key = casefolded(bare) if kind == "casefold" else bare
     return F.struct(key.alias("key"), number.alias("number"), error.alias("error"))
 
 
