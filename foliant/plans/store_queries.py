@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import store
 from foliant.plans.driver_queries import query, table
-from foliant.streaming import windows
+from foliant.streaming import tasks, windows
 
 
 @query("consent_granted", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -62,3 +62,30 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE
 SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session""")
 def event_sessions(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "6 hours")
+
+
+IDLE, LATE = 7200, 600
+
+
+@query("watched_tasks", f"""
+WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS sec, row_number() OVER w AS n, lag(epoch(ts)::BIGINT) OVER w AS prior FROM (SELECT user_id, time_bucket(INTERVAL 1 SECOND, ts) AS ts, event_id FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT user_id, min(prior) AS ended FROM e WHERE sec - prior > {IDLE} GROUP BY user_id),
+t AS (SELECT user_id, max(sec) AS last FROM e GROUP BY user_id),
+f AS (SELECT t.user_id, coalesce(ended, CASE WHEN (SELECT max(sec) FROM e) - {LATE} - last > {IDLE} THEN last END) AS ended FROM t LEFT JOIN g USING (user_id))
+SELECT user_id::VARCHAR AS task, sec AS "at", CASE WHEN n = 1 THEN 'start' ELSE 'beat' END AS event, CASE WHEN sec > ended THEN 'timed_out' ELSE 'running' END AS status, coalesce(sec <= ended, true) AS applied FROM e JOIN f USING (user_id)
+UNION ALL SELECT user_id::VARCHAR, ended + {IDLE}, 'watchdog', 'timed_out', true FROM f WHERE ended IS NOT NULL""")
+def watched_tasks(spark, sf_dir):
+    """Each user's events as one task's life, which idleness ends."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"), "event_id")
+    first = events.groupBy("task").agg(F.min(F.struct("at", "event_id")).alias("first"))
+    named = events.join(first, "task").select("task", "at", F.when(F.col("event_id") == F.col("first.event_id"), "start").otherwise("activity").alias("event"))
+    return tasks.watched_statuses(named, IDLE, LATE).withColumn("event", F.when(F.col("event") == "activity", "beat").otherwise(F.col("event")))
+
+
+@query("reused_tasks", """
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_id, event_type, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+s AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, part ORDER BY us, event_id) AS task FROM e WHERE event_type <> 'purchase')
+SELECT user_id::VARCHAR AS key, us AS "at", event_id AS request, task, task <> event_id AS reused FROM s""")
+def reused_tasks(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'purchase')")
+    return tasks.reused(events.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("request"), F.when(F.col("event_type") == "purchase", "done").otherwise("submit").alias("event")))
