@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions.text import safe_filename
-from foliant.operators import admin
+from foliant.operators import admin, command_log
 from foliant.plans.driver_queries import query, table
 from foliant.sources import parsers
 
@@ -83,6 +83,40 @@ def versions_cloned(spark, sf_dir):
     return admin.cloned(fewer, F.col("state") == "published", ["content_sha256"], F.lit("admin"))
 
 
+#: A log made from orders: a customer's first order seeds, the second clones, further ones do one of five things by their key.
+LOG_SQL = """o AS (SELECT o_custkey::VARCHAR AS ruleset_id, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+c AS (SELECT *, CASE n WHEN 1 THEN 'seed' WHEN 2 THEN 'clone' ELSE ['save', 'clone', 'delete', 'disable', 'enable'][seq % 5 + 1] END AS command FROM o),
+s AS (SELECT *, count(*) FILTER (command = 'save') OVER w AS saves, coalesce(arg_max(command, seq) FILTER (command IN ('disable', 'enable')) OVER w, 'enable') AS switch,
+  max(seq) FILTER (command = 'save' AND first) OVER w AS saved FROM (SELECT *, command = 'save' AND row_number() OVER (PARTITION BY ruleset_id, command ORDER BY seq) = 1 AS first FROM c) WINDOW w AS (PARTITION BY ruleset_id ORDER BY seq))"""
+
+
+def rule_set_log(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ruleset_id"), F.col("o_orderkey").alias("seq"))
+    first = orders.groupBy("ruleset_id").agg(F.slice(F.array_sort(F.collect_list("seq")), 1, 2).alias("first"))
+    further = F.element_at(F.array(*map(F.lit, ("save", "clone", "delete", "disable", "enable"))), (F.col("seq") % 5 + 1).cast("int"))
+    command = F.when(F.col("seq") == F.get("first", F.lit(0)), "seed").when(F.col("seq") == F.get("first", F.lit(1)), "clone").otherwise(further)
+    content = F.when(command == "seed", "first").otherwise(F.concat(F.lit("text "), F.col("seq").cast("string")))
+    return orders.join(first, "ruleset_id").select("ruleset_id", "seq", command.alias("command"), F.lit("me").alias("actor"), F.lit(2).alias("version"), F.lit(1).alias("revision"), content.alias("content"), F.lit(1).alias("enabled_rules"))
+
+
+@query("command_outcomes", f"""
+WITH {LOG_SQL}
+SELECT ruleset_id, seq, command, CASE command WHEN 'save' THEN CASE WHEN saves > 1 THEN 'conflict' END WHEN 'clone' THEN CASE WHEN n > 2 THEN 'open_version' END WHEN 'delete' THEN 'published' END AS refused,
+  CASE WHEN command IN ('seed', 'disable', 'enable') THEN 1 WHEN command = 'save' OR n = 2 THEN 2 END::BIGINT AS version, CASE WHEN command = 'save' THEN 2 WHEN command IN ('seed', 'disable', 'enable') OR n = 2 THEN 1 END::BIGINT AS revision,
+  CASE WHEN switch = 'disable' THEN 'disabled' ELSE 'active' END AS status FROM s""")
+def command_outcomes(spark, sf_dir):
+    """Saves of a revision that others have changed are conflicts, second drafts and deletions are refused."""
+    return command_log.outcomes(rule_set_log(spark, sf_dir)).select("ruleset_id", "seq", "command", "refused", "version", "revision", "status")
+
+
+@query("versions_of_log", f"""
+WITH {LOG_SQL}
+SELECT ruleset_id, 1::BIGINT AS version, 'published' AS state, 1::BIGINT AS revision, 'first' AS content FROM s WHERE n = 1
+UNION ALL SELECT ruleset_id, 2, 'draft', CASE WHEN max(saves) > 0 THEN 2 ELSE 1 END, coalesce('text ' || max(saved), 'first') FROM s GROUP BY ruleset_id HAVING max(n) > 1""")
+def versions_of_log(spark, sf_dir):
+    return command_log.versions(command_log.outcomes(rule_set_log(spark, sf_dir)))
+
+
 @query("purge_totals", """
 WITH d AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), r AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM d))
 SELECT 'documents' AS kind, count(*) AS n FROM d UNION ALL SELECT 'reviews', count(*) FROM r
