@@ -6,6 +6,7 @@ are skipped. A chunk whose call fails leaves one degraded finding, and then stan
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -74,18 +75,39 @@ def prompts(documents: DataFrame, rule: Rule) -> DataFrame:
     return documents.select("doc_id", F.posexplode(CHUNKS[rule.type](rule)).alias("chunk", "text")).select("doc_id", "chunk", wrapped.alias("prompt"))
 
 
+def most_alike(e: str, counts: Counter, t: str) -> float:
+    """What the ratio of two texts can't pass: matching characters are in both, as often as in the one that has fewer."""
+    shared, left = 0, dict(counts)
+    for c in t:
+        if left.get(c, 0) > 0:
+            left[c] -= 1
+            shared += 1
+    return 2 * shared / (len(e) + len(t))
+
+
 def placed(evidence: str, blocks: list) -> dict | None:
-    """The first block that holds the evidence, blanks aside; else the most similar from SIMILAR on."""
+    """The first block that holds the evidence, blanks aside; else the most similar from SIMILAR on, of equals the first.
+
+    Blocks are compared in the order of a bound of their ratio, first by length and then by shared characters, and only as long as
+    the bound allows for more than the best so far; so few of them are.
+    """
     bare = lambda t: "".join((t or "").split())
-    e, best, most = bare(evidence), None, 0.0
-    for b in blocks if e else []:
-        t = bare(b["text"])
+    e = bare(evidence)
+    texts = [bare(b["text"]) for b in blocks] if e else []
+    for b, t in zip(blocks, texts, strict=False):
         if t and e in t:
             return b
-        ratio = SequenceMatcher(None, e, t).ratio() if t else 0.0
-        if ratio >= SIMILAR and ratio > most:
-            best, most = b, ratio
-    return best
+    counts = Counter(e)
+    near = [i for i, t in enumerate(texts) if t and 2 * min(len(e), len(t)) / (len(e) + len(t)) >= SIMILAR]
+    bounded = sorted((-bound, i) for i in near if (bound := most_alike(e, counts, texts[i])) >= SIMILAR)
+    best, most = None, 0.0
+    for bound, i in bounded:
+        if -bound < most:
+            break
+        ratio = SequenceMatcher(None, e, texts[i]).ratio()
+        if ratio >= SIMILAR and (ratio > most or ratio == most and i < best):
+            best, most = i, ratio
+    return None if best is None else blocks[best]
 
 
 def asked(documents: DataFrame, rule: Rule, provider: Provider) -> DataFrame:

@@ -278,6 +278,29 @@ def page_status(spark, sf_dir):
     return e.select("event_id", ladder(**signals).alias("status"))
 
 
+STATES = ("success", "insufficient", "failed", "skipped_limit", "not_needed", "not_needed", "not_needed")
+
+
+@query("page_status_ocr", f"""
+WITH e AS (SELECT event_id, {list(STATES)!r}[event_id % 7 + 1] AS state, user_id % 3 AS ocr, (event_id % 400)::INT AS chars, (user_id % 3)::INT AS images, (event_id % 10) / 10.0 AS ratio, event_type = 'click' AS unread FROM events)
+SELECT event_id, CASE WHEN state = 'success' THEN CASE WHEN ocr < 2 THEN 'ocr_insufficient' ELSE 'ocr' END WHEN state = 'insufficient' THEN 'ocr_insufficient' WHEN state IN ('failed', 'skipped_limit') THEN 'ocr_' || state
+  WHEN chars = 0 AND images = 0 THEN 'empty' WHEN images > 0 AND chars = 0 THEN 'scanned_no_text' WHEN ratio >= 0.6 AND chars < 200 THEN 'scanned_minimal_text' WHEN unread AND ratio >= 0.5 AND chars >= 200 THEN 'mixed_image_unread' ELSE 'ok' END AS status FROM e""")
+def page_status_ocr(spark, sf_dir):
+    """Pages of every state that character recognition can end in."""
+    from foliant.functions.pages import page_status as ladder
+
+    state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % 7 + 1).cast("int"))
+    signals = {"digital_chars": (F.col("event_id") % 400).cast("int"), "image_count": (F.col("user_id") % 3).cast("int"), "image_area_ratio": (F.col("event_id") % 10) / 10.0, "has_unread_image_region": F.col("event_type") == "click", "ocr_state": state, "ocr_chars": F.col("user_id") % 3}
+    return table(spark, sf_dir, "events").select("event_id", ladder(**signals, ocr_min_chars=2).alias("status"))
+
+
+@query("line_sequence_breaks", """
+SELECT l_orderkey, before, after FROM (SELECT l_orderkey, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before, l_linenumber AS after FROM lineitem) WHERE after <> before + 1""")
+def line_sequence_breaks(spark, sf_dir):
+    """Lines of an order whose numbers are missing or come twice."""
+    return keyed.sequence_breaks(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
 @query("line_classes", r"""
 WITH l AS (SELECT doc_id, i - 1 AS line, t FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 s AS (SELECT doc_id, line, length(t) % 3 = 0 AS bold, trim(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS t FROM l)

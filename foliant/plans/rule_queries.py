@@ -225,3 +225,18 @@ def review_incomplete(spark, sf_dir):
     docs = order_documents(spark, sf_dir, lambda x, i: ir.block(i, "paragraph", F.when(x["pk"] % 3 == 0, "附件：承诺书").otherwise("正文"), 0, i + 1), meta=page)
     of = rules.load("id: planted\nname: planted\nrules:\n- {id: K10, type: attachment_checklist, params: {expected: [承诺书]}}\n- {id: K17, type: anonymity_check}")
     return review.summary(docs, of).select("doc_id", "total_issues", "errors", "manual_required_checks", "skipped_checks", "ai_complete", "review_complete", "conclusion")
+
+
+@query("rule_cross_numbers", LINES + """
+v AS (SELECT doc_id, i, pk % 3 = 0 AS whole, CASE WHEN pk % 3 = 0 THEN (pk % 4) || '万元' ELSE (sk % 4) * 10000 || '元' END AS v, CASE WHEN pk % 3 = 0 THEN pk % 4 ELSE sk % 4 END AS n FROM l WHERE pk % 3 < 2),
+a AS (SELECT doc_id, v, n, min(i) AS pos, count(*) AS c FROM v WHERE whole GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM a),
+t AS (SELECT doc_id, string_agg(v, ' / ' ORDER BY pos) FILTER (r <= 4) AS shown FROM d GROUP BY doc_id HAVING count(*) > 1),
+s AS (SELECT doc_id, arg_min(v, i) FILTER (whole) AS lv, arg_min(v, i) FILTER (NOT whole) AS rv, coalesce(list_has_any(list(n) FILTER (whole), list(n) FILTER (NOT whole)), true) AS met FROM v GROUP BY doc_id)
+SELECT doc_id, '「预算总额」在多处取值不一致：' || shown AS message FROM t
+UNION ALL SELECT doc_id, '字段间取值不一致：「预算总额」为 ' || lv || '，「申请经费」为 ' || rv FROM s WHERE NOT met AND lv IS NOT NULL AND rv IS NOT NULL""")
+def rule_cross_numbers(spark, sf_dir):
+    """Numbers in units of their own: a field's values among themselves, and those of two fields."""
+    text = lambda x: F.when(x["pk"] % 3 == 0, F.concat(F.lit("预算总额："), (x["pk"] % 4).cast("string"), F.lit("万元"))).when(x["pk"] % 3 == 1, F.concat(F.lit("申请经费："), (x["sk"] % 4 * 10000).cast("string"), F.lit("元"))).otherwise("正文")
+    docs = order_documents(spark, sf_dir, lambda x, i: ir.block(i, "paragraph", text(x), 0, i + 1))
+    return found(docs, "{id: K12, type: cross_field_consistency, params: {fields: [{name: 预算总额, normalize: number}], comparisons: [{left: 预算总额, right: {name: 申请经费}, normalize: number}]}}")

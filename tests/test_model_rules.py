@@ -1,5 +1,7 @@
 """Rules that ask a model: chunks, evidence, faults of the provider."""
 
+import random
+
 from foliant.operators import model_rules as M
 from foliant.plans.rules import Rule
 from tests.test_review import H, P, document
@@ -36,3 +38,33 @@ def test_answers(spark):
 def test_similar_evidence():
     blocks = [{"id": "a", "text": "完全不同"}, {"id": "b", "text": "项目负责人姓名为张三丰"}]
     assert M.placed("项目负责人姓名是张三丰", blocks)["id"] == "b" and M.placed("毫不相干的话", blocks) is None
+
+
+def test_places_by_bound_are_those_of_every_ratio(monkeypatch):
+    random.seed(9)
+    calls = []
+    real = M.SequenceMatcher
+
+    def counting(*args):
+        calls.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(M, "SequenceMatcher", counting)
+    made = 0
+    for _ in range(150):
+        base = "".join(random.choice("项目经费总额万元成员人数年月ab") for _ in range(random.randint(5, 60)))
+        blocks = []
+        for i in range(30):
+            t = list(base if random.random() < 0.4 else "".join(random.choice("其他内容文字cdef") for _ in range(random.randint(0, 60))))
+            for _ in range(random.randint(1, 9)):
+                t.insert(random.randint(0, len(t)), random.choice("xyz项 "))
+            blocks.append({"text": "".join(t), "id": i})
+        blocks += [{"text": None, "id": 30}, {"text": blocks[0]["text"], "id": 31}]
+        ratios = [(real(None, base, "".join((b["text"] or "").split())).ratio() if b["text"] else 0.0) for b in blocks]
+        held = [b for b in blocks if b["text"] and base in "".join(b["text"].split())]
+        want = held[0]["id"] if held else max(range(len(blocks)), key=lambda i: (ratios[i], -i)) if max(ratios) >= M.SIMILAR else None
+        got = M.placed(base, blocks)
+        assert (got and got["id"]) == want
+        made += len(blocks)
+    assert 0 < len(calls) < made / 4
+    assert M.placed("", [{"text": "", "id": 1}]) is None and M.placed("a", []) is None
