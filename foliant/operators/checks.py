@@ -595,14 +595,18 @@ def normalised(value: Column, kind: str) -> Column:
     """struct<key, number, error> of a field's value, whose compatibility characters have given way to their plain forms."""
     if kind not in MODES:
         raise RuleError(f"unknown normalisation {kind!r}")
-    v = strip(compatible(value))
+    return let(strip(compatible(value)), lambda v: _normalised(v, value, kind))
+
+
+def _normalised(v: Column, value: Column, kind: str) -> Column:
     key, number, error = F.lit(None).cast("string"), F.lit(None).cast("decimal(38,8)"), F.lit(None).cast("string")
     if kind == "number":
-        compact = F.regexp_replace(v, r"(?U)[,，￥¥元\s]", "")
-        plain = F.regexp_replace(compact, r"万\z", "")
-        read = F.when(whole(plain, r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"), plain.try_cast("decimal(28,8)"))
-        number = (read * F.when(F.endswith(compact, F.lit("万")), F.lit(10000)).otherwise(F.lit(1))).cast("decimal(38,8)")
-        error = F.when(number.isNull(), texts("无法识别数字“", value, "”"))
+        read = lambda plain: F.when(whole(plain, r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"), plain.try_cast("decimal(28,8)"))
+        times = lambda compact: F.when(F.endswith(compact, F.lit("万")), F.lit(10000)).otherwise(F.lit(1))
+        amount = lambda compact: (let(F.regexp_replace(compact, r"万\z", ""), read) * times(compact)).cast("decimal(38,8)")
+        unread = lambda n: F.when(n.isNull(), texts("无法识别数字“", value, "”"))
+        found = let(F.regexp_replace(v, r"(?U)[,，￥¥元\s]", ""), amount)
+        return let(found, lambda n: F.struct(key.alias("key"), n.alias("number"), unread(n).alias("error")))
     elif kind == "date":
         p = r"(?U)\A(\d{4})\s*(?:年|[-/.])\s*(\d{1,2})\s*(?:月|[-/.])\s*(\d{1,2})\s*日?\z"
         part = lambda i: F.regexp_extract(v, p, i)
