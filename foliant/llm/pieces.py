@@ -453,7 +453,8 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
 
 def with_tail(docs: DataFrame, rare: DataFrame, pieces: Pieces, tail: str) -> DataFrame:
     """docs with the ids of their rarer units. Rare units have few occurrences each, so no key of the first join is hot. The
-    last one's key is the text's hash; a text with more than COPIES copies is dealt over several parts of COPIES each."""
+    last one's key is the text's hash; a text with more than COPIES copies is dealt over several parts of COPIES each. Null texts have
+    no units, and a key of their own each, so that they are dealt out too."""
     cut, pairs = pieces.cut, pieces.pairs
     key, part, parts = (free_name(docs, x) for x in ("text_key", "text_part", "text_parts"))
 
@@ -462,8 +463,8 @@ def with_tail(docs: DataFrame, rare: DataFrame, pieces: Pieces, tail: str) -> Da
         find = units_of(cut, pairs)
         return pd.Series([list(dict.fromkeys(find(prepared(t or "")))) for t in texts])
 
-    keyed = docs.withColumn(key, F.sha2("text", 256))
-    many = kept_table(keyed.groupBy(key).agg(F.ceil(F.count("*") / COPIES).cast("int").alias(parts)).where(f"{parts} > 1 and {key} is not null"), "copied")
+    keyed = docs.withColumn(key, F.coalesce(F.sha2("text", 256), F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string"))))
+    many = kept_table(keyed.where("text is not null").groupBy(key).agg(F.ceil(F.count("*") / COPIES).cast("int").alias(parts)).where(f"{parts} > 1"), "copied")
     pairs_ = keyed.where("text is not null").select(key, "text").dropDuplicates([key]).select(key, F.explode(distinct_units("text")).alias("unit"))
     found = kept_table(pairs_.join(rare.select("unit", "ids"), "unit").groupBy(key).agg(F.collect_list(F.struct("unit", "ids")).alias(tail)), "tails")
     every = F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)
