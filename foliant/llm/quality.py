@@ -115,13 +115,14 @@ def with_verdicts(measured: DataFrame, named: DataFrame, columns: list[str], m:
 def judge(docs: DataFrame) -> DataFrame:
     """docs with the struct column `quality` (or the next free name): the measures, base_failed, host figures and kept.
 
-    The text is read twice, once for the hosts and once for the documents, and never shuffled.
+    Documents are kept with their measures, which both the hosts and the verdicts are made from: a verdict's filter would otherwise be
+    pushed below the measures, and each text be measured once more for it. Texts are never shuffled.
     """
     small_batches(docs.sparkSession)
     m, host = free_name(docs, "measured"), free_name(docs, "host")
-    verdicts = host_verdicts(docs.select(measures("text").alias(m), key_of(F.col("source")).alias(host)), host, m)
-    named = verdicts.select(host, F.struct("host_docs", "host_failed", "host_rate", "host_bad").alias(free_name(docs, "verdict")))
-    return with_verdicts(docs.withColumn(m, measures("text")).withColumn(host, key_of(F.col("source"))), named, docs.columns, m, host, F.col("text"))
+    measured = kept_table(docs.withColumn(m, measures("text")).withColumn(host, key_of(F.col("source"))), "measured")
+    named = host_verdicts(measured, host, m).select(host, F.struct("host_docs", "host_failed", "host_rate", "host_bad").alias(free_name(docs, "verdict")))
+    return with_verdicts(measured, named, docs.columns, m, host, F.monotonically_increasing_id())
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
