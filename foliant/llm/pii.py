@@ -6,16 +6,20 @@ them out changes no marginal). Its labels are none and the four kinds. Potential
 
 - node: a log-linear model of the word's form (a naive Bayes log-odds for each feature, smoothed),
 - chain: neighbouring carriers with nothing but white space between,
-- skip: carriers of one document that are equal, or similar (the same digits, or the same text without its punctuation).
+- skip: carriers of one document that are equal, or similar (the same digits, the same last nine digits, or the same text
+  without its punctuation); the first carrier of a base span stands for the digits of the whole span.
 
 Nodes inside base spans are observed. Loopy belief propagation (sum-product) passes messages forward and backward along the
 whole text, so that every repeat of a carrier is reached however far it is; these sweeps are exact where edges form no loop,
 and are repeated, damped, until the messages settle. Then
 carriers whose marginal for a kind is above 0.5 become spans, each from the word's first to last letter or digit (runs of
-neighbours of one kind become one span), unless they overlap a base span.
+neighbours of one kind become one span, but a carrier that is a whole address or number by itself isn't joined to others),
+unless they overlap a base span.
 
 Training is piecewise: every potential is fitted by itself from counts over documents labelled by the patterns. The labels
 count over about TRAIN_DOCS documents, those whose hash is under a bound set from the number of rows: a documented limit. Only counts reach the driver.
+Few documents repeat an address in a form that the patterns miss, or repeat plain numbers; so each training document is followed by
+such a form of each of its spans, which counts for the skip potential only, and by a plain number, date or code that comes twice.
 
 Defined results. Null text: as empty, no spans. Equal rows get equal results. An empty table gives an empty result, and the
 field then knows only its priors. Whole texts are read; time is n log n in the number of carriers and spans.
@@ -24,8 +28,10 @@ field then knows only its priors. Whole texts are read; time is n log n in the n
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from bisect import bisect_left
+import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -39,6 +45,8 @@ from .common import SPACES, free_name, small_batches, typed
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, ROUNDS, DAMPING, SMOOTH = 4000, 30, 0.3, 0.5
+#: What a feature of a carrier's form counts for: the features overlap, so each counts half.
+FORM_WEIGHT = 0.5
 
 # The four patterns. Lookbehinds keep a failed run of digits from being tried again at each of its digits;
 # they exclude no match, as a match from within a run could start at the run's start.
@@ -49,6 +57,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CARRIER = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"[^0-9A-Za-z]+")
+_QUAD = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -114,14 +123,32 @@ def labels_of(nodes: list, spans: list) -> list[int]:
     return out
 
 
-def edges_of(text: str, nodes: list) -> tuple[list, list]:
+def digits_of(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def first_carriers(nodes: list, spans: list) -> dict[int, str]:
+    """The digits of each base span by the first carrier that it overlaps."""
+    ends, found = [n[1] for n in nodes], {}
+    for start, end, digits in spans:
+        i = bisect_right(ends, start)
+        if i < len(nodes) and nodes[i][0] < end:
+            found.setdefault(i, digits)
+    return found
+
+
+def edges_of(text: str, nodes: list, base: list = ()) -> tuple[list, list]:
     """Chain edges and skip edges. Equal or similar carriers are linked in a row, each to the one before it: linear in number."""
+    of_span = first_carriers(nodes, [(s, e, digits_of(text[s:e])) for s, e, _ in base])
     chain = [(i - 1, i) for i in range(1, len(nodes)) if not text[nodes[i - 1][1] : nodes[i][0]].strip(SPACES)]
     before: dict[str, int] = {}
     skip = []
     for i, (_, _, word) in enumerate(nodes):
-        digits = "".join(c for c in word if "0" <= c <= "9")
-        for key in {"w" + _PLAIN.sub("", word).lower(), "d" + digits if len(digits) >= 6 else ""} - {"", "w"}:
+        keys = {"w" + _PLAIN.sub("", word).lower()}
+        for digits in {digits_of(word), of_span.get(i, "")}:
+            keys |= {"d" + digits} if len(digits) >= 6 else set()
+            keys |= {"e" + digits[-9:]} if len(digits) >= 9 else set()
+        for key in keys:
             if len(key) < 5:
                 continue
             if key in before:
@@ -130,16 +157,59 @@ def edges_of(text: str, nodes: list) -> tuple[list, list]:
     return chain, sorted(set(skip))
 
 
+def broken(found: str, kind: int) -> str:
+    """A base span's text in a form that its pattern misses."""
+    if kind == 0:
+        name, _, domain = found.partition("@")
+        return f"{name}@{domain.replace('.', ',')}"
+    digits = digits_of(found)
+    return found.replace(".", "-") if kind == 1 else ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)) if kind == 2 else digits
+
+
+def plain_number(seed: int) -> str:
+    """A number, date, time, code or amount that is no personal data, chosen by the seed."""
+    draw, digits = random.Random(seed), str(seed * 7919 + 10**18)
+    kind = draw.randrange(9)
+    if kind == 0:
+        return f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}"
+    if kind == 1:
+        return f"{draw.randint(10, 23)}:{draw.randint(10, 59)}:{draw.randint(10, 59)}"
+    if kind == 2:
+        return f"AB-{draw.randint(1000, 99999)}"
+    if kind == 3:
+        return f"{draw.randint(1, 999)},{draw.randint(100, 999)}.{draw.randint(10, 99)}"
+    if kind == 4:
+        return f"{draw.getrandbits(160):040x}"
+    number = digits[-draw.randint(4, 19) :]
+    return number if not luhn(number) else number[:-1] + str((int(number[-1]) + 1) % 10)
+
+
+def with_samples(text: str, base: list) -> tuple[str, list]:
+    """The text followed by a broken form of each of its spans and a plain number that comes twice; the spans of all but that."""
+    parts, spans, at = [text], list(base), len(text)
+    for start, end, kind in base:
+        sample = broken(text[start:end], kind)
+        parts.append(f" ; {sample}")
+        spans.append((at + 3, at + 3 + len(sample), kind))
+        at += 3 + len(sample)
+    number = plain_number(zlib.crc32(text.encode("utf-8", "replace")))
+    return "".join([*parts, f" ; {number} ; {number}"]), spans
+
+
 @F.pandas_udf(typed("array<string>"))
 def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """What a document counts for in training: "f|feature|label", "c|label|label", "s|label|label", "l|label"."""
     for texts in batches:
         rows = []
         for text in texts:
-            nodes = carriers(text or "")
-            labels = labels_of(nodes, base_spans(text or ""))
-            chain, skip = edges_of(text or "", nodes)
-            rows.append([f"l|{y}" for y in labels] + [f"f|{f}|{y}" for (_, _, w), y in zip(nodes, labels, strict=True) for f in features(w)] + [f"c|{labels[a]}|{labels[b]}" for a, b in chain] + [f"s|{labels[a]}|{labels[b]}" for a, b in skip])
+            base = base_spans(text or "")
+            long, spans = with_samples(text or "", base)
+            nodes = carriers(long)
+            labels = labels_of(nodes, spans)
+            chain, skip = edges_of(long, nodes, base)
+            # a broken form tells nothing of the forms of its kind
+            formed = [(w, y) for (at, _, w), y in zip(nodes, labels, strict=True) if not y or at < len(text)]
+            rows.append([f"l|{y}" for _, y in formed] + [f"f|{f}|{y}" for w, y in formed for f in features(w)] + [f"c|{labels[a]}|{labels[b]}" for a, b in chain] + [f"s|{labels[a]}|{labels[b]}" for a, b in skip])
         yield pd.Series(rows)
 
 
@@ -193,7 +263,7 @@ def marginals(nodes: list, labels: list[int], chain: list, skip: list, model: di
     n = len(KINDS) + 1
     unary = np.zeros((len(nodes), n))
     for i, (_, _, word) in enumerate(nodes):
-        unary[i] = model["prior"] + sum(model["features"].get(f, 0.0) for f in features(word))  # what training never saw says nothing
+        unary[i] = model["prior"] + FORM_WEIGHT * sum(model["features"].get(f, 0.0) for f in features(word))  # what training never saw says nothing
     unary = np.exp(unary - unary.max(axis=1, keepdims=True))
     observed = np.flatnonzero(labels)
     unary[observed] = np.eye(n)[np.asarray(labels)[observed]]
@@ -230,13 +300,19 @@ def marginals(nodes: list, labels: list[int], chain: list, skip: list, model: di
     return belief / belief.sum(axis=1, keepdims=True)
 
 
+def is_whole(found: str, kind: int) -> bool:
+    """Whether a text has all that a kind asks for by itself, so that nothing is to be joined to it."""
+    digits = digits_of(found)
+    return ("@" in found, len(_QUAD.findall(found)) >= 4, 14 <= len(digits) <= 19 and luhn(digits), len(digits) >= 10)[kind]
+
+
 def added_spans(text: str, base: list, model: dict) -> list[tuple[int, int, int]]:
     """Spans that the field adds."""
     nodes = carriers(text)
     if not nodes:
         return []
     labels = labels_of(nodes, base)
-    chain, skip = edges_of(text, nodes)
+    chain, skip = edges_of(text, nodes, base)
     p = marginals(nodes, labels, chain, skip, model)
     joined, out, last = set(chain), [], None
     for i, (start, end, word) in enumerate(nodes):
@@ -245,7 +321,8 @@ def added_spans(text: str, base: list, model: dict) -> list[tuple[int, int, int]
             continue
         a = start + next((j for j, c in enumerate(word) if c.isalnum()), 0)
         b = end - next((j for j, c in enumerate(reversed(word)) if c.isalnum()), 0)
-        if last == (i - 1, best) and (i - 1, i) in joined:
+        alone = lambda s, e, k=best - 1: is_whole(text[s:e], k)
+        if last == (i - 1, best) and (i - 1, i) in joined and not alone(out[-1][0], out[-1][1]) and not alone(a, b):
             out[-1] = (out[-1][0], b, best - 1)
         else:
             out.append((a, b, best - 1))
