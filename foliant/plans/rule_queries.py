@@ -240,3 +240,58 @@ def rule_cross_numbers(spark, sf_dir):
     text = lambda x: F.when(x["pk"] % 3 == 0, F.concat(F.lit("预算总额："), (x["pk"] % 4).cast("string"), F.lit("万元"))).when(x["pk"] % 3 == 1, F.concat(F.lit("申请经费："), (x["sk"] % 4 * 10000).cast("string"), F.lit("元"))).otherwise("正文")
     docs = order_documents(spark, sf_dir, lambda x, i: ir.block(i, "paragraph", text(x), 0, i + 1))
     return found(docs, "{id: K12, type: cross_field_consistency, params: {fields: [{name: 预算总额, normalize: number}], comparisons: [{left: 预算总额, right: {name: 申请经费}, normalize: number}]}}")
+
+
+@query("rule_heading_hierarchy", LINES + """
+k AS (SELECT doc_id, i, (pk % 3 + 1)::INT AS lev, (sk % 3 + 1)::INT AS a, (sk % 2 + 1)::INT AS b, (price % 2 + 1)::INT AS c, price % 4 = 0 AS cn FROM l WHERE sk % 7 > 0),
+n AS (SELECT *, CASE lev WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS num, lev = 1 AND cn AS chinese,
+  CASE lev WHEN 1 THEN CASE WHEN cn THEN ['一', '二', '三'][a] || '、' ELSE a || '.' END WHEN 2 THEN a || '.' || b ELSE a || '.' || b || '.' || c END AS prefix FROM k),
+w AS (SELECT *, lag(lev) OVER o AS prev_level, lag(chinese) OVER (PARTITION BY doc_id, lev ORDER BY i) AS prior_cn,
+  last_value(CASE WHEN lev = 1 THEN num END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a1,
+  last_value(CASE lev WHEN 1 THEN 0 WHEN 2 THEN num END IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a2
+  FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT *, CASE lev WHEN 1 THEN '' WHEN 2 THEN coalesce(a1, 0)::VARCHAR ELSE coalesce(a1, 0) || '.' || coalesce(a2, 0) END AS ctx FROM w),
+y AS (SELECT *, lag(num) OVER (PARTITION BY doc_id, lev, ctx ORDER BY i) AS before,
+  count(*) FILTER (prior_cn IS NOT NULL AND prior_cn <> chinese) OVER (PARTITION BY doc_id, lev ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM x)
+SELECT doc_id, '标题未使用可识别编号：结语' AS message FROM l WHERE sk % 7 = 0
+UNION ALL SELECT doc_id, '第1级标题编号样式不符合要求：' || prefix FROM y WHERE chinese
+UNION ALL SELECT doc_id, '标题层级从第' || prev_level || '级跳到第' || lev || '级：' || prefix FROM y WHERE lev > prev_level + 1
+UNION ALL SELECT doc_id, '第1级标题混用编号样式：' || CASE WHEN chinese THEN 'arabic / chinese' ELSE 'chinese / arabic' END FROM y WHERE lev = 1 AND chinese <> prior_cn AND known = 0
+UNION ALL SELECT doc_id, '标题编号父级不匹配：' || prefix FROM y WHERE lev = 2 AND a1 <> a OR lev = 3 AND a2 > 0 AND a2 <> b
+UNION ALL SELECT doc_id, '标题编号不连续：' || before || ' 后出现 ' || prefix FROM y WHERE num <> before + 1""")
+def rule_heading_hierarchy(spark, sf_dir):
+    """Headings of three levels: jumps, mixed and refused styles, wrong parents, gaps, and headings without a number."""
+    s = lambda c: c.cast("string")
+
+    def make(x: Column, i: Column) -> Column:
+        a, b, c, level = x["sk"] % 3 + 1, x["sk"] % 2 + 1, x["price"] % 2 + 1, x["pk"] % 3 + 1
+        top = F.when(x["price"] % 4 == 0, F.concat(pick(x["sk"], "一", "二", "三"), F.lit("、"))).otherwise(F.concat(s(a), F.lit(".")))
+        number = F.when(level == 1, top).when(level == 2, F.concat_ws(".", s(a), s(b))).otherwise(F.concat_ws(".", s(a), s(b), s(c)))
+        return ir.block(i, "heading", F.when(x["sk"] % 7 == 0, "结语").otherwise(F.concat(number, F.lit(" 标题"))), 1, i + 2)
+
+    return found(order_documents(spark, sf_dir, make), "{id: K15, type: heading_numbering, params: {require_numbering: true, allowed_styles: {1: [arabic]}, max_issues: 1000}}")
+
+
+@query("rule_layout_headings", LINES + """
+h AS (SELECT doc_id, i, pk % 2 + 1 AS level, CASE WHEN pk % 2 = 0 AND sk % 3 > 0 THEN '字体为SimSun，要求黑体' END AS font, CASE WHEN pk % 2 = 0 AND price % 3 = 0 THEN '字号为12.0pt，要求14pt' WHEN pk % 2 = 1 AND price % 3 = 1 THEN '字号16.0pt过大' END AS size,
+  CASE WHEN pk % 2 = 1 AND sk % 2 = 0 THEN '未加粗' END AS bold, CASE WHEN pk % 2 = 0 AND price % 2 = 0 THEN '未按center对齐' END AS way FROM l),
+m AS (SELECT doc_id, string_agg(i::VARCHAR, ', ' ORDER BY i) FILTER (sk % 4 = 0 AND i > 1) AS lefts, string_agg(i::VARCHAR, ', ' ORDER BY i) FILTER (sk % 5 = 0 AND i > 1) AS bottoms FROM l GROUP BY doc_id)
+SELECT doc_id, '第' || level || '级标题版式不符合要求：' || concat_ws('；', font, size, bold, way) AS message FROM h WHERE coalesce(font, size, bold, way) IS NOT NULL
+UNION ALL SELECT doc_id, '第[' || lefts || ']页左边距小于 20mm' FROM m WHERE lefts IS NOT NULL
+UNION ALL SELECT doc_id, '第[' || bottoms || ']页下边距小于 15mm' FROM m WHERE bottoms IS NOT NULL""")
+def rule_layout_headings(spark, sf_dir):
+    """Fonts, sizes, weight and alignment of two levels of headings, and margins of all pages but the first."""
+    def make(x: Column, i: Column) -> Column:
+        none = [F.lit(None).cast("double").alias(c) for c in ("line_spacing_pt", "line_spacing_multiple", "first_line_indent_pt", "left_indent_pt", "right_indent_pt", "space_before_pt", "space_after_pt")]
+        layout = F.struct(F.when(x["price"] % 2 == 0, "left").otherwise("center").alias("alignment"), F.lit(1).alias("line_count"), *none)
+        size = F.element_at(F.array(F.lit(12.0), F.lit(16.0), F.lit(14.0)), (x["price"] % 3 + 1).cast("int"))
+        size = F.when((x["pk"] % 2 == 0) & (x["price"] % 3 == 1), 14.0).otherwise(size)
+        box = {"x0": F.when(x["sk"] % 4 == 0, 40.0).otherwise(80.0), "x1": F.lit(500.0), "y0": F.lit(100.0), "y1": F.when(x["sk"] % 5 == 0, 820.0).otherwise(700.0)}
+        made = ir.block(i, "heading", F.lit("标题"), x["pk"] % 2 + 1, i + 1).withField("layout", layout).withField("font.size", size)
+        made = made.withField("font.name", F.when(x["sk"] % 3 > 0, "SimSun").otherwise("SimHei")).withField("font.bold", x["sk"] % 2 == 1)
+        for side, at in box.items():
+            made = made.withField(f"bbox.{side}", at)
+        return made
+
+    styles = "headings: {1: {font: 黑体, size: 14, alignment: center}, 2: {max_size: 15, bold: true}}, margins_mm: {left_min: 20, bottom_min: 15, exclude_pages: [1]}"
+    return found(order_documents(spark, sf_dir, make), f"{{id: K16, type: layout_check, params: {{{styles}, max_issues: 1000}}}}")
