@@ -11,17 +11,22 @@ that is sketched, the other windows can't meet anything; and as the templates' l
 needs neither a shuffle nor Python.
 
 Defined results. Null, empty, or fewer than five words: no match. A document has a row for each template found in it, with
-its best window; equal rows (doc_id and text) have theirs once. An empty table gives an empty result.
+its best window; equal rows (doc_id and text) have theirs once. An empty table, of documents or templates, gives an empty
+result; templates with a null license or text match nothing. A very long text is one row of hashes, 8 bytes a word, and each window around a mark a copy of at most 4 m of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_az
 
 SHINGLE, BANDS, PERCENT = 5, 128, 80
+#: Shingles and band marks of templates that one block holds: what is broadcast of them has at most about 50 bytes each.
+BLOCK = 400_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 #: Notices to look for.
@@ -40,6 +45,22 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: The public names of the Creative Commons kinds, versions and how each version is called.
+CC_KINDS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """The notices, and those of each Creative Commons kind and version in full and in short, but for the ones listed."""
+    made = [(f"cc-{k}-{v}-notice", f"This work is licensed under a Creative Commons {name} {v} {called} License.") for k, name in CC_KINDS.items() for v, called in CC_VERSIONS.items()]
+    made += [(f"cc-{k}-{v}-mention", f"Licensed under CC {k.upper()} {v}.") for k in CC_KINDS for v in CC_VERSIONS]
+    listed = {text for _, text in TEMPLATES}
+    return [*TEMPLATES, *[x for x in made if x[1] not in listed]]
+
+
+def default_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(all_templates(), "license string, text string")
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_az(text), NOT_WORD), lambda w: w != "")
@@ -58,33 +79,44 @@ def coordinate(shingle: Column, band: Column) -> Column:
     return F.xxhash64(shingle, band)
 
 
-def template_table(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
-    """license, m, g, shingles (distinct)."""
-    rows = spark.createDataFrame(list(templates), "license string, text string")
-    named = rows.select("license", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles"))
+def template_table(templates: DataFrame) -> DataFrame:
+    """license, m, g, shingles (distinct) of the templates (license, text) that have a shingle."""
+    named = templates.select("license", F.array_distinct(shingles_of(words_of(F.coalesce("text", F.lit(""))))).alias("shingles")).distinct()
     m = F.size("shingles")
     return named.where(m > 0).select("license", m.alias("m"), F.pow(F.lit(2), F.ceil(F.log2(m.cast("double")))).cast("int").alias("g"), "shingles")
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, license, template_shingles, matched, containment of each template found in each document."""
-    spark = docs.sparkSession
-    table = template_table(spark, templates)
+def matched_in(docs: DataFrame, table: DataFrame, bands: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, license, m, matched: the windows that hold enough of a template of the block `table`, whose size is checked."""
     # the templates' least shingle for each band: at most as many different ones as the templates have
-    least = table.select("license", "m", "g", "shingles", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    least = least.withColumn("key", F.array_min(F.transform("shingles", lambda s: F.struct(coordinate(s, F.col("band")).alias("v"), s.alias("s"))))).select("key.s", "key.v", "band", "license", "m", "g", "shingles")
-    marks = least.groupBy("s").agg(F.collect_list(F.struct("v", "band", "license", "m", "g", "shingles")).alias("bands"))
-    known = [r.s for r in marks.select("s").collect()]
+    least = table.select("license", "g", "shingles", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    key = F.array_min(F.transform("shingles", lambda s: F.struct(coordinate(s, F.col("band")).alias("v"), s.alias("s"))))
+    marks = least.select(key.alias("key"), "band", "license", "g", F.xxhash64("shingles").alias("form")).select("key.*", "band", "license", "g", "form").groupBy("s").agg(F.collect_list(F.struct("v", "band", "license", "g", "form")).alias("bands"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shingles_of(words_of(F.coalesce("text", F.lit("")))).alias("h"))
-    # h is made once: the filter above reads it behind the projection
-    some = hashed.where(F.arrays_overlap("h", F.array(*[F.lit(s) for s in known]).cast("array<bigint>"))) if known else hashed.limit(0)
-    hits = some.select("*", F.posexplode("h").alias("at", "s")).join(F.broadcast(marks), "s").select("doc_id", "text_hash", "h", "at", "s", F.explode("bands").alias("b"))
+    # h is made once: the filter above reads it behind the projection; the marks' keys are a subquery, run once
+    some = hashed.where(F.arrays_overlap("h", marks.agg(F.collect_set("s")).scalar()))
+    hits = some.select("*", F.posexplode("h").alias("at", "s")).join(F.broadcast(marks), "s").select("doc_id", "text_hash", "h", "at", F.explode("bands").alias("b"))
     k = F.floor(F.col("at") / F.col("b.g")).cast("int")
     windows = hits.select("*", F.explode(F.filter(F.array(k, k - 1), lambda x: x >= 0)).alias("k"))
     window = F.slice("h", F.col("k") * F.col("b.g") + 1, F.col("b.g") * 2)
-    meets = windows.withColumn("window", window).where(F.array_min(F.transform("window", lambda s: coordinate(s, F.col("b.band")))) == F.col("b.v"))
-    matched = meets.select("doc_id", "text_hash", "b.license", F.col("b.m").alias("m"), F.size(F.array_intersect("window", "b.shingles")).alias("matched"))
-    best = matched.where(100 * F.col("matched") >= percent * F.col("m")).groupBy("doc_id", "text_hash", "license").agg(F.max("m").alias("m"), F.max("matched").alias("matched"))
+    meets = windows.select("doc_id", "text_hash", "b.license", "b.form", "b.band", "b.v", window.alias("window")).where(F.array_min(F.transform("window", lambda s: coordinate(s, F.col("band")))) == F.col("v"))
+    of = F.broadcast(table.select("license", F.xxhash64("shingles").alias("form"), "m", "shingles"))
+    matched = meets.join(of, ["license", "form"]).select("doc_id", "text_hash", "license", "m", F.size(F.array_intersect("window", "shingles")).alias("matched"))
+    return matched.where(100 * F.col("matched") >= percent * F.col("m"))
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, bands: int = BANDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, license, template_shingles, matched, containment of each template found in each document.
+
+    templates: license, text; several texts of one license are one entry, with the most shingles and matches of them. Templates are
+    taken in blocks of about `block` shingles, by their hash, and documents are read once for each block.
+    """
+    table = template_table(default_templates(docs.sparkSession) if templates is None else templates)
+    total = table.agg(F.sum(F.col("m") + bands)).first()[0] or 0
+    blocks = -(-total // block) or 1
+    part = F.pmod(F.xxhash64("license"), F.lit(blocks))
+    found = reduce(DataFrame.unionByName, [matched_in(docs, table.where(part == i) if blocks > 1 else table, bands, percent) for i in range(blocks)])
+    best = found.groupBy("doc_id", "text_hash", "license").agg(F.max("m").alias("m"), F.max("matched").alias("matched"))
     return best.select("doc_id", "license", F.col("m").cast("long").alias("template_shingles"), F.col("matched").cast("long").alias("matched"), F.round(F.col("matched") / F.col("m"), 6).alias("containment"))
 
 
@@ -93,7 +125,7 @@ def license_query(docs: DataFrame) -> DataFrame:
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES)
+_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in all_templates())
 _SHINGLES = f"CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) ELSE [] END"
 SQL = f"""
 WITH t0(license, text) AS (VALUES {_ROWS}),
