@@ -69,7 +69,8 @@ def watched_statuses(events: DataFrame, idle: int = IDLE_SECONDS, late: int = 0)
 
     A stream's watchdog is a timer on event time: it acts when the watermark, `late` seconds behind the latest event, has passed a
     task's last activity by more than `idle`, without any row for the task. Of a table the time is the same: the latest event of
-    all, less `late`. A table's rows pass by in order, with one task's state held; a task's events of one micro-batch meet.
+    all, less `late`. A table's rows pass by in order, with one task's state held; a task's events of one micro-batch meet. Of events
+    of one second a start comes first, the others by name.
     """
     events = events.selectExpr("cast(task as string) task", "cast(at as long) at", "event")
     if not events.isStreaming:
@@ -90,14 +91,15 @@ def watched_statuses(events: DataFrame, idle: int = IDLE_SECONDS, late: int = 0)
             if task is not None:
                 yield _frame(task, watched([], status, last, idle, now)[0])
 
-        return events.where("task is not null and at is not null").repartition("task").sortWithinPartitions("task", "at", "event").mapInPandas(in_order, STATUS)
+        return events.where("task is not null and at is not null").repartition("task").sortWithinPartitions("task", "at", F.expr("event is distinct from 'start'"), "event").mapInPandas(in_order, STATUS)
 
     def stream(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, last = state.get if state.exists else ("queued", 0)
         if state.hasTimedOut:
             out, status, last = watched([], status, last, idle, last + idle + 1)
         else:
-            pdf = pd.concat(list(batches)).sort_values(["at", "event"], kind="stable")
+            pdf = pd.concat(list(batches))
+            pdf = pdf.assign(later=pdf["event"] != "start").sort_values(["at", "later", "event"], kind="stable")
             out, status, last = watched([(int(at), event) for at, event in pdf[["at", "event"]].itertuples(index=False, name=None)], status, last, idle, None)
             if status in ("running", "cancelling") and (last + idle) * 1000 <= state.getCurrentWatermarkMs():
                 more, status, last = watched([], status, last, idle, last + idle + 1)

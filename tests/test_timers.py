@@ -38,6 +38,16 @@ def test_watchdog_needs_no_row(spark, tmp_path, late):
     assert tasks.watched_statuses(whole.limit(0)).count() == 0
 
 
+def test_start_comes_first_in_its_second(spark, tmp_path):
+    rows = [("a", 1, "activity"), ("a", 1, "start"), ("a", 2, "activity"), ("b", 3, "cancel"), ("b", 3, "start"), ("c", 400, "start")]
+    frame = spark.createDataFrame(rows, "task string, at long, event string")
+    want = sorted([("a", 1, "start", "running", True), ("a", 1, "activity", "running", True), ("a", 2, "activity", "running", True), ("a", 182, "watchdog", "timed_out", True), ("b", 3, "start", "running", True), ("b", 3, "cancel", "cancelling", True), ("b", 183, "watchdog", "cancelled", True), ("c", 400, "start", "running", True)])
+    assert sorted(map(tuple, tasks.watched_statuses(frame).collect())) == want
+    first, second = frame.where("task != 'c'"), frame.where("task = 'c'")
+    got, _ = streamed(spark, tmp_path, [first, second], tasks.watched_statuses, "same_second")
+    assert got == want
+
+
 def test_reuse(spark, tmp_path):
     random.seed(4)
     rows = [(i, f"k{random.randint(0, 5)}", i, random.choice(["submit", "submit", "done"])) for i in range(60)] + [(60 + i, f"k{i}", 60 + i, "done") for i in range(4)]
