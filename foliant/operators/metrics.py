@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,28 +53,35 @@ class Waiting:
     have one order, which all share, there is only one stable assignment, and giving each prediction to the first expected instance
     that waits and fits makes the same one. So predictions pass by, and only the expected instances are held. A prediction that
     none takes is left for the next instance without anchors.
+
+    Instances with the same anchors wait in one queue, so a prediction is held against each set of anchors once, however many wait.
     """
 
     def __init__(self) -> None:
-        self.anchored: list[tuple[int, int | None, list[str]]] = []
-        self.plain: list[tuple[int, int | None]] = []
+        self.anchored: dict[tuple[str, ...], deque[tuple[int, int, int | None]]] = {}
+        self.plain: deque[tuple[int, int | None]] = deque()
+        self.seen = 0
 
     def expect(self, ident: int, page: int | None, anchors: list[str]) -> None:
+        self.seen += 1
         if anchors:
-            self.anchored.append((ident, page, anchors))
+            self.anchored.setdefault(tuple(sorted(set(anchors))), deque()).append((self.seen, ident, page))
         else:
             self.plain.append((ident, page))
 
     def meet(self, text: str) -> tuple[str, int | None, int | None]:
         """What a prediction is, and the instance and page that it goes to."""
-        for i, (ident, page, anchors) in enumerate(self.anchored):
-            if all(a in text for a in anchors):
-                del self.anchored[i]
-                return "tp_identified", ident, page
-        return ("tp_unverified", *self.plain.pop(0)) if self.plain else ("fp", None, None)
+        fits = [(queue[0][0], anchors) for anchors, queue in self.anchored.items() if all(a in text for a in anchors)]
+        if fits:
+            anchors = min(fits)[1]
+            _, ident, page = self.anchored[anchors].popleft()
+            if not self.anchored[anchors]:
+                del self.anchored[anchors]
+            return "tp_identified", ident, page
+        return ("tp_unverified", *self.plain.popleft()) if self.plain else ("fp", None, None)
 
     def missed(self) -> list[int]:
-        return [x[0] for x in self.anchored] + [x[0] for x in self.plain]
+        return [x[1] for x in sorted(x for queue in self.anchored.values() for x in queue)] + [x[0] for x in self.plain]
 
 
 def identity_pairs(expected: DataFrame, predicted: DataFrame) -> DataFrame:

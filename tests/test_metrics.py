@@ -42,6 +42,24 @@ def test_identity_pairs_of_random_samples(spark):
     assert metrics.identity_pairs(expected.limit(0), predicted.limit(0)).count() == 0
 
 
+def test_a_prediction_meets_equal_anchors_once():
+    """Over instances with few sets of anchors, the work is a prediction's sets, not its group's instances."""
+    held = []
+
+    class Text(str):
+        def __contains__(self, words):
+            held.append(words)
+            return super().__contains__(words)
+
+    waiting = metrics.Waiting()
+    for i in range(3000):
+        waiting.expect(i, None, [f"[{i % 3}]"])
+    assert all(waiting.meet(Text("[9]")) == ("fp", None, None) for _ in range(1000)) and len(held) <= 3000
+    assert [waiting.meet(Text(t))[1] for t in ("[1]", "[2][0]", "[0]", "[1]", "[2]")] == [1, 0, 3, 4, 2]
+    waiting.expect(3000, 7, [])
+    assert waiting.meet("[9]") == ("tp_unverified", 3000, 7) and waiting.missed() == list(range(5, 3000))
+
+
 def test_instance_pairs(spark):
     expected = spark.createDataFrame([("k", 1, 10, "b"), ("k", 2, 2, "b"), (None, 3, None, "a")], "checker string, instance_id long, page int, message string")
     predicted = spark.createDataFrame([("k", 7, 2, "a"), ("k", 8, 10, "z"), ("k", 9, 2, "a"), ("j", 6, 1, "")], "checker string, instance_id long, page int, message string")
