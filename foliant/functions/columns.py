@@ -55,8 +55,12 @@ def joined(*lists: Column) -> Column:
     return F.concat(none(), *lists)
 
 
+#: Characters that are white space in Unicode, as \\s of a pattern with (?U) has them.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def java(pattern: str) -> str:
@@ -75,10 +79,13 @@ def quoted(text: str) -> str:
 
 def mode(values: Column) -> Column:
     """The most frequent item of an array; of equally frequent ones the first seen. Null for none."""
-    distinct = F.array_distinct(values)
-    count = lambda x: F.size(F.filter(values, lambda y: y == x))
-    ranked = F.transform(distinct, lambda x, i: F.struct(count(x).alias("n"), (-i).alias("i"), x.alias("v")))
-    return F.array_max(ranked)["v"]
+
+    def of_array(values: Column) -> Column:
+        count = lambda x: F.size(F.filter(values, lambda y: y == x))
+        ranked = F.transform(F.array_distinct(values), lambda x, i: F.struct(count(x).alias("n"), (-i).alias("i"), x.alias("v")))
+        return F.array_max(ranked)["v"]
+
+    return let(values, of_array)
 
 
 def sum_of(values: Column, kind: str = "long") -> Column:

@@ -43,22 +43,37 @@ def iso_time(at: Column) -> Column:
 BETWEEN, WITHIN = "\x01", "\x02"
 
 
+def _ranges(codes: list[int]) -> str:
+    """Code points as a class of characters, with as few ranges as they make: each is a test of its own for each character read."""
+    out: list[list[int]] = []
+    for c in sorted(codes):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out) + "]"
+
+
 @lru_cache(maxsize=2)
-def _table(name: str) -> tuple[str, str, str, str]:
-    """Characters that become one other, these, a pattern of those that become several, and their pairs; found by the rule itself."""
+def _table(name: str) -> tuple[str, str, str, str, str]:
+    """Characters that become one other, these, a pattern of those that become several, their pairs, and a pattern of texts of ASCII and
+    Chinese characters that stay; found by the rule itself."""
     rule: Callable[[str], str] = {"nfkc": lambda c: unicodedata.normalize("NFKC", c), "casefold": str.casefold}[name]
     pairs = [(c, rule(c)) for c in map(chr, range(0x80 if name == "nfkc" else 0, 0x110000)) if not "\ud800" <= c <= "\udfff" and rule(c) != c]
     one, several = [p for p in pairs if len(p[1]) == 1], [p for p in pairs if len(p[1]) > 1]
-    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in several) + "]"
-    return "".join(a for a, _ in one), "".join(b for _, b in one), pattern, BETWEEN.join(f"{a}{WITHIN}{b}" for a, b in several)
+    stays = [c for c in (*range(0x80), *range(0x4E00, 0xA000)) if rule(chr(c)) == chr(c)]
+    pairs_of = BETWEEN.join(f"{a}{WITHIN}{b}" for a, b in several)
+    return "".join(a for a, _ in one), "".join(b for _, b in one), _ranges([ord(c) for c, _ in several]), pairs_of, rf"\A{_ranges(stays)}*+\z"
 
 
 def _by_table(text: Column, name: str) -> Column:
-    """Each character as the table has it. Those that become several are looked up only where a text has some."""
-    froms, tos, pattern, pairs = _table(name)
+    """Each character as the table has it. Those that become several are looked up only where a text has some, and none where a text
+    is of characters that stay."""
+    froms, tos, pattern, pairs, plain = _table(name)
     named = F.str_to_map(F.lit(pairs), F.lit(BETWEEN), F.lit(WITHIN))
     each = lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), t, lambda acc, c: F.replace(acc, c, F.element_at(named, c)))
-    return let(F.translate(text, froms, tos), lambda t: F.when(F.regexp_like(t, F.lit(pattern)), each(t)).otherwise(t))
+    changed = lambda x: let(F.translate(x, froms, tos), lambda t: F.when(F.regexp_like(t, F.lit(pattern)), each(t)).otherwise(t))
+    return let(text, lambda x: F.when(F.regexp_like(x, F.lit(plain)), x).otherwise(changed(x)))
 
 
 def compatible(text: Column) -> Column:

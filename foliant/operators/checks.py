@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions import formats
-from foliant.functions.columns import finding, given, java, joined, let, mode, none, of, quoted, strip, texts, whole
+from foliant.functions.columns import WHITE, finding, given, java, joined, let, mode, none, of, quoted, strip, texts, whole
 from foliant.functions.text import casefolded, compatible
 from foliant.plans.rules import Rule, RuleError, operator
 
@@ -141,7 +141,7 @@ def word_limit(rule: Rule) -> Column:
 
 def font_name(name: Column) -> Column:
     clean = F.replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"\A[A-Z]{6}\+", ""), F.lit(" "), F.lit(""))
-    return F.coalesce(*[F.when(clean == k, v) for k, v in FONTS.items()], *[F.when(F.contains(clean, F.lit(k)), v) for k, v in FONTS.items()], clean)
+    return let(clean, lambda c: F.coalesce(*[F.when(c == k, v) for k, v in FONTS.items()], *[F.when(F.contains(c, F.lit(k)), v) for k, v in FONTS.items()], c))
 
 
 @operator("font_check")
@@ -151,7 +151,8 @@ def font_check(rule: Rule) -> Column:
     body = F.filter(BLOCKS(), lambda b: (b["type"] == "paragraph") & ~F.coalesce(F.array_contains("ocr_pages", b["page"]), F.lit(False)))
     name = mode(F.transform(F.filter(body, lambda b: F.coalesce(b["font"]["name"], F.lit("")) != ""), lambda b: b["font"]["name"]))
     most = mode(F.transform(F.filter(body, lambda b: b["font"]["size"] > 0), lambda b: F.bround(b["font"]["size"], 1)))
-    wrong = let(name, lambda n: given(n.isNotNull() & (font_name(n) != "") & ~F.contains(font_name(n), F.lit(font)), finding(rule, texts("正文字体不符合要求（检测为", n, f"，要求{font}）"), f"请将正文字体改为{font}")))
+    other = lambda n: let(font_name(n), lambda f: (f != "") & ~F.contains(f, F.lit(font)))
+    wrong = let(name, lambda n: given(n.isNotNull() & other(n), finding(rule, texts("正文字体不符合要求（检测为", n, f"，要求{font}）"), f"请将正文字体改为{font}")))
     off = let(most, lambda s: given(s.isNotNull() & (F.abs(s - size) > 0.5), finding(rule, texts("正文字号不符合要求（检测为", s, f"pt，要求{shown}pt）"), f"请将正文字号改为{shown}pt")))
     scanned = given(F.size("ocr_pages") > 0, finding(rule, texts("第 [", F.array_join(F.col("ocr_pages").cast("array<string>"), ", "), "] 页使用 OCR，无法可靠验证原始字体和字号"), "请人工核对扫描页的原始版式", manual=True))
     return joined(wrong, off, scanned)
@@ -348,11 +349,11 @@ def signature_page(rule: Rule) -> Column:
 
 
 def is_empty(value: Column) -> Column:
-    return F.regexp_replace(strip(value), r"(?U)[\s_＿\-—–/\\.。·]+", "").isin(*EMPTY_FIELDS)
+    return F.translate(value, WHITE + "_＿-—–/\\.。·", "").isin(*EMPTY_FIELDS)
 
 
 def trimmed(value: Column) -> Column:
-    bare = F.regexp_replace(strip(value), r"\A[|；;]+|[|；;]+\z", "")
+    bare = F.btrim(strip(value), F.lit("|；;"))
     return strip(F.get(F.split(bare, r"(?U)\s+(?=[A-Za-z一-鿿（）()]{2,20}\s*[：:])", 2), F.lit(0)))
 
 
@@ -368,12 +369,13 @@ def field_names(field: dict) -> list[str]:
 
 def field_matches(field: dict) -> Column:
     """array<struct<value, page, id, evidence>> of a field's values beside its labels, in text and in table rows; equal (value, page, block) once."""
-    names = field_names(field)
+    names, kind = field_names(field), "array<struct<value:string,page:int,id:string,evidence:string>>"
 
     def inline(b: Column, name: str) -> Column:
         p = F.lit(rf"(?U){quoted(name)}\s*[：:]\s*([^\n]{{0,160}})")
         pairs = F.arrays_zip(F.regexp_extract_all(b["text"], p, F.lit(0)).alias("e"), F.regexp_extract_all(b["text"], p, F.lit(1)).alias("v"))
-        return F.transform(pairs, lambda x: F.struct(trimmed(x["v"]).alias("value"), b["page"].alias("page"), b["id"].alias("id"), F.substring(x["e"], 1, 200).alias("evidence")))
+        found = F.transform(pairs, lambda x: F.struct(trimmed(x["v"]).alias("value"), b["page"].alias("page"), b["id"].alias("id"), F.substring(x["e"], 1, 200).alias("evidence")))
+        return F.when(F.contains(b["text"], F.lit(name)), found.cast(kind)).when(b["text"].isNotNull(), F.array().cast(kind))
 
     def in_row(b: Column, cells: Column) -> Column:
         label = lambda n: rf"(?sU)\A{quoted(n)}\s*[：:]?\s*(.*)\z"
@@ -386,12 +388,10 @@ def field_matches(field: dict) -> Column:
 
         return F.filter(F.transform(cells, found), lambda x: x["value"].isNotNull())
 
-    kind = "array<struct<value:string,page:int,id:string,evidence:string>>"
-
     def of_block(b: Column) -> Column:
         rows = F.coalesce(b["table_data"], F.array().cast("array<array<string>>"))
         cells = F.flatten(F.transform(rows, lambda r: let(F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))), lambda cs: in_row(b, cs).cast(kind))))
-        return F.concat(*[inline(b, n).cast(kind) for n in names], cells.cast(kind))
+        return F.concat(*[inline(b, n) for n in names], cells.cast(kind))
 
     every = F.flatten(F.transform(BLOCKS(), of_block))
     same = lambda a, b: (a["value"] == b["value"]) & a["page"].eqNullSafe(b["page"]) & a["id"].eqNullSafe(b["id"])
@@ -473,7 +473,10 @@ def chinese_number(c: Column) -> Column:
 
 def heading_number(text: Column, single: int = 1) -> Column:
     """struct<style, level, numbers, prefix> of a heading's number; null if it has none. The first pattern that fits decides."""
-    t = strip(text)
+    return let(strip(text), lambda t: _heading_number(t, single))
+
+
+def _heading_number(t: Column, single: int) -> Column:
     cases = []
     for pattern, style, level in NUMBERINGS:
         p = f"(?U){pattern}"
@@ -566,6 +569,9 @@ def reference_format(rule: Rule) -> Column:
 
     def entries(text: Column) -> Column:
         by_bracket = F.filter(F.split(text, bracket), lambda e: F.regexp_like(e, F.lit(r"(?U)\A\[\d+\]")))
+        return let(by_bracket, lambda found: of_entries(text, found))
+
+    def of_entries(text: Column, by_bracket: Column) -> Column:
         parts = F.transform(F.split(text, loose), lambda e: F.struct(e.alias("e"), formats.ascii_digits(F.regexp_extract(e, r"(?U)\A[（(]?(\d+)[）).、]", 1)).try_cast("int").alias("n")))
         # numbers count while they rise within 1..200; a part whose number doesn't count goes on with the one before
         state = F.array().cast("array<struct<e:string,n:int>>")
@@ -578,13 +584,17 @@ def reference_format(rule: Rule) -> Column:
         by_number = F.transform(F.aggregate(parts, state, step), lambda x: x["e"])
         return F.slice(F.filter(F.transform(F.when(F.size(by_bracket) > 0, by_bracket).otherwise(by_number), lambda e: strip(e)), lambda e: e != ""), 1, 100)
 
-    def fault(e: Column) -> Column:
+    def bare(t: Column) -> Column:
+        return F.translate(t, WHITE, "")
+
+    def fault(e: Column, bodies: Column) -> Column:
         missing = F.array_compact(F.array(F.when(~F.regexp_like(e, F.lit(r"(?U)(?:19|20)\d{2}")), "出版年份"), F.when(~F.regexp_like(e, F.lit(r"(?i)\[[JMCDBRNSP]\]")), "文献类型标识")))
-        bare = lambda t: F.regexp_replace(t, r"(?U)\s+", "")
-        place = F.get(F.filter(BLOCKS(), lambda b: F.contains(bare(b["text"]), bare(F.substring(e, 1, 120)))), F.lit(0))
-        return let(missing, lambda m: given(F.size(m) > 0, finding(rule, texts("参考文献条目缺少：", F.array_join(m, "、")), "请按 GB/T 7714 补全著者、题名、类型、出处和年份", page=place["page"], block=place["id"], evidence=e)))
+        at = let(bare(F.substring(e, 1, 120)), lambda head: F.array_position(F.transform(bodies, lambda t: F.coalesce(F.contains(t, head), F.lit(False))), True).cast("int"))
+        told = lambda m, place: finding(rule, texts("参考文献条目缺少：", F.array_join(m, "、")), "请按 GB/T 7714 补全著者、题名、类型、出处和年份", page=place["page"], block=place["id"], evidence=e)
+        return let(missing, lambda m: F.when(F.size(m) > 0, let(F.get(BLOCKS(), at - 1), lambda place: F.array(told(m, place)))).otherwise(none()))
 
-    return joined(F.flatten(F.transform(let(let(start, section), entries), fault)))
+    every = let(let(start, section), entries)
+    return joined(let(F.transform(BLOCKS(), lambda b: bare(b["text"])), lambda bodies: F.flatten(F.transform(every, of(lambda e: fault(e, bodies))))))
 
 
 #: Full-width forms and the ASCII characters that compatibility normalisation makes of them.
@@ -605,7 +615,7 @@ def _normalised(v: Column, value: Column, kind: str) -> Column:
         times = lambda compact: F.when(F.endswith(compact, F.lit("万")), F.lit(10000)).otherwise(F.lit(1))
         amount = lambda compact: (let(F.regexp_replace(compact, r"万\z", ""), read) * times(compact)).cast("decimal(38,8)")
         unread = lambda n: F.when(n.isNull(), texts("无法识别数字“", value, "”"))
-        found = let(F.regexp_replace(v, r"(?U)[,，￥¥元\s]", ""), amount)
+        found = let(F.translate(v, ",，￥¥元" + WHITE, ""), amount)
         return let(found, lambda n: F.struct(key.alias("key"), n.alias("number"), unread(n).alias("error")))
     elif kind == "date":
         p = r"(?U)\A(\d{4})\s*(?:年|[-/.])\s*(\d{1,2})\s*(?:月|[-/.])\s*(\d{1,2})\s*日?\z"

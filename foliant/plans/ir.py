@@ -26,7 +26,12 @@ def block(i: Column, kind: Column | str, text: Column, level: Column | int = 0,
     none = lambda t: F.lit(None).cast(t)
     box = F.struct(*[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
     font = F.struct(F.lit("").alias("name"), F.lit(0.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(0).alias("color"))
-    return F.struct(i.cast("int"), F.concat(F.lit("b"), (i + 1).cast("string")), lit(page).cast("int"), lit(kind), lit(level).cast("int"), text, box, font, none(BLOCK.split("layout:")[1].split(">,")[0] + ">"), none("array<array<string>>"), none("string"), F.array().cast("array<string>"), words(text)).cast(BLOCK)
+    fields = {
+        "ord": i.cast("int"), "id": F.concat(F.lit("b"), (i + 1).cast("string")), "page": lit(page).cast("int"), "type": lit(kind), "level": lit(level).cast("int"), "text": text, "bbox": box, "font": font,
+        "layout": none(BLOCK.split("layout:")[1].split(">,")[0] + ">"), "table_data": none("array<array<string>>"), "image_hash": none("string"), "parse_warnings": F.array().cast("array<string>"), "words": words(text),
+    }
+    # named field by field: the fields of a struct that is cast as a whole would be made again for each field that is read or changed
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
 
 
 def assembled(docs: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def order_documents(spark: SparkSession, sf_dir: str, make: Make, before: list[C
     """One row for each order. make(x, i): the block of line x at place i; before: blocks that come first; meta: the page of line
     x; blocks: all blocks of the lines at once, instead of make."""
     line = F.struct("l_linenumber", F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.floor("l_extendedprice").cast("long").alias("price"))
-    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("x"))
     own = blocks(F.col("x")) if blocks else F.transform("x", lambda x, i: make(x, i + len(before)))
     every = F.concat(F.array(*before), own) if before else own
     page = meta or (lambda x, i: F.struct(i + 1, F.lit(595.0), F.lit(842.0), F.lit("ok"), F.lit(0), F.lit(""), F.lit(0.0), F.lit(False)))
