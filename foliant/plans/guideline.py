@@ -153,15 +153,17 @@ def _params() -> dict[str, Column]:
 def mapped(requirements: DataFrame) -> DataFrame:
     """guideline, ord, requirement (canonical), rule_id, type, severity, params, description of each distinct requirement of
     requirements (guideline, ord, requirement); rule_id and what follows are null for a dropped one."""
-    rows = requirements.select("guideline", "ord", canonical(F.col("requirement")).alias("requirement")).where(F.startswith("requirement", F.lit("{")))
-    first = rows.groupBy("guideline", "requirement").agg(F.min("ord").alias("ord"))
-    read = first.withColumn("whole", F.parse_json("requirement"))
+    rows = requirements.select("guideline", "ord", F.col("requirement").alias("text_"))
+    # guidelines repeat each other, so each distinct text is read once, and joined back
+    read = once(rows.select("text_").where("text_ is not null").distinct().withColumn("requirement", canonical(F.col("text_"))), "requirement").where(F.startswith("requirement", F.lit("{")))
+    read = once(read.withColumn("whole", F.parse_json("requirement")), "whole")
     detail = F.variant_get("whole", "$.detail", "variant")
     detail = F.when(F.startswith(F.to_json(detail), F.lit("{")), detail).otherwise(F.parse_json(F.lit("{}")))
     kind = F.when(F.startswith(F.to_json(F.variant_get("whole", "$.kind", "variant")), F.lit('"')), F.try_variant_get("whole", "$.kind", "string"))
-    read = once(read.select("guideline", "ord", "requirement", F.struct(kind.alias("kind"), detail.alias("detail")).alias("r")), "r").select("guideline", "ord", "requirement", "r.*")
+    read = once(read.select("text_", "requirement", F.struct(kind.alias("kind"), detail.alias("detail")).alias("r")), "r").select("text_", "requirement", "r.*")
     params = F.coalesce(*[F.when(F.col("kind") == k, F.nullif(p, F.lit("{}"))) for k, p in _params().items()])
-    ruled = once(read.select("guideline", "ord", "requirement", "kind", canonical(params).alias("params")), "params")
+    read = once(read.select("text_", "requirement", "kind", canonical(params).alias("params")), "params")
+    ruled = rows.join(read, "text_").groupBy("guideline", "requirement", "kind", "params").agg(F.min("ord").alias("ord"))
     fits = F.col("params").isNotNull()
     number = F.sum(fits.cast("int")).over(Window.partitionBy("guideline").orderBy("ord", "requirement").rowsBetween(Window.unboundedPreceding, 0))
     of_kind = lambda i: F.when(fits, F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[i])) for k, v in KINDS.items()]))

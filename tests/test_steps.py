@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import columns, text
 from foliant.operators import checks
-from foliant.plans import ir
+from foliant.plans import guideline, ir
 
 
 def optimized(df):
@@ -42,3 +42,14 @@ def test_a_mode_reads_its_values_once(spark):
     assert optimized(rows).count("marker") == 1 and [r.m for r in rows.collect()] == ["marker0", "marker1", "marker2"]
     named = spark.range(3).select(checks.font_name(F.concat(F.lit("marker"), F.col("id").cast("string"))).alias("m"))
     assert optimized(named).count("marker") == 1
+
+
+def test_equal_requirements_are_read_once(spark):
+    """Texts are read below a join by their distinct ones, whatever guideline they are of."""
+    same = '{"kind": "page_limit", "detail": {"max_pages": 3}}'
+    rows = spark.createDataFrame([(g, o, same if o else '{"detail":{"max_pages":3},"kind":"page_limit"}') for g in range(40) for o in range(2)] + [(50, 1, None), (51, 1, "no json")], "guideline long, ord int, requirement string")
+    found = guideline.mapped(rows)
+    plan = optimized(found)
+    assert 0 < plan.find("Join Inner") < plan.lower().find("parsejson")
+    got = found.collect()
+    assert len(got) == 40 and {(r.guideline, r.ord, r.rule_id, r.params) for r in got} == {(g, 0, "G001", '{"max_pages":3}') for g in range(40)}
