@@ -100,7 +100,7 @@ def section_order(rule: Rule) -> Column:
     heads = headings(1)
     at = lambda p: F.array_position(F.transform(heads, lambda h: has(h["text"], p)), True)
     places = F.array(*[F.struct(at(p).cast("int").alias("at"), F.lit(expected.index(p)).alias("i")) for p in dict.fromkeys(expected)])
-    order = F.array_sort(F.filter(places, lambda x: x["at"] > 0))
+    order = F.sort_array(F.filter(places, lambda x: x["at"] > 0))
 
     def drops(o: Column) -> Column:
         found = first(F.filter(F.transform(o, lambda x, k: F.struct(x["i"].alias("i"), F.get(o, k - 1)["i"].alias("before"))), lambda x: x["i"] < x["before"]))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliant.functions import columns, text
+from foliant.functions import columns, formats, text
 from foliant.operators import checks
 from foliant.plans import guideline, ir
 
@@ -44,6 +44,14 @@ def test_a_mode_reads_its_values_once(spark):
     assert optimized(named).count("marker") == 1
 
 
+def test_an_amount_reads_its_cell_once(spark):
+    cells = ["12", " (1,234.50) ", "３万元", "￥5", "1.2.3", "-", "", None, "(-7)", "((8))", "9\u3000元", "x"]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [None if r.v is None else float(r.v) for r in rows.select(formats.amount(F.col("c")).alias("v")).collect()]
+    assert got == [12.0, -1234.5, 3.0, 5.0, None, None, None, None, 7.0, -8.0, 9.0, None]
+    assert optimized(spark.range(3).select(formats.amount(F.concat(F.lit("marker"), F.col("id").cast("string"))).alias("v"))).count("marker") == 1
+
+
 def test_equal_requirements_are_read_once(spark):
     """Texts are read below a join by their distinct ones, whatever guideline they are of."""
     same = '{"kind": "page_limit", "detail": {"max_pages": 3}}'
