@@ -6,6 +6,9 @@ expectation-maximisation (forward-backward counts), over the word counts of a sa
 of them, chosen by hash (a documented limit). Expected counts are summed in Spark; the driver gets one row for each piece and
 language.
 
+In prediction, a batch's texts are cut into words at once, and each distinct word's lattice is summed once; a lattice is found by
+going down the tree of the pieces' prefixes from all letters of many words at once.
+
 A word is a run of letters (with their combining marks), lower-cased, with "▁" before it, however long. A character that no piece holds has the probability FLOOR in every language. A language is learned if its
 share of the sample is at least one in LEAST_SHARE, which bounds the number of languages.
 
@@ -32,6 +35,8 @@ TRAIN_DOCS, EM_ROUNDS, FLOOR, SMOOTH, MEMO, LEAST_SHARE = 6000, 3, 1e-7, 200.0,
 #: Words, and letters of words, whose lattices are summed at once; letters up to which sums need no scaling.
 WORDS, LETTERS, PLAIN = 8000, 100_000, 40
 UNKNOWN = "und"
+#: Bits of a code point in a key of the tree; what stands behind a word there, no code point.
+CODE, END = 21, (1 << 21) - 1
 _LETTERS = regex.compile(r"(?:\p{L}\p{M}*)+")
 
 
@@ -43,6 +48,39 @@ def words_of(text: str) -> list[str]:
     return [SPACE + w for w in _LETTERS.findall(text.lower())]
 
 
+def kinds() -> np.ndarray:
+    """Of each code point: 1 for a letter, 2 for a mark, else 0. Takes some tenths of a second."""
+    every, kind = "".join(map(chr, range(0x110000))), np.zeros(0x110000, np.uint8)
+    for k, pattern in ((1, r"\p{L}"), (2, r"\p{M}")):
+        kind[[ord(c) for c in regex.findall(pattern, every)]] = k
+    return kind
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def distinct_words(texts: list[str | None], kinds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What words_of finds in many texts: the distinct words, each word's place among them, and how many words each text has."""
+    low = [t.lower() if t else "" for t in texts]
+    codes = code_points("\n".join(["", *low, ""]))
+    kind = kinds[codes]
+    inside = kind == 1
+    if (marks := kind == 2).any():  # marks go with the letter that they follow, if they follow one
+        inside = inside[np.maximum.accumulate(np.where(marks, 0, np.arange(len(codes), dtype=np.int32)))]
+    bounds = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = bounds[::2], bounds[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]) * 4
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(codes[inside])]).dictionary_encode()
+    counts = np.diff(np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in low)])))
+    if not len(starts):
+        return [], np.zeros(0, np.int64), counts
+    _, at, letters = found.dictionary.buffers()
+    at = (np.frombuffer(at, np.int64)[: len(found.dictionary) + 1] // 4).tolist()
+    letters = letters.to_pybytes()[: 4 * at[-1]].decode("utf-32-le")
+    return [SPACE + letters[a:b] for a, b in zip(at, at[1:], strict=False)], found.indices.to_numpy(), counts
+
+
 def groups(words: list[str]) -> Iterator[list[int]]:
     """Places of words of like lengths, so that the arrays over them have few empty cells."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -56,21 +94,49 @@ def groups(words: list[str]) -> Iterator[list[int]]:
         yield now
 
 
-def edges(words: list[str], ids: dict[str, int], longest: int) -> tuple[np.ndarray, ...]:
-    """The lattices of many words: word, start, end, piece (-1: a character without one), sorted by end and length."""
-    word, start, end, piece = [], [], [], []
-    for k, w in enumerate(words):
-        n = len(w)
-        for s in range(n):
-            for e in range(s + 1, min(n, s + longest) + 1):
-                found = ids.get(w[s:e])
-                if found is not None:
-                    word.append(k), start.append(s), end.append(e), piece.append(found)
-                elif e == s + 1:
-                    word.append(k), start.append(s), end.append(e), piece.append(-1)
-    a = [np.array(x, np.int64) for x in (word, start, end, piece)]
-    order = np.lexsort((a[2] - a[1], a[2]))
-    return tuple(x[order] for x in a)
+class Tree:
+    """The pieces' prefixes as a tree. Nodes are numbered level by level from the root, 0. keys: of each other node its
+    parent and last code point in one number, ascending, so that a node is its key's place and 1; piece: -1 for none."""
+
+    def __init__(self, ids: dict[str, int]):
+        node, keys = {"": 0}, []
+        for n in range(1, max(map(len, ids), default=0) + 1):
+            for parent, code, prefix in sorted({(node[x[: n - 1]], ord(x[n - 1]), x[:n]) for x in ids if len(x) >= n}):
+                keys.append(parent << CODE | code)
+                node[prefix] = len(keys)
+        self.keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.piece = np.array([ids.get(x, -1) for x in node], np.int64)
+
+
+def edges(words: list[str], ids: dict[str, int], longest: int, tree: Tree | None = None) -> tuple[np.ndarray, ...]:
+    """The lattices of many words: word, start, end, piece (-1: a character without one), sorted by end and length.
+
+    tree: that of ids, for callers that have it.
+    """
+    tree = tree or Tree(ids)
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = code_points("\n".join([*words, ""])).astype(np.int64)
+    codes[np.cumsum(sizes + 1) - 1] = END
+    at, node, found = np.flatnonzero(codes != END), np.int64(0), []
+    for n in range(1, longest + 1):
+        key = node << CODE | codes[at + (n - 1)]
+        node = np.searchsorted(tree.keys, key)
+        known = tree.keys[node] == key
+        if n == 1:
+            found.append((at, np.where(known, tree.piece[np.where(known, node + 1, 0)], -1)))
+        at, node = at[known], node[known] + 1
+        if n > 1:
+            piece = tree.piece[node]
+            found.append((at[piece >= 0], piece[piece >= 0]))
+        if not len(at):
+            break
+    size = np.repeat(np.arange(1, len(found) + 1), [len(f[0]) for f in found])
+    first, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    word = np.repeat(np.arange(len(words)), sizes + 1)[first]
+    start = first - (np.cumsum(sizes + 1) - sizes - 1)[word]
+    end = start + size
+    order = np.argsort(end.astype(np.min_scalar_type(end.max(initial=0))), kind="stable")
+    return word[order], start[order], end[order], piece[order]
 
 
 def steps(start: np.ndarray, end: np.ndarray) -> list[slice]:
@@ -146,7 +212,7 @@ def train(docs: DataFrame, pieces: Pieces, most: int = TRAIN_DOCS) -> tuple[list
     every = max(sample.count(), 1)
     languages = sorted(r.lang for r in of.where(F.col("n") * LEAST_SHARE >= every).collect())
     counts = counts.where(F.col("lang").isin(languages))
-    ids, longest, v = pieces.id, pieces.longest, len(pieces.surface)
+    ids, longest, v, tree = pieces.id, pieces.longest, len(pieces.surface), Tree(pieces.id)
     p = np.concatenate([np.full((v, len(languages)), 1.0 / v), np.full((1, len(languages)), FLOOR)])
     for _ in range(EM_ROUNDS if languages else 0):
         shared = docs.sparkSession.sparkContext.broadcast(p)
@@ -160,7 +226,7 @@ def train(docs: DataFrame, pieces: Pieces, most: int = TRAIN_DOCS) -> tuple[list
                     words = part["word"].tolist()
                     n = np.zeros((len(words), len(languages)))
                     n[np.arange(len(words)), [languages.index(x) for x in part["lang"]]] = part["n"]
-                    found = expected(words, edges(words, ids, longest), p, n)
+                    found = expected(words, edges(words, ids, longest, tree), p, n)
                     total = found if total is None else total + found
             if total is not None:
                 i, j = np.nonzero(total[:-1] > 1e-9)
@@ -174,7 +240,7 @@ def train(docs: DataFrame, pieces: Pieces, most: int = TRAIN_DOCS) -> tuple[list
 
 
 def predictor(languages: list[str], shared, pieces: Pieces):
-    ids, longest = pieces.id, pieces.longest
+    ids, longest, tree, kind = pieces.id, pieces.longest, Tree(pieces.id), kinds()
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -182,25 +248,28 @@ def predictor(languages: list[str], shared, pieces: Pieces):
         place: dict[str, int] = {}
         logs = np.zeros((0, len(languages)))
         for texts in batches:
-            found = [words_of(t) if t and languages else [] for t in texts]
+            found, at, counts = distinct_words(texts.tolist() if languages else [None] * len(texts), kind)
             if len(place) > MEMO:
                 place, logs = {}, logs[:0]
-            new = list(dict.fromkeys(w for ws in found for w in ws if w not in place))
+            new = [w for w in found if w not in place]
             parts = [logs]
             for places in groups(new):
                 words = [new[i] for i in places]
-                logs_of = forward(words, edges(words, ids, longest), p)
+                logs_of = forward(words, edges(words, ids, longest, tree), p)
                 parts.append(logs_of[np.arange(len(words)), [len(w) for w in words]])
                 place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
             logs = np.concatenate(parts)
-            rows = []
-            for ws in found:
-                if not ws:
-                    rows.append((UNKNOWN, 0.0))
-                    continue
-                total = logs[[place[w] for w in ws]].sum(axis=0)
-                best = int(total.argmax())
-                rows.append((languages[best], round(float(1 / np.exp(total - total[best]).sum()), 6)))
+            rows = [(UNKNOWN, 0.0)] * len(texts)
+            lettered = np.flatnonzero(counts)
+            if len(lettered):
+                of = logs[[place[w] for w in found]]
+                begins = (np.cumsum(counts) - counts)[lettered]
+                # one language at a time, as a batch may have a million words
+                total = np.stack([np.add.reduceat(np.ascontiguousarray(of[:, j])[at], begins) for j in range(len(languages))], axis=1)
+                best = total.argmax(axis=1)
+                scores = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                for i, b, x in zip(lettered.tolist(), best.tolist(), scores.tolist(), strict=True):
+                    rows[i] = (languages[b], round(x, 6))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return predict
